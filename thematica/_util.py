@@ -24,3 +24,15 @@ def all_of(cols) -> Column:
 def fbool(c) -> Column:
     """Null-as-false (R ``which()`` semantics, N1)."""
     return F.coalesce(col_of(c), F.lit(False))
+
+
+def money_sum(c, scale: int | None = 4) -> Column:
+    """Order-independent money total: each value is fixed to ``scale``
+    decimals and summed as DECIMAL (exact, no overflow at any row count that
+    fits DECIMAL(38)), then returned as double.  A double sum depends on the
+    order partitions are added in; this does not.  ``scale=None`` is a plain
+    double sum."""
+    c = col_of(c)
+    if scale is None:
+        return F.sum(c)
+    return F.sum(c.cast(f"decimal(18,{scale})")).cast("double")

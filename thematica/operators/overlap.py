@@ -11,33 +11,35 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .._util import any_of, fbool
+from .._util import any_of, fbool, money_sum
 
 FLAGS = ("principal_gender", "principal_climate", "principal_disability")
 
 
 def overlap_by(df: DataFrame, keys=("year",), flags=FLAGS, amount: str = "usd_disbursement",
-               out: str | None = None, any_only: bool = False, digits: int | None = None) -> DataFrame:
+               out: str | None = None, any_only: bool = False, digits: int | None = None,
+               exact_scale: int | None = 4) -> DataFrame:
     """Amount by keys x flag combination; all-null group sums to 0.
 
-    ``any_only`` keeps rows with at least one flag (A05).
+    ``any_only`` keeps rows with at least one flag (A05).  Sums are exact
+    decimals (``money_sum``) unless ``exact_scale=None``.
     """
     if any_only:
         df = df.where(any_of([fbool(f) for f in flags]))
-    s = F.coalesce(F.sum(amount), F.lit(0.0))
+    s = F.coalesce(money_sum(amount, exact_scale), F.lit(0.0))
     if digits is not None:
         s = F.round(s, digits)
     return df.groupBy(*keys, *flags).agg(s.alias(out or amount))
 
 
 def overlap_rollup(df: DataFrame, keys=("year",), flags=FLAGS, amount: str = "usd_disbursement",
-                   digits: int | None = None) -> DataFrame:
+                   digits: int | None = None, exact_scale: int | None = 4) -> DataFrame:
     """Keys x flags and flags-only (any-flag rows) in one pass.
 
     ``GROUPING SETS`` share the scan and the partial aggregation; the
     flags-only level keeps only combinations with a flag set, like A05.
     """
-    s = F.coalesce(F.sum(amount), F.lit(0.0))
+    s = F.coalesce(money_sum(amount, exact_scale), F.lit(0.0))
     if digits is not None:
         s = F.round(s, digits)
     cols = [F.col(c) for c in (*keys, *flags)]

@@ -5,19 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .._util import col_of, fbool
+from .._util import col_of, fbool, money_sum
 from ..functions import markers as M
 
 
 def total_strict(df: DataFrame, amount: str) -> DataFrame:
     """Grand total that is null when any value is null (R ``sum`` w/o na.rm, N6)."""
-    return df.agg(F.when(F.count(F.lit(1)) == F.count(amount), F.sum(amount)).alias("total"))
+    return df.agg(F.when(F.count(F.lit(1)) == F.count(amount), money_sum(amount)).alias("total"))
 
 
 def ratio_by(df: DataFrame, key: str, num: str, den: str, out: str = "ratio") -> DataFrame:
     """Ratio of null-skipping sums per group; x/0 -> null (N7).  Sorted
     ascending, nulls last (O03)."""
-    r = F.try_divide(F.coalesce(F.sum(num), F.lit(0.0)), F.coalesce(F.sum(den), F.lit(0.0)))
+    r = F.try_divide(F.coalesce(money_sum(num), F.lit(0.0)), F.coalesce(money_sum(den), F.lit(0.0)))
     return df.groupBy(key).agg(r.alias(out)).orderBy(F.col(out).asc_nulls_last(), F.col(key))
 
 
@@ -39,8 +39,8 @@ def spend_panel(df: DataFrame, subsets: dict, periods: dict, disb: str = "usd_di
         for sn, sc in subsets.items():
             cond = fbool(pc) & fbool(sc)
             k = f"{pn}__{sn}"
-            aggs += [F.coalesce(F.sum(F.when(cond, F.col(disb))), F.lit(0.0)).alias(f"{k}__d"),
-                     F.coalesce(F.sum(F.when(cond, F.col(comm))), F.lit(0.0)).alias(f"{k}__c")]
+            aggs += [F.coalesce(money_sum(F.when(cond, F.col(disb))), F.lit(0.0)).alias(f"{k}__d"),
+                     F.coalesce(money_sum(F.when(cond, F.col(comm))), F.lit(0.0)).alias(f"{k}__c")]
             names.append((pn, sn, k))
     wide = df.agg(*aggs)
     n = len(names)

@@ -135,10 +135,10 @@ automated AS (
 # ---------------------------------------------------------------------------
 
 def q_overlap_year(spark, sf_dir):
-    return overlap.overlap_by(automated_flows(spark, sf_dir), ["year"], amount="usd_disbursement", digits=2)
+    return overlap.overlap_by(automated_flows(spark, sf_dir), ["year"], amount="usd_disbursement")
 
 
 register("overlap_by_year", f"""WITH {AUTOMATED_FLOWS_SQL.strip()}
 SELECT year, principal_gender, principal_climate, principal_disability,
-       round(coalesce(sum(usd_disbursement), 0), 2) AS usd_disbursement
+       coalesce(CAST(sum(CAST(usd_disbursement AS DECIMAL(18,4))) AS DOUBLE), 0) AS usd_disbursement
 FROM automated GROUP BY ALL""")(q_overlap_year)
