@@ -113,7 +113,7 @@ def levenshtein_ratio(a, b, max_ratio: float | None = None) -> Column:
         return F.try_divide(F.levenshtein(a, b).cast("double"), la.cast("double"))
     thr = F.ceil(la * F.lit(max_ratio)).cast("int")
     far = F.abs(la - F.length(b)) > thr
-    d = F.levenshtein(a, b, thr)
+    d = F.call_function("levenshtein", a, b, thr)
     return F.when(la == 0, F.lit(None).cast("double")).when(
         far | (d < 0), F.lit(1e9)
     ).otherwise(d.cast("double") / la.cast("double"))

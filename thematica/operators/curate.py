@@ -300,7 +300,8 @@ def near_dup_distance(df: DataFrame, col: str = "text", tiebreak: str | None = N
     la = F.length(a)
     k = F.ceil(la * F.lit(threshold)).cast("int")
     far = F.abs(la - F.length(b)) > k
-    d = F.levenshtein(a, b, k)
+    # banded distance with a per-row band (the Python wrapper takes only a literal)
+    d = F.call_function("levenshtein", a, b, k)
     dist = (F.when(b.isNull() | (la == 0), F.lit(None).cast("double"))
             .when(far | (d < 0), F.lit(float("inf")))
             .otherwise(d.cast("double") / la.cast("double")))

@@ -201,3 +201,56 @@ def budgets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "embeddings")
+
+
+# FIXED VALUES: stand-in climate model vocabularies for documents.
+CLIMATE_A_WORDS = ("thble", "erin", "anea")
+CLIMATE_M_WORDS = ("thor", "eron", "thly")
+# steep stand-in model: sig = sigmoid(3h - 5), pri = sigmoid(3h - 8)
+CLIMATE_SIG = (3.0, 5.0)
+CLIMATE_PRI = (3.0, 8.0)
+
+
+def climate_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Climate curation input (the reference's prediction CSV shape):
+    text, adapt_sig, mitig_sig, match ('True'/'False'), four confidences."""
+    from ..functions.lexicon import Lexicon
+
+    d = load(spark, sf_dir, "documents")
+    lab = load(spark, sf_dir, "labels")
+    x = d.join(lab, "doc_id", "left")
+    clean = T.clean_text(F.col("text"))
+    tok = F.split(F.coalesce(clean, F.lit("")), " ")
+    ha = Lexicon("a", CLIMATE_A_WORDS).hits(tok)
+    hm = Lexicon("m", CLIMATE_M_WORDS).hits(tok)
+    match = Lexicon("doc_match", DOC_MATCH_WORDS).match(clean)
+
+    def conf(h, p):
+        return F.round(T.sigmoid(F.lit(p[0]) * h - F.lit(p[1])), 6)
+
+    return x.select(
+        "doc_id", "text",
+        (F.col("quality") + F.col("toxic")).alias("adapt_sig"),
+        ((F.col("quality") * 2 + F.col("toxic")) % 3).alias("mitig_sig"),
+        F.when(match, F.lit("True")).otherwise(F.lit("False")).alias("match"),
+        conf(ha, CLIMATE_SIG).alias("adapt_sig_conf"), conf(ha, CLIMATE_PRI).alias("adapt_pri_conf"),
+        conf(hm, CLIMATE_SIG).alias("mitig_sig_conf"), conf(hm, CLIMATE_PRI).alias("mitig_pri_conf"))
+
+
+CLIMATE_SQL = f"""
+cl0 AS (
+  SELECT d.doc_id, d.text, l.quality + l.toxic AS adapt_sig, (l.quality * 2 + l.toxic) % 3 AS mitig_sig,
+         nullif(lower(trim(regexp_replace(d.text, '[^\\p{{L}}\\p{{N}}_]+', ' ', 'g'))), '') AS clean
+  FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id),
+cl1 AS (
+  SELECT *, len(list_distinct(list_intersect(string_split(coalesce(clean, ''), ' '), {_sql_list(CLIMATE_A_WORDS)}))) AS ha,
+            len(list_distinct(list_intersect(string_split(coalesce(clean, ''), ' '), {_sql_list(CLIMATE_M_WORDS)}))) AS hm
+  FROM cl0),
+climate AS (
+  SELECT doc_id, text, adapt_sig, mitig_sig,
+         CASE WHEN coalesce(regexp_matches(' ' || coalesce(clean, '') || ' ', ' ({'|'.join(DOC_MATCH_WORDS)}) '), false) THEN 'True' ELSE 'False' END AS match,
+         round(1 / (1 + exp(-({CLIMATE_SIG[0]} * ha - {CLIMATE_SIG[1]}))), 6) AS adapt_sig_conf,
+         round(1 / (1 + exp(-({CLIMATE_PRI[0]} * ha - {CLIMATE_PRI[1]}))), 6) AS adapt_pri_conf,
+         round(1 / (1 + exp(-({CLIMATE_SIG[0]} * hm - {CLIMATE_SIG[1]}))), 6) AS mitig_sig_conf,
+         round(1 / (1 + exp(-({CLIMATE_PRI[0]} * hm - {CLIMATE_PRI[1]}))), 6) AS mitig_pri_conf
+  FROM cl1)"""
