@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .._util import fbool
+from .._util import fbool, money_sum
 from ..functions import markers as M
 from ..functions import text as T
 
@@ -139,7 +139,7 @@ def budget_value(df: DataFrame, amounts, country: str = "country", flags=FLAGS)
     """Per country and flag combination, null-safe sums of one or more
     alternate amount columns added together (P21)."""
     amounts = [amounts] if isinstance(amounts, str) else list(amounts)
-    sums = [F.coalesce(F.sum(a), F.lit(0.0)) for a in amounts]
+    sums = [F.coalesce(money_sum(a), F.lit(0.0)) for a in amounts]
     v = sums[0]
     for s in sums[1:]:
         v = v + s

@@ -7,7 +7,7 @@ import importlib
 from . import catalog
 
 # modules that register queries into ``catalog`` when imported
-MODULES = ("q_activity", "q_text")
+MODULES = ("q_activity", "q_text", "q_budget")
 
 
 def _load():
