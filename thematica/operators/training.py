@@ -48,8 +48,10 @@ def stratified_split(df: DataFrame, label: str, test: float = 0.2, seed=42, key_
     """Per stratum, the first bround(test * n) rows in a seeded hash
     order go to 'test', the rest to 'train' (exact counts; D19)."""
     x = df.withColumn("_h", hash_order(seed, *key_cols))
-    n = x.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
-    x = rank_within(x, [label], ["_h", *key_cols], "_r").join(n, label)
+    n = x.groupBy(F.col(label).alias("_lab")).agg(F.count(F.lit(1)).alias("_n"))
+    r = rank_within(x, [label], ["_h", *key_cols], "_r")
+    # the count table has one row per stratum
+    x = r.join(F.broadcast(n), r[label].eqNullSafe(F.col("_lab"))).drop("_lab")
     k = F.bround(F.lit(test) * F.col("_n"), 0)
     return x.withColumn(out, F.when(F.col("_r") <= k, F.lit("test")).otherwise(F.lit("train"))).drop("_h", "_r", "_n")
 
