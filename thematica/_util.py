@@ -36,3 +36,18 @@ def money_sum(c, scale: int | None = 4) -> Column:
     if scale is None:
         return F.sum(c)
     return F.sum(c.cast(f"decimal(18,{scale})")).cast("double")
+
+
+def stage(df, cols: dict):
+    """Add expensive derived columns so that each is computed once per row.
+
+    Catalyst substitutes a projected expression into every filter pushed
+    below it and every consumer it collapses into, and a lambda re-evaluates
+    outer expressions per element, so a regex-cleaned text used by three
+    predicates can run three times.  Columns produced by a generator are
+    different: a one-element ``inline`` yields them as generator outputs,
+    which predicates cannot be pushed beneath and projections cannot inline.
+    The Generate stays inside whole-stage codegen and adds no shuffle.
+    """
+    df = df.drop(*[n for n in cols if n in df.columns])
+    return df.select("*", F.inline(F.array(F.struct(*[col_of(c).alias(n) for n, c in cols.items()]))))

@@ -86,7 +86,9 @@ def chunk_tokens(tok, max_tokens: int = 512) -> Column:
     """Balanced chunks of a token array.
 
     n = ceil(L/max) chunks of ceil(L/n) tokens; L <= max gives one chunk;
-    an empty or null token array gives an empty chunk list.
+    an empty or null token array gives an empty chunk list.  Pass a column
+    reference: the array is used inside a lambda, where an expression would
+    be re-evaluated for every chunk.
     """
     tok = col_of(tok)
     L = F.size(tok)

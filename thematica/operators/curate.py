@@ -19,10 +19,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .._util import any_of, fbool
+from .._util import any_of, fbool, stage
 from ..functions import markers as M
 from ..functions import text as T
 from ..functions.lexicon import Lexicon, keyword_match, shipped
+from ..session import cut_lineage
 from . import filters as FL
 
 PROBS = (0.01, 0.1, 0.5, 0.9, 0.99)
@@ -50,6 +51,11 @@ def percentiles(df: DataFrame, cols, probs=PROBS, method: str = "exact", splits:
     spark = df.sparkSession
     pdf = spark.createDataFrame([(i, float(p)) for i, p in enumerate(probs)], "p_no int, prob double")
     out = pdf
+    if method != "approx":
+        # the exact method makes several passes (range sampling, shuffle,
+        # counts); materialise the value columns once - a small projection -
+        # in the shared checkpoint folder instead of recomputing the input
+        df = cut_lineage(df.select(*[F.col(c).cast("double").alias(c) for c in cols]))
     for c in cols:
         if method == "approx":
             arr = df.select(F.percentile_approx(c, list(probs), accuracy).alias("a")).scalar()
@@ -80,10 +86,17 @@ def _exact_quantiles(df: DataFrame, c: str, pdf: DataFrame, splits: int | None)
         "p_no", "prob", (F.col("vlo") + (F.col("pos") - F.col("lo")) * (F.col("vhi") - F.col("vlo"))).alias(c))
 
 
-def percentile_scalars(df: DataFrame, col: str, probs=PROBS, method: str = "exact") -> list:
-    """Each percentile as a scalar-subquery Column (evaluated once)."""
-    q = percentiles(df, col, probs, method)
-    return [q.where(F.col("p_no") == i).select(col).scalar() for i in range(len(probs))]
+def percentile_scalars(df: DataFrame, cols, probs=PROBS, method: str = "exact") -> dict:
+    """Percentiles of several columns as literals for row predicates.
+
+    One scalar subquery returns the whole (prob x column) table as a sorted
+    array of structs (len(probs) entries - bounded), evaluated once; each
+    threshold is an element of it.  Returns ``{col: [Column per prob]}``.
+    """
+    cols = [cols] if isinstance(cols, str) else list(cols)
+    q = percentiles(df, cols, probs, method)
+    arr = q.agg(F.array_sort(F.collect_list(F.struct("p_no", *cols))).alias("a")).scalar()
+    return {c: [F.element_at(arr, i + 1)[c] for i in range(len(probs))] for c in cols}
 
 
 def histogram(df: DataFrame, col: str, lo: float = 0.0, hi: float = 1.0, bins: int = 10) -> DataFrame:
@@ -112,8 +125,8 @@ CRITERIA_X08 = ("strong_pri_weak_sig", "strong_sig_weak_pri", "fn_sig", "fn_pri"
 def hard_example_flags(df: DataFrame, method: str = "exact") -> DataFrame:
     """The seven criteria as boolean columns, thresholds from the
     percentiles of the filtered input itself."""
-    p = percentile_scalars(df, "pri_conf", PROBS, method)
-    s = percentile_scalars(df, "sig_conf", PROBS, method)
+    ps = percentile_scalars(df, ["pri_conf", "sig_conf"], PROBS, method)
+    p, s = ps["pri_conf"], ps["sig_conf"]
     sig, pri = F.col("sig_conf"), F.col("pri_conf")
     pos_p, pos_s, neg = F.col("sig") == 2, F.col("sig") == 1, F.col("sig") == 0
     pp, sp = F.col("pri_pred") == "True", F.col("sig_pred") == "True"
@@ -207,15 +220,16 @@ def prepare_climate(df: DataFrame, lexicons: dict | None = None) -> DataFrame:
         "adapt_sig_pred": F.col("adapt_sig_conf") > 0.5, "adapt_pri_pred": F.col("adapt_pri_conf") > 0.5,
         "mitig_sig_pred": F.col("mitig_sig_conf") > 0.5, "mitig_pri_pred": F.col("mitig_pri_conf") > 0.5,
     })
-    clean = T.clean_text_r(F.col("text"))
-    x = x.withColumns({
+    x = stage(x, {"_clean_r": T.clean_text_r(F.col("text"))})
+    clean = F.col("_clean_r")
+    x = stage(x, {
         "_supp": keyword_match(clean, lx["supplemental_climate"]),
         "_neg": keyword_match(clean, lx["negative_climate"]),
         "adaptation_match": keyword_match(clean, lx["strong_adaptation"]),
         "mitigation_match": keyword_match(clean, lx["strong_mitigation"]),
     })
     x = x.withColumn("match", F.when(F.col("_supp"), F.lit("True")).otherwise(F.col("match")))
-    x = x.where(~F.col("_neg")).drop("_supp", "_neg")
+    x = x.where(~F.col("_neg")).drop("_supp", "_neg", "_clean_r")
     x = x.withColumns({"adapt_sig": M.cap_marker("adapt_sig"), "mitig_sig": M.cap_marker("mitig_sig")})
     x = x.where(~((F.col("match") == "True") & (F.col("adapt_sig") == 0) & (F.col("mitig_sig") == 0)))
     x = x.where(~((F.col("match") == "False") & ((F.col("adapt_sig") > 0) | (F.col("mitig_sig") > 0))))
@@ -279,7 +293,8 @@ def adjacent_next(df: DataFrame, col: str, tiebreak: str | None = None, splits:
     one row per range.
     """
     order = [col] + ([tiebreak] if tiebreak else [])
-    x = _range_split(df, order, splits)
+    # the pairwise distance after this step is CPU-bound: use finer ranges
+    x = _range_split(df, order, splits or 4 * _nparts(df, None))
     w = Window.partitionBy("_seg").orderBy(*[F.col(c) for c in order])
     x = x.withColumn("_lead", F.lead(F.col(col)).over(w))
     okey = F.struct(*[F.col(c) for c in order])
@@ -292,19 +307,27 @@ def adjacent_next(df: DataFrame, col: str, tiebreak: str | None = None, splits:
 
 def near_dup_distance(df: DataFrame, col: str = "text", tiebreak: str | None = None, threshold: float = 0.2,
                       out: str = "dist") -> DataFrame:
-    """W03 + T13: ``levenshtein(text, next)/length(text)``.  The banded
-    distance stops at the threshold: pairs proven far (length gap or band
-    exceeded) get ``dist = +inf`` instead of an exact value."""
+    """W03 + T13: ``levenshtein(text, next)/length(text)``.
+
+    Exact when the distance is within the band ``ceil(threshold * length)``;
+    beyond it the value is a lower bound that is still >= threshold (the
+    banded DP stops early, and a length gap larger than the band skips the DP
+    entirely), which is all the near-duplicate decision needs.
+
+    The distance expression occurs once in the plan: ``pmod(d, k + 2)`` maps
+    the banded result's "beyond band" marker -1 to k + 1, so no second
+    reference is needed (filters pushed through projections copy every
+    reference of an aliased expression).
+    """
     x = adjacent_next(df, col, tiebreak)
     a, b = F.col(col), F.col("next_text")
     la = F.length(a)
     k = F.ceil(la * F.lit(threshold)).cast("int")
-    far = F.abs(la - F.length(b)) > k
-    # banded distance with a per-row band (the Python wrapper takes only a literal)
-    d = F.call_function("levenshtein", a, b, k)
+    near_len = F.abs(la - F.length(b)) <= k
+    band = F.pmod(F.call_function("levenshtein", a, b, k), k + 2)
     dist = (F.when(b.isNull() | (la == 0), F.lit(None).cast("double"))
-            .when(far | (d < 0), F.lit(float("inf")))
-            .otherwise(d.cast("double") / la.cast("double")))
+            .when(~near_len, (F.abs(la - F.length(b))).cast("double") / la.cast("double"))
+            .otherwise(band.cast("double") / la.cast("double")))
     return x.withColumn(out, dist).drop("next_text")
 
 
@@ -314,7 +337,4 @@ def drop_near_dups(df: DataFrame, col: str = "text", tiebreak: str | None = None
     last row (no next) is kept by default, dropped with ``keep_last=False``
     like the reference (D5)."""
     x = near_dup_distance(df, col, tiebreak, threshold)
-    keep = F.col("dist") >= threshold
-    if keep_last:
-        keep = keep | F.col("dist").isNull()
-    return x.where(fbool(keep)).drop("dist")
+    return x.where(F.coalesce(F.col("dist") >= threshold, F.lit(keep_last))).drop("dist")

@@ -14,7 +14,7 @@ from functools import lru_cache
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .._util import col_of
+from .._util import col_of, stage
 from ..functions import text as T
 from ..functions.lexicon import Lexicon
 
@@ -25,16 +25,38 @@ STOP_LANGS = ("english", "spanish", "french", "german")
 def stop_words(langs=STOP_LANGS) -> tuple:
     """T10 word lists: Spark ML's shipped stop-word lists for the languages.
 
-    (The reference used another public list; both are parameters here.)
+    Read from the Spark ML jar's resources (no JVM needed, so SQL text that
+    embeds the list can be built before any session exists); falls back to
+    ``StopWordsRemover.loadDefaultStopWords``.  (The reference used another
+    public list; both are parameters here.)
     """
-    from pyspark.ml.feature import StopWordsRemover
-
     out = set()
     for lang in langs:
-        out.update(StopWordsRemover.loadDefaultStopWords(lang))
+        out.update(_jar_stop_words(lang) or _jvm_stop_words(lang))
     return tuple(sorted(out))
 
 
+def _jar_stop_words(lang: str):
+    import glob
+    import os
+    import zipfile
+
+    import pyspark
+
+    for jar in glob.glob(os.path.join(os.path.dirname(pyspark.__file__), "jars", "spark-mllib_*.jar")):
+        with zipfile.ZipFile(jar) as z:
+            name = f"org/apache/spark/ml/feature/stopwords/{lang}.txt"
+            if name in z.namelist():
+                return [w for w in z.read(name).decode("utf-8").splitlines() if w]
+    return None
+
+
+def _jvm_stop_words(lang: str):
+    from pyspark.ml.feature import StopWordsRemover
+
+    return StopWordsRemover.loadDefaultStopWords(lang)
+
+
 def remove_stop_words(tok, words=None) -> Column:
     """T10 on a token array (row-local form, for small frames and streams)."""
     words = stop_words() if words is None else tuple(words)
@@ -59,17 +81,24 @@ def explode_words(docs: DataFrame, doc_id: str, cls: str | None, tokens: str, st
     return x.join(F.broadcast(sw), "word", "left_anti")
 
 
-def idf(words: DataFrame, n_docs: Column, doc_id: str) -> DataFrame:
+def doc_word_counts(words: DataFrame, doc_id: str, cls: str) -> DataFrame:
+    """(doc, class, word, n): one shuffle, partially aggregated map-side."""
+    return words.groupBy(doc_id, cls, "word").agg(F.count(F.lit(1)).alias("n"))
+
+
+def idf(counts: DataFrame, n_docs: Column) -> DataFrame:
     """Smoothed idf = ln((1+n)/(1+df)) + 1; df = documents with the word."""
-    d = words.select(doc_id, "word").distinct().groupBy("word").agg(F.count(F.lit(1)).alias("df"))
+    d = counts.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
     return d.withColumn("idf", F.log((F.lit(1) + n_docs) / (F.lit(1) + F.col("df"))) + F.lit(1.0))
 
 
 def class_tfidf(words: DataFrame, n_docs: Column, doc_id: str, cls: str) -> DataFrame:
     """Raw term counts of each class's concatenated text x idf,
-    L2-normalised per class (norm over the class's (word) rows)."""
-    idf_t = idf(words, n_docs, doc_id)
-    tf = words.groupBy(cls, "word").agg(F.count(F.lit(1)).alias("tf"))
+    L2-normalised per class (norm over the class's (word) rows).  tf and df
+    both come from one (doc, class, word) count."""
+    counts = doc_word_counts(words, doc_id, cls)
+    idf_t = idf(counts, n_docs)
+    tf = counts.groupBy(cls, "word").agg(F.sum("n").alias("tf"))
     s = tf.join(idf_t, "word").withColumn("raw", F.col("tf") * F.col("idf"))
     norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy(cls)))
     return s.withColumn("score", F.col("raw") / norm).select(cls, "word", "score")
@@ -108,7 +137,7 @@ def discover_keywords(df: DataFrame, text: str = "text", sig: str = "sig", flag:
     x = df.where(FL.declared(flag, sig, (0, 1, 2))).where(FL.usable_text(text)).select(
         text, sig, *([order_col] if order_col else []))
     x = D.dedupe(x, [text], order_col)
-    x = x.withColumn("_doc", F.xxhash64(F.col(text))).withColumn("_tok", doc_tokens(F.col(text)))
+    x = stage(x.withColumn("_doc", F.xxhash64(F.col(text))), {"_tok": doc_tokens(F.col(text))})
     n_docs = x.agg(F.count(F.lit(1))).scalar()
     words = explode_words(x, "_doc", sig, "_tok", stop)
     sc = class_tfidf(words, n_docs, "_doc", sig)
@@ -119,10 +148,34 @@ def discover_keywords(df: DataFrame, text: str = "text", sig: str = "sig", flag:
 # J02 / A31 / X11
 # ---------------------------------------------------------------------------
 
-def _ngrams(tok: Column, n: int) -> Column:
-    return F.when(F.size(tok) >= n, F.transform(
-        F.sequence(F.lit(0), F.size(tok) - n), lambda i: F.array_join(F.slice(tok, i + 1, n), " ")
-    )).otherwise(F.array().cast("array<string>"))
+def matched_entries(clean, lex: Lexicon) -> Column:
+    """Entries of ``lex`` present in a cleaned text, as an array.
+
+    Single words: hash-set intersection of the text's tokens with the word
+    list (linear in the text).  Phrases: padded substring test per phrase.
+    """
+    c = F.coalesce(col_of(clean), F.lit(""))
+    parts = []
+    if lex.single:
+        parts.append(F.array_intersect(F.split(c, " "), F.array(*[F.lit(w) for w in lex.single])))
+    if lex.phrases:
+        padded = F.concat(F.lit(" "), c, F.lit(" "))
+        parts.append(F.filter(F.array(*[F.lit(p) for p in lex.phrases]),
+                              lambda p: F.instr(padded, F.concat(F.lit(" "), p, F.lit(" "))) > 0))
+    if not parts:
+        return F.array().cast("array<string>")
+    return parts[0] if len(parts) == 1 else F.concat(*parts)
+
+
+def lexicon_join(df: DataFrame, clean: str, lex: Lexicon, carry) -> DataFrame:
+    """(row, entry) pairs for every lexicon entry present in the row.
+
+    The lexicon is a bounded parameter list, so it is matched inside each row
+    (``matched_entries``) and only the matches are exploded: one pass, no
+    per-keyword rescans, no join of all tokens against the word list.
+    """
+    carry = [carry] if isinstance(carry, str) else list(carry)
+    return df.select(*carry, F.explode(matched_entries(F.col(clean), lex)).alias("entry"))
 
 
 def lexicon_table(spark, lex: Lexicon) -> DataFrame:
@@ -134,25 +187,6 @@ def lexicon_table(spark, lex: Lexicon) -> DataFrame:
     return spark.createDataFrame(rows, "kw_no int, keyword string, entry string")
 
 
-def lexicon_join(df: DataFrame, clean: str, lex: Lexicon, carry) -> DataFrame:
-    """(row, entry) pairs for every lexicon entry present in the row.
-
-    Distinct tokens and n-grams (n up to the longest entry) are exploded and
-    equi-joined with the entry list: one pass, hash join, no per-keyword
-    rescans and no nested loop.
-    """
-    spark = df.sparkSession
-    maxn = max([len(e.split(" ")) for e in lex.entries] or [1])
-    tok = F.split(F.coalesce(F.col(clean), F.lit("")), " ")
-    grams = tok
-    for n in range(2, maxn + 1):
-        grams = F.concat(grams, _ngrams(tok, n))
-    carry = [carry] if isinstance(carry, str) else list(carry)
-    x = df.select(*carry, F.explode(F.array_distinct(grams)).alias("entry"))
-    ents = spark.createDataFrame([(e,) for e in lex.entries], "entry string")
-    return x.join(F.broadcast(ents), "entry")   # lexicon: parameter list, bounded
-
-
 def keyword_scores(df: DataFrame, lex: Lexicon, score_cols, clean: str = "_clean",
                    digits: int | None = None) -> DataFrame:
     """Mean of each score over rows matching each keyword; no match -> 0.
@@ -177,7 +211,7 @@ def score_vocabulary(df: DataFrame, lex: Lexicon, score_cols, markers=("climate_
     matches the lexicon, then per-keyword mean scores."""
     from .._util import any_of
 
-    x = df.withColumn("_clean", T.clean_text(F.col(text)))
+    x = stage(df, {"_clean": T.clean_text(F.col(text))})
     pos = any_of([F.coalesce(F.col(m).isin(1, 2), F.lit(False)) for m in markers])
     ml = match_lex or lex
     x = x.where(pos & ml.match(F.col("_clean")))

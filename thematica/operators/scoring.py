@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as Ty
 
-from .._util import col_of
+from .._util import col_of, stage
 from ..functions import markers as M
 from ..functions import text as T
 from ..functions.lexicon import Lexicon
@@ -165,10 +165,13 @@ def score_text(df: DataFrame, scorers: dict, lexicons: dict, *, text_col: str =
     themes = themes or [t.key for t in M.THEMES]
     groups = [g for g in M.GROUPS if any(M.THEME[t].group == g for t in themes)]
     clean = "_clean"
-    df = df.withColumn(clean, T.clean_text(F.col(text_col)))
+    # staged: the cleaned text and its tokens are computed once per row (an
+    # expression used inside a lambda would run once per chunk otherwise)
+    df = stage(df, {clean: T.clean_text(F.col(text_col))})
+    df = stage(df, {"_tok": F.split(F.col(clean), " ")})
     kw = {M.kw_col(g): lexicons[g].match(F.col(clean)) for g in groups if g in lexicons}
     df = df.withColumns(kw)
-    df = df.withColumn("_chunks", T.chunk_tokens(F.split(F.col(clean), " "), max_tokens))
+    df = df.withColumn("_chunks", T.chunk_tokens(F.col("_tok"), max_tokens))
     for g in groups:
         active = F.col(clean).isNotNull()
         if screened_aware:
@@ -185,7 +188,7 @@ def score_text(df: DataFrame, scorers: dict, lexicons: dict, *, text_col: str =
             upd[M.pred_col(t, lv)] = sp | F.coalesce(raw > 0.5, F.lit(False))
             upd[M.conf_col(t, lv)] = F.greatest(sc, raw)
     df = df.withColumns(upd)
-    drop = [clean, "_chunks"] + [raw_col(t, lv) for t in themes for lv in M.LEVELS]
+    drop = [clean, "_tok", "_chunks"] + [raw_col(t, lv) for t in themes for lv in M.LEVELS]
     return df.drop(*[c for c in drop if c in df.columns])
 
 
@@ -292,16 +295,18 @@ def reduce_chunks(chunk_scores: DataFrame, key, labels) -> DataFrame:
 
 def explode_chunks(df: DataFrame, clean_col: str, max_tokens: int = 512) -> DataFrame:
     """T12 as rows: one row per (record, chunk index, chunk text)."""
-    ch = T.chunk_tokens(F.split(col_of(clean_col), " "), max_tokens)
-    return df.select("*", F.posexplode(ch).alias("chunk_no", "_chunk_tokens")).withColumn(
-        "chunk_text", F.array_join("_chunk_tokens", " ")).drop("_chunk_tokens")
+    x = stage(df, {"_tok": F.split(col_of(clean_col), " ")})
+    ch = T.chunk_tokens(F.col("_tok"), max_tokens)
+    return x.select("*", F.posexplode(ch).alias("chunk_no", "_chunk_tokens")).withColumn(
+        "chunk_text", F.array_join("_chunk_tokens", " ")).drop("_chunk_tokens", "_tok")
 
 
 def compare_scorers(df: DataFrame, a: Scorer, b: Scorer, text_col: str, max_tokens: int = 512) -> DataFrame:
     """Two scorers of the same group on the same rows, with differences."""
-    clean = T.clean_text(F.col(text_col))
-    x = df.withColumn("_chunks", T.chunk_tokens(F.split(clean, " "), max_tokens))
-    on = F.lit(True) & clean.isNotNull()
+    x = stage(df, {"_clean": T.clean_text(F.col(text_col))})
+    x = stage(x, {"_tok": F.split(F.col("_clean"), " ")})
+    x = stage(x, {"_chunks": T.chunk_tokens(F.col("_tok"), max_tokens)})
+    on = F.col("_clean").isNotNull()
     x = a.apply(x, "_chunks", on)
     ren = {raw_col(t, lv): f"a_{t}_{lv}" for (t, lv) in a.labels}
     x = x.withColumnsRenamed(ren)
@@ -309,4 +314,4 @@ def compare_scorers(df: DataFrame, a: Scorer, b: Scorer, text_col: str, max_toke
     ren = {raw_col(t, lv): f"b_{t}_{lv}" for (t, lv) in b.labels}
     x = x.withColumnsRenamed(ren)
     diffs = {f"diff_{t}_{lv}": F.col(f"b_{t}_{lv}") - F.col(f"a_{t}_{lv}") for (t, lv) in a.labels}
-    return x.withColumns(diffs).drop("_chunks")
+    return x.withColumns(diffs).drop("_chunks", "_tok", "_clean")

@@ -19,6 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .._util import stage
 from ..functions import text as T
 from ..session import table_path
 
@@ -129,8 +130,8 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     from ..functions.lexicon import Lexicon
 
-    rec = records(spark, sf_dir)
-    clean = T.clean_text(F.col("text"))
+    rec = stage(records(spark, sf_dir), {"_clean": T.clean_text(F.col("text"))})
+    clean = F.col("_clean")
     model = Lexicon("doc_model", DOC_MODEL_WORDS)
     match = Lexicon("doc_match", DOC_MATCH_WORDS)
     tok = F.split(F.coalesce(clean, F.lit("")), " ")
@@ -218,8 +219,8 @@ def climate_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     d = load(spark, sf_dir, "documents")
     lab = load(spark, sf_dir, "labels")
-    x = d.join(lab, "doc_id", "left")
-    clean = T.clean_text(F.col("text"))
+    x = stage(d.join(lab, "doc_id", "left"), {"_clean": T.clean_text(F.col("text"))})
+    clean = F.col("_clean")
     tok = F.split(F.coalesce(clean, F.lit("")), " ")
     ha = Lexicon("a", CLIMATE_A_WORDS).hits(tok)
     hm = Lexicon("m", CLIMATE_M_WORDS).hits(tok)
