@@ -417,3 +417,14 @@ LIMIT 100""")
 def q_sample(spark, sf):
     f = TB.flows(spark, sf).select("l_orderkey", "l_linenumber", "project_title")
     return sample_n(f, 100, 42, ["l_orderkey", "l_linenumber"])
+
+
+# --- F26 + A26 + O04: labelled evaluation sample (distinct texts, seeded order)
+@register("evaluation_sample", f"""WITH {TB.FLOWS_SQL.strip()},
+d AS (SELECT DISTINCT gender, project_title FROM flows WHERE gender IS NOT NULL AND year = 1998)
+SELECT gender, project_title FROM d
+ORDER BY md5(concat_ws('|', '7', coalesce(CAST(gender AS VARCHAR), ''), coalesce(project_title, ''))), gender, project_title
+LIMIT 20""")
+def q_eval_sample(spark, sf):
+    f = TB.flows(spark, sf).where(filters.labelled_year("gender", 1998)).select("gender", "project_title").distinct()
+    return sample_n(f, 20, 7, ["gender", "project_title"])
