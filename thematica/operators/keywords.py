@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from .._util import col_of, stage
 from ..functions import text as T
 from ..functions.lexicon import Lexicon
+from ..session import cut_lineage
 
 STOP_LANGS = ("english", "spanish", "french", "german")
 
@@ -140,7 +141,10 @@ def discover_keywords(df: DataFrame, text: str = "text", sig: str = "sig", flag:
     x = stage(x.withColumn("_doc", F.xxhash64(F.col(text))), {"_tok": doc_tokens(F.col(text))})
     n_docs = x.agg(F.count(F.lit(1))).scalar()
     words = explode_words(x, "_doc", sig, "_tok", stop)
-    sc = class_tfidf(words, n_docs, "_doc", sig)
+    # the scored vocabulary (classes x words, bounded by the vocabulary) feeds
+    # one dependent ranking step per class: materialise it once in the
+    # shared checkpoint folder instead of re-tokenising the corpus per step
+    sc = cut_lineage(class_tfidf(words, n_docs, "_doc", sig))
     return top_words(sc, sig, classes, k).select(sig, "rank", "word", F.round("score", 6).alias("score"))
 
 

@@ -223,7 +223,7 @@ def _wants_dedupe(scorers, dedupe):
 def predict_activities(df: DataFrame, scorers: dict, lexicons: dict, text_cols=(
         "project_title", "short_description", "long_description"), *, strict_partition: bool = False,
         max_tokens: int = 512, salt: int = 1, round_digits: int | None = None,
-        dedupe: bool | None = None) -> DataFrame:
+        dedupe: bool | None = None, key_source: DataFrame | None = None) -> DataFrame:
     """Activity prediction.
 
     Screened rows (every theme's marker in {0,1,2}) keep null predictions
@@ -241,6 +241,11 @@ def predict_activities(df: DataFrame, scorers: dict, lexicons: dict, text_cols=(
       second pass over the input; pays off only when texts rarely repeat and
       the scorer is cheap (measured: 2x slower on the flows view, where
       600k rows share ~2k distinct keys).
+
+    ``key_source`` (dedupe path): a cheaper frame holding every key tuple of
+    ``df`` (a superset is fine - unmatched keys are never joined), e.g. the
+    one table the text and marker columns come from, so the distinct branch
+    does not recompute an expensive join that produced ``df``.
     """
     text_cols = [c for c in text_cols if c in df.columns]
     keys = text_cols + list(M.MARKERS)
@@ -253,7 +258,8 @@ def predict_activities(df: DataFrame, scorers: dict, lexicons: dict, text_cols=(
         x = score_text(x, scorers, lexicons, max_tokens=max_tokens, round_digits=round_digits).drop("_text")
         pcols = M.prediction_columns()
         return x.withColumns({c: F.when(needs, F.col(c)) for c in pcols if c in x.columns})
-    distinct = df.where(needs).select(*keys).dropDuplicates(keys)
+    src = df if key_source is None else key_source
+    distinct = src.where(needs).select(*keys).dropDuplicates(keys)
     distinct = distinct.withColumn("_text", T.build_text(text_cols))
     scored = score_text(distinct, scorers, lexicons, max_tokens=max_tokens,
                         round_digits=round_digits).drop("_text")

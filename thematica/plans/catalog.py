@@ -59,7 +59,7 @@ def flow_scorers() -> dict:
 def predicted_flows(spark, sf_dir) -> DataFrame:
     f = TB.flows(spark, sf_dir)
     return scoring.predict_activities(f, flow_scorers(), flow_lexicons(), text_cols=("project_title",),
-                                      round_digits=6)
+                                      round_digits=6, key_source=TB.flow_keys(spark, sf_dir))
 
 
 def automated_flows(spark, sf_dir) -> DataFrame:

@@ -68,6 +68,20 @@ def flows(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def flow_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The text and marker columns of ``flows`` from lineitem and part alone
+    (a superset of the flows key tuples; no orders/customer/supplier join)."""
+    li = load(spark, sf_dir, "lineitem").select("l_partkey", "l_linenumber", "l_quantity")
+    p = load(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size")
+    q = F.col("l_quantity").cast("int")
+    return li.join(p, li.l_partkey == p.p_partkey).select(
+        F.col("p_name").alias("project_title"),
+        F.when(F.col("p_size") % 4 != 3, F.col("p_size") % 4).alias("gender"),
+        F.when(F.col("l_linenumber") % 4 != 3, F.col("l_linenumber") % 4).alias("disability"),
+        F.when(q % 5 < 3, q % 5).alias("climate_adaptation"),
+        F.when(q % 7 < 3, q % 7).alias("climate_mitigation"))
+
+
 FLOWS_SQL = """
 flows AS (
   SELECT l_orderkey, l_linenumber,
