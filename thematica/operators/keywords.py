@@ -110,17 +110,20 @@ def top_words(scores: DataFrame, cls: str, order, k: int = 250) -> DataFrame:
     final lists of the classes before it; zero scores removed; ties by word.
 
     The top-k is the feature here (a ranked report), so the limit is kept.
-    The window runs over (class, word) rows, bounded by the vocabulary.
+    Ranks come from ``rank_within`` (range segments + offsets), so one large
+    class vocabulary is not sorted in a single task.
     """
-    scores = scores.where(F.col("score") > 0)
+    from .ranking import rank_within
+
+    scores = scores.where(F.col("score") > 0).withColumn("_neg", -F.col("score"))
     taken = None
     out = None
     for c in order:
         s = scores.where(F.col(cls) == F.lit(c))
         if taken is not None:
             s = s.join(taken, "word", "left_anti")
-        w = Window.partitionBy(cls).orderBy(F.col("score").desc(), F.col("word"))
-        top = s.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+        # exact rank by (score desc, word) without sorting a class in one task
+        top = rank_within(s, [cls], ["_neg", "word"], "rank").where(F.col("rank") <= k).drop("_neg")
         out = top if out is None else out.unionByName(top)
         tw = top.select("word")
         taken = tw if taken is None else taken.unionByName(tw)
