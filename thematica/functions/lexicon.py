@@ -83,9 +83,9 @@ class Lexicon:
         """Padded whole-word alternation, for ``' ' || clean || ' '``."""
         return " (" + "|".join(_escape(w) for w in self.entries) + ") "
 
-    def match(self, clean) -> Column:
+    def match(self, clean, tokens=None) -> Column:
         """Boolean, FALSE for a null/empty cleaned text."""
-        return keyword_match(clean, self)
+        return keyword_match(clean, self, tokens)
 
     def hits(self, tok) -> Column:
         """Number of distinct entries present in a token array (single words)."""
@@ -97,11 +97,13 @@ def _needs_regex(w: str) -> bool:
     return any(not (ch.isalnum() or ch == "_") for ch in w)
 
 
-def keyword_match(clean, lex: Lexicon) -> Column:
+def keyword_match(clean, lex: Lexicon, tokens=None) -> Column:
+    """T04.  ``tokens``: the cleaned text already split on spaces (a staged
+    column), to avoid splitting the text again for every lexicon."""
     clean = col_of(clean)
     parts = []
     if lex.single:
-        toks = F.split(F.coalesce(clean, F.lit("")), " ")
+        toks = col_of(tokens) if tokens is not None else F.split(F.coalesce(clean, F.lit("")), " ")
         parts.append(F.arrays_overlap(toks, F.array(*[F.lit(w) for w in lex.single])))
     if lex.phrases:
         padded = F.concat(F.lit(" "), F.coalesce(clean, F.lit("")), F.lit(" "))

@@ -221,15 +221,16 @@ def prepare_climate(df: DataFrame, lexicons: dict | None = None) -> DataFrame:
         "mitig_sig_pred": F.col("mitig_sig_conf") > 0.5, "mitig_pri_pred": F.col("mitig_pri_conf") > 0.5,
     })
     x = stage(x, {"_clean_r": T.clean_text_r(F.col("text"))})
-    clean = F.col("_clean_r")
+    x = stage(x, {"_tok_r": F.split(F.coalesce(F.col("_clean_r"), F.lit("")), " ")})
+    clean, tok = F.col("_clean_r"), F.col("_tok_r")
     x = stage(x, {
-        "_supp": keyword_match(clean, lx["supplemental_climate"]),
-        "_neg": keyword_match(clean, lx["negative_climate"]),
-        "adaptation_match": keyword_match(clean, lx["strong_adaptation"]),
-        "mitigation_match": keyword_match(clean, lx["strong_mitigation"]),
+        "_supp": keyword_match(clean, lx["supplemental_climate"], tok),
+        "_neg": keyword_match(clean, lx["negative_climate"], tok),
+        "adaptation_match": keyword_match(clean, lx["strong_adaptation"], tok),
+        "mitigation_match": keyword_match(clean, lx["strong_mitigation"], tok),
     })
     x = x.withColumn("match", F.when(F.col("_supp"), F.lit("True")).otherwise(F.col("match")))
-    x = x.where(~F.col("_neg")).drop("_supp", "_neg", "_clean_r")
+    x = x.where(~F.col("_neg")).drop("_supp", "_neg", "_clean_r", "_tok_r")
     x = x.withColumns({"adapt_sig": M.cap_marker("adapt_sig"), "mitig_sig": M.cap_marker("mitig_sig")})
     x = x.where(~((F.col("match") == "True") & (F.col("adapt_sig") == 0) & (F.col("mitig_sig") == 0)))
     x = x.where(~((F.col("match") == "False") & ((F.col("adapt_sig") > 0) | (F.col("mitig_sig") > 0))))

@@ -169,7 +169,8 @@ def score_text(df: DataFrame, scorers: dict, lexicons: dict, *, text_col: str =
     # expression used inside a lambda would run once per chunk otherwise)
     df = stage(df, {clean: T.clean_text(F.col(text_col))})
     df = stage(df, {"_tok": F.split(F.col(clean), " ")})
-    kw = {M.kw_col(g): lexicons[g].match(F.col(clean)) for g in groups if g in lexicons}
+    kw = {M.kw_col(g): lexicons[g].match(F.col(clean), F.coalesce(F.col("_tok"), F.array().cast("array<string>")))
+          for g in groups if g in lexicons}
     df = df.withColumns(kw)
     df = df.withColumn("_chunks", T.chunk_tokens(F.col("_tok"), max_tokens))
     for g in groups:

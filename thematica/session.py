@@ -58,3 +58,26 @@ def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
 
 def table_path(sf_dir: str, name: str) -> str:
     return os.path.join(sf_dir, f"{name}.parquet")
+
+
+def spread(df: DataFrame, key: str | None = None, min_bytes: int = 8 << 20) -> DataFrame:
+    """Give CPU-heavy narrow work enough tasks.
+
+    A scan yields one task per file split; a large table stored as a single
+    row group arrives as one partition, and every regex/scoring step before
+    the first shuffle would then run on one core.  When the optimizer's size
+    estimate is at least ``min_bytes`` and the scan has fewer partitions than
+    the cluster's default parallelism, rows are round-robin repartitioned
+    once.  On a cluster reading many splits this is a no-op (no shuffle).
+    With ``key`` the rows are hash-partitioned on it (deterministic on
+    retry without the pre-shuffle sort a round-robin split needs).
+    """
+    spark = df.sparkSession
+    target = spark.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size < min_bytes:
+        return df
+    # planning only (builds the scan's RDD, runs no job)
+    if df._jdf.queryExecution().executedPlan().execute().getNumPartitions() >= target:
+        return df
+    return df.repartition(target, key) if key else df.repartition(target)

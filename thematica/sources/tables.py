@@ -21,14 +21,23 @@ from pyspark.sql import functions as F
 
 from .._util import stage
 from ..functions import text as T
-from ..session import table_path
+from ..session import spread, table_path
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 
+# text tables whose per-row work (regex cleaning, tokenising, scoring) is
+# CPU-heavy: spread when under-split, hashed on their id
+SPREAD_KEYS = {"documents": "doc_id"}
+
+
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(table_path(sf_dir, name))
+    """Read one driver table.  Large text tables that arrive in fewer splits
+    than the cluster has cores are spread (``session.spread``: a no-op when
+    the scan is already split into enough tasks)."""
+    df = spark.read.parquet(table_path(sf_dir, name))
+    return spread(df, SPREAD_KEYS[name]) if name in SPREAD_KEYS else df
 
 
 def flows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -145,14 +154,14 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..functions.lexicon import Lexicon
 
     rec = stage(records(spark, sf_dir), {"_clean": T.clean_text(F.col("text"))})
-    clean = F.col("_clean")
+    rec = stage(rec, {"_tok": F.split(F.coalesce(F.col("_clean"), F.lit("")), " ")})
+    clean, tok = F.col("_clean"), F.col("_tok")
     model = Lexicon("doc_model", DOC_MODEL_WORDS)
     match = Lexicon("doc_match", DOC_MATCH_WORDS)
-    tok = F.split(F.coalesce(clean, F.lit("")), " ")
     hits = model.hits(tok)
     return rec.select(
         "doc_id", "text", "lang", "source", "sig",
-        match.match(clean).alias("match"),
+        match.match(clean, tok).alias("match"),
         F.round(T.sigmoid(hits - F.lit(SIG_BIAS)), 6).alias("sig_conf"),
         F.round(T.sigmoid(hits - F.lit(PRI_BIAS)), 6).alias("pri_conf"),
     ).withColumns({"sig_pred": F.col("sig_conf") > 0.5, "pri_pred": F.col("pri_conf") > 0.5})
@@ -234,11 +243,11 @@ def climate_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = load(spark, sf_dir, "documents")
     lab = load(spark, sf_dir, "labels")
     x = stage(d.join(lab, "doc_id", "left"), {"_clean": T.clean_text(F.col("text"))})
-    clean = F.col("_clean")
-    tok = F.split(F.coalesce(clean, F.lit("")), " ")
+    x = stage(x, {"_tok": F.split(F.coalesce(F.col("_clean"), F.lit("")), " ")})
+    clean, tok = F.col("_clean"), F.col("_tok")
     ha = Lexicon("a", CLIMATE_A_WORDS).hits(tok)
     hm = Lexicon("m", CLIMATE_M_WORDS).hits(tok)
-    match = Lexicon("doc_match", DOC_MATCH_WORDS).match(clean)
+    match = Lexicon("doc_match", DOC_MATCH_WORDS).match(clean, tok)
 
     def conf(h, p):
         return F.round(T.sigmoid(F.lit(p[0]) * h - F.lit(p[1])), 6)
