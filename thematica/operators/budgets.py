@@ -31,6 +31,8 @@ def _fill(df: DataFrame, col: str, part, ord_col: str, out: str, backward: bool,
     n = splits or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     x = df.repartitionByRange(n, *[F.col(p) for p in part], F.col(ord_col)).withColumn(
         "_seg", F.spark_partition_id())
+    # one segment per task for the per-segment window (no narrower hash exchange)
+    x = x.repartitionByRange(n, *[F.col(p) for p in part], F.col("_seg"))
     seg = part + ["_seg"]
     w = Window.partitionBy(*seg).orderBy(F.col(ord_col))
     if backward:

@@ -33,9 +33,20 @@ def _nparts(df: DataFrame, n: int | None) -> int:
     return n or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def _range_split(df: DataFrame, order_cols, n: int | None) -> DataFrame:
-    return df.repartitionByRange(_nparts(df, n), *[F.col(c) for c in order_cols]).withColumn(
+def _range_split(df: DataFrame, order_cols, n: int | None, part=()) -> DataFrame:
+    """Cut rows into contiguous segments of (part, order) and lay each
+    segment out in its own partition.
+
+    The first exchange range-partitions on the order; the segment id is that
+    partition's index.  The per-segment window that follows needs rows
+    clustered by segment: range-partitioning on the (small, integer) segment
+    id gives one segment per task and satisfies the window, so no further
+    exchange with fewer, unevenly loaded partitions is planned.
+    """
+    n = _nparts(df, n)
+    x = df.repartitionByRange(n, *[F.col(c) for c in (*part, *order_cols)]).withColumn(
         "_seg", F.spark_partition_id())
+    return x.repartitionByRange(n, *[F.col(c) for c in (*part, "_seg")])
 
 
 def percentiles(df: DataFrame, cols, probs=PROBS, method: str = "exact", splits: int | None = None,

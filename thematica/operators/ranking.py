@@ -22,6 +22,8 @@ def rank_within(df: DataFrame, part, order, out: str = "rank", splits: int | Non
     order = [order] if isinstance(order, str) else list(order)
     n = splits or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     x = df.repartitionByRange(n, *[F.col(c) for c in part + order]).withColumn("_seg", F.spark_partition_id())
+    # one segment per task for the per-segment window (no narrower hash exchange)
+    x = x.repartitionByRange(n, *[F.col(c) for c in part + ["_seg"]])
     seg = part + ["_seg"]
     x = x.withColumn("_local", F.row_number().over(Window.partitionBy(*seg).orderBy(*[F.col(c) for c in order])))
     cnt = x.groupBy(*seg).agg(F.count(F.lit(1)).alias("_cnt"))
