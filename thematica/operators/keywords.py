@@ -203,7 +203,7 @@ def keyword_scores(df: DataFrame, lex: Lexicon, score_cols, clean: str = "_clean
     # one row per lexicon entry after the partial aggregate
     means = pairs.groupBy("entry").agg(*[F.avg(c).alias(c) for c in score_cols])
     kws = lexicon_table(spark, lex)
-    out = kws.join(F.broadcast(means), "entry", "left")
+    out = kws.join(F.broadcast(means), "entry", "left")   # <= one row per lexicon entry (a parameter list)
     sel = []
     for c in score_cols:
         v = F.coalesce(F.col(c), F.lit(0.0))

@@ -40,7 +40,9 @@ def encode_class(df: DataFrame, col: str, out: str = "class_id") -> DataFrame:
     """P20: dense ids of the sorted distinct labels (0-based).  The id table
     has one row per label (small) and is joined back."""
     ids = df.select(col).distinct().withColumn(out, F.dense_rank().over(Window.orderBy(col)) - 1)
-    return df.join(F.broadcast(ids), col, "left")   # one row per distinct label
+    # one row per distinct label; no broadcast hint - the label count is data,
+    # so AQE broadcasts it only when its measured size is small
+    return df.join(ids, col, "left")
 
 
 def stratified_split(df: DataFrame, label: str, test: float = 0.2, seed=42, key_cols=("text",),
@@ -50,8 +52,8 @@ def stratified_split(df: DataFrame, label: str, test: float = 0.2, seed=42, key_
     x = df.withColumn("_h", hash_order(seed, *key_cols))
     n = x.groupBy(F.col(label).alias("_lab")).agg(F.count(F.lit(1)).alias("_n"))
     r = rank_within(x, [label], ["_h", *key_cols], "_r")
-    # the count table has one row per stratum
-    x = r.join(F.broadcast(n), r[label].eqNullSafe(F.col("_lab"))).drop("_lab")
+    # one row per stratum (AQE broadcasts it when measured small)
+    x = r.join(n, r[label].eqNullSafe(F.col("_lab"))).drop("_lab")
     k = F.bround(F.lit(test) * F.col("_n"), 0)
     return x.withColumn(out, F.when(F.col("_r") <= k, F.lit("test")).otherwise(F.lit("train"))).drop("_h", "_r", "_n")
 
