@@ -17,5 +17,6 @@ def q_stream_kw(spark, sf):
     schema = TB.load(spark, sf, "documents").schema
     s = ST.read_stream(spark, sf, schema, glob="documents.parquet")
     out = ST.keyword_flags(s, {"doc_match": DOC_MATCH, "extra": EXTRA}).select("doc_id", "doc_match_kw", "extra_kw")
-    name = f"stream_kw_{abs(hash(sf)) % 10**8}"
+    import uuid
+    name = f"stream_kw_{uuid.uuid4().hex[:12]}"
     return ST.run_available(out, name)

@@ -72,12 +72,14 @@ def spread(df: DataFrame, key: str | None = None, min_bytes: int = 8 << 20) -> D
     With ``key`` the rows are hash-partitioned on it (deterministic on
     retry without the pre-shuffle sort a round-robin split needs).
     """
-    spark = df.sparkSession
-    target = spark.sparkContext.defaultParallelism
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    if size < min_bytes:
+    try:
+        spark = df.sparkSession
+        target = spark.sparkContext.defaultParallelism
+        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+        # planning only (builds the scan's RDD, runs no job)
+        parts = df._jdf.queryExecution().executedPlan().execute().getNumPartitions()
+    except Exception:  # noqa: BLE001 - no plan handles (e.g. a remote session): leave as read
         return df
-    # planning only (builds the scan's RDD, runs no job)
-    if df._jdf.queryExecution().executedPlan().execute().getNumPartitions() >= target:
+    if size < min_bytes or parts >= target:
         return df
     return df.repartition(target, key) if key else df.repartition(target)
