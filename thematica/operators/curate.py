@@ -55,46 +55,44 @@ def percentiles(df: DataFrame, cols, probs=PROBS, method: str = "exact", splits:
     ``percentile`` = DuckDB ``quantile_cont``), one row per probability with
     one column per input column.
 
-    ``exact`` ranks values inside range partitions (distributed, exact);
-    ``approx`` uses ``percentile_approx`` (sketch, bounded memory).
+    ``exact``: the columns are stacked as (name, value) pairs and ranked in
+    one distributed pass (``ranking.rank_within``: range segments + offsets,
+    never one task per column); only the ranks that bracket each probability
+    are kept and interpolated.  ``approx``: ``percentile_approx`` (sketch).
     """
     cols = [cols] if isinstance(cols, str) else list(cols)
     spark = df.sparkSession
     pdf = spark.createDataFrame([(i, float(p)) for i, p in enumerate(probs)], "p_no int, prob double")
-    out = pdf
-    if method != "approx":
-        # the exact method makes several passes (range sampling, shuffle,
-        # counts); materialise the value columns once - a small projection -
-        # in the shared checkpoint folder instead of recomputing the input
-        df = cut_lineage(df.select(*[F.col(c).cast("double").alias(c) for c in cols]))
-    for c in cols:
-        if method == "approx":
+    if method == "approx":
+        out = pdf
+        for c in cols:
             arr = df.select(F.percentile_approx(c, list(probs), accuracy).alias("a")).scalar()
-            q = pdf.select("p_no", "prob", F.element_at(arr, F.col("p_no") + 1).cast("double").alias(c))
-        else:
-            q = _exact_quantiles(df, c, pdf, splits)
-        out = out.join(q.select("p_no", c), "p_no")
-    return out.orderBy("p_no")
-
-
-def _exact_quantiles(df: DataFrame, c: str, pdf: DataFrame, splits: int | None) -> DataFrame:
-    v = df.select(F.col(c).cast("double").alias("v")).where(F.col("v").isNotNull())
-    x = _range_split(v, ["v"], splits)
-    x = x.withColumn("_r", F.row_number().over(Window.partitionBy("_seg").orderBy("v")) - 1)
-    counts = x.groupBy("_seg").agg(F.count(F.lit(1)).alias("_cnt"))
-    # per-range offsets; the table has one row per range (bounded by splits)
-    cw = Window.orderBy("_seg").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.withColumn("_off", F.coalesce(F.sum("_cnt").over(cw), F.lit(0)))
-    n = counts.select(F.sum("_cnt")).scalar()
-    g = x.join(F.broadcast(counts.select("_seg", "_off")), "_seg").select(
-        "v", (F.col("_off") + F.col("_r")).alias("g"))
-    pos = pdf.select("p_no", "prob", ((n - 1) * F.col("prob")).alias("pos"))
-    pos = pos.select("p_no", "prob", "pos", F.floor("pos").alias("lo"), F.ceil("pos").alias("hi"))
-    want = pos.select("p_no", F.explode(F.array("lo", "hi")).alias("g")).distinct()
-    hit = g.join(F.broadcast(want), "g")   # |want| <= 2 * len(probs)
-    vals = hit.groupBy("p_no").agg(F.min_by("v", "g").alias("vlo"), F.max_by("v", "g").alias("vhi"))
-    return pos.join(vals, "p_no", "left").select(
-        "p_no", "prob", (F.col("vlo") + (F.col("pos") - F.col("lo")) * (F.col("vhi") - F.col("vlo"))).alias(c))
+            q = pdf.select("p_no", F.element_at(arr, F.col("p_no") + 1).cast("double").alias(c))
+            out = out.join(q, "p_no")
+        return out.orderBy("p_no")
+    from .ranking import rank_within
+
+    # the passes below (range sampling, shuffle, counts) would each recompute
+    # the input: materialise the value columns once - a small projection - in
+    # the shared checkpoint folder
+    vals = cut_lineage(df.select(*[F.col(c).cast("double").alias(c) for c in cols]))
+    pairs = vals.select(F.inline(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).alias("v")) for c in cols])))
+    pairs = pairs.where(F.col("v").isNotNull())
+    ranked = rank_within(pairs, ["name"], ["v"], "r", splits)          # 1-based rank per column
+    n = pairs.groupBy("name").agg(F.count(F.lit(1)).alias("n"))       # one row per column
+    pos = n.select("name", "n", F.posexplode(F.array(*[F.lit(float(p)) for p in probs])).alias("p_no", "prob"))
+    pos = pos.withColumn("pos", (F.col("n") - 1) * F.col("prob")).select(
+        "name", "p_no", "prob", "pos", F.floor("pos").alias("lo"), F.ceil("pos").alias("hi"))
+    want = pos.select(F.col("name").alias("_wname"), "p_no",
+                      F.explode(F.array("lo", "hi")).alias("g")).distinct()
+    # |want| <= 2 * len(cols) * len(probs)
+    hit = ranked.join(F.broadcast(want), (F.col("name") == F.col("_wname")) & (F.col("r") - 1 == F.col("g"))).select(
+        "name", "p_no", "g", "v")
+    found = hit.groupBy("name", "p_no").agg(F.min_by("v", "g").alias("vlo"), F.max_by("v", "g").alias("vhi"))
+    q = pos.join(found, ["name", "p_no"], "left").select(
+        "name", "p_no", (F.col("vlo") + (F.col("pos") - F.col("lo")) * (F.col("vhi") - F.col("vlo"))).alias("q"))
+    wide = q.groupBy("p_no").pivot("name", cols).agg(F.first("q"))
+    return pdf.join(wide, "p_no").orderBy("p_no")
 
 
 def percentile_scalars(df: DataFrame, cols, probs=PROBS, method: str = "exact") -> dict:
