@@ -110,20 +110,29 @@ def top_words(scores: DataFrame, cls: str, order, k: int = 250) -> DataFrame:
     final lists of the classes before it; zero scores removed; ties by word.
 
     The top-k is the feature here (a ranked report), so the limit is kept.
-    Ranks come from ``rank_within`` (range segments + offsets), so one large
-    class vocabulary is not sorted in a single task.
+    Class number i (0-based in ``order``) can lose at most i*k words to the
+    exclusions, so its final list lies within its own top k*(i+1) words.  One
+    skew-safe rank over all classes (``rank_within``: no class is sorted in
+    one task) cuts each class to that many candidates; the dependent
+    exclusion steps then run on at most k*len(order) rows per class.
     """
     from .ranking import rank_within
 
-    scores = scores.where(F.col("score") > 0).withColumn("_neg", -F.col("score"))
+    order = list(order)
+    depth = F.lit(0)
+    for i, c in enumerate(order):
+        depth = F.when(F.col(cls) == F.lit(c), F.lit(k * (i + 1))).otherwise(depth)
+    cand = scores.where((F.col("score") > 0) & F.col(cls).isin(*order)).withColumn("_neg", -F.col("score"))
+    cand = rank_within(cand, [cls], ["_neg", "word"], "_r0").where(F.col("_r0") <= depth).drop("_neg", "_r0")
     taken = None
     out = None
     for c in order:
-        s = scores.where(F.col(cls) == F.lit(c))
+        s = cand.where(F.col(cls) == F.lit(c))
         if taken is not None:
             s = s.join(taken, "word", "left_anti")
-        # exact rank by (score desc, word) without sorting a class in one task
-        top = rank_within(s, [cls], ["_neg", "word"], "rank").where(F.col("rank") <= k).drop("_neg")
+        # at most k * len(order) candidate rows per class: a bounded window
+        w = Window.partitionBy(cls).orderBy(F.col("score").desc(), F.col("word"))
+        top = s.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
         out = top if out is None else out.unionByName(top)
         tw = top.select("word")
         taken = tw if taken is None else taken.unionByName(tw)
