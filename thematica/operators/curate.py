@@ -303,8 +303,11 @@ def adjacent_next(df: DataFrame, col: str, tiebreak: str | None = None, splits:
     one row per range.
     """
     order = [col] + ([tiebreak] if tiebreak else [])
-    # the pairwise distance after this step is CPU-bound: use finer ranges
-    x = _range_split(df, order, splits or 4 * _nparts(df, None))
+    # the pairwise distance after this step is CPU-bound: finer ranges on
+    # small clusters; never more than max(P, 4096) segments, since the range
+    # exchange samples its (long text) keys per output partition
+    p = _nparts(df, None)
+    x = _range_split(df, order, splits or max(p, min(4 * p, 4096)))
     w = Window.partitionBy("_seg").orderBy(*[F.col(c) for c in order])
     x = x.withColumn("_lead", F.lead(F.col(col)).over(w))
     okey = F.struct(*[F.col(c) for c in order])
