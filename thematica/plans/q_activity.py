@@ -190,7 +190,7 @@ def q_automate(spark, sf):
 CLIMATE_PRED = [c for c in PRED_COLS if c.startswith(("adaptation", "mitigation")) or c == "climate_kw"]
 
 
-def _rescore_sql():
+def _rescore_ctes():
     from .catalog import SIG_BIAS, PRI_BIAS, flow_model_lexicons
     kw = flow_lexicons()["climate"]
     mdl = flow_model_lexicons()["climate"]
@@ -205,17 +205,25 @@ def _rescore_sql():
     return f"""WITH {TB.FLOWS_SQL.strip()},
 sl AS (SELECT * FROM flows WHERE climate_adaptation = 2 OR climate_mitigation = 2),
 d AS (SELECT DISTINCT project_title, {S.clean("coalesce(project_title, '')")} AS clean FROM sl),
-p AS (SELECT project_title, {', '.join(sel)} FROM d)
+p AS (SELECT project_title, {', '.join(sel)} FROM d)"""
+
+
+def _rescore_sql():
+    return _rescore_ctes() + f"""
 SELECT sl.l_orderkey, sl.l_linenumber, {', '.join(('round(p.' + c + ', 6) AS ' + c) if c.endswith('_conf') else 'p.' + c for c in CLIMATE_PRED)}
 FROM sl LEFT JOIN p ON sl.project_title IS NOT DISTINCT FROM p.project_title"""
 
 
-@register("rescore_declared", _rescore_sql())
-def q_rescore(spark, sf):
+def rescored_flows(spark, sf):
     from .catalog import SIG_BIAS, PRI_BIAS, flow_model_lexicons
     sc = scoring.lexicon_hit_scorer("climate", flow_model_lexicons()["climate"], SIG_BIAS, PRI_BIAS)
-    r = scoring.rescore_declared(TB.flows(spark, sf), sc, flow_lexicons()["climate"], text_cols=("project_title",),
-                                 round_digits=6)
+    return scoring.rescore_declared(TB.flows(spark, sf), sc, flow_lexicons()["climate"],
+                                    text_cols=("project_title",), round_digits=6)
+
+
+@register("rescore_declared", _rescore_sql())
+def q_rescore(spark, sf):
+    r = rescored_flows(spark, sf)
     return r.select("l_orderkey", "l_linenumber",
                     *[F.round(c, 6).alias(c) if c.endswith("_conf") else F.col(c) for c in CLIMATE_PRED])
 
@@ -238,22 +246,23 @@ def q_audits(spark, sf):
 
 
 # --- X16: mislabel report on predicted activities ----------------------------
-@register("mislabel_report", f"""WITH {TB.FLOWS_SQL.strip()},
-preds AS ({_pred_sql_for_keys('flows', FLOW_KEYS, "coalesce(project_title, '')")}),
-x AS (SELECT DISTINCT CAST(f.l_orderkey AS VARCHAR) || '-' || CAST(f.l_linenumber AS VARCHAR) AS crs_id, f.year,
-             f.donor_name, f.recipient_name, f.sector_name, f.project_title, f.climate_adaptation, f.climate_mitigation,
-             p.adaptation_pri_conf, p.mitigation_pri_conf, p.climate_kw
-      FROM flows f LEFT JOIN preds p ON {' AND '.join(f'f.{k} IS NOT DISTINCT FROM p.{k}' for k in FLOW_KEYS)}
-      WHERE NOT coalesce(f.project_title, '') IN ('', '-', ' ')),
+@register("mislabel_report", _rescore_ctes() + f""",
+x AS (SELECT DISTINCT CAST(sl.l_orderkey AS VARCHAR) || '-' || CAST(sl.l_linenumber AS VARCHAR) AS crs_id, sl.year,
+             sl.donor_name, sl.recipient_name, sl.sector_name, sl.project_title, sl.climate_adaptation, sl.climate_mitigation,
+             round(p.adaptation_pri_conf, 6) AS adaptation_pri_conf, round(p.mitigation_pri_conf, 6) AS mitigation_pri_conf, p.climate_kw
+      FROM sl LEFT JOIN p ON sl.project_title IS NOT DISTINCT FROM p.project_title
+      WHERE NOT coalesce(sl.project_title, '') IN ('', '-', ' ')),
 y AS (SELECT * FROM x WHERE crs_id <> '')
 SELECT 'adaptation_mislabeled_mitigation' AS report, * FROM y WHERE climate_kw AND climate_adaptation = 0 AND climate_mitigation = 2 AND mitigation_pri_conf < 0.5 AND adaptation_pri_conf > 0.8
 UNION ALL SELECT 'mitigation_mislabeled_adaptation', * FROM y WHERE climate_kw AND climate_mitigation = 0 AND climate_adaptation = 2 AND adaptation_pri_conf < 0.5 AND mitigation_pri_conf > 0.8
 UNION ALL SELECT 'non_climate_mislabeled', * FROM y WHERE NOT climate_kw AND climate_adaptation = 2 AND climate_mitigation = 2 AND adaptation_pri_conf < 0.5 AND mitigation_pri_conf < 0.5""")
 def q_mislabel(spark, sf):
-    p = predicted_flows(spark, sf).withColumn(
+    """X16 on the climate re-scoring of declared-principal rows."""
+    p = rescored_flows(spark, sf).withColumn(
         "crs_id", F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")))
     keep = ("crs_id", "year", "donor_name", "recipient_name", "sector_name", "project_title", "climate_adaptation",
             "climate_mitigation", "adaptation_pri_conf", "mitigation_pri_conf", "climate_kw")
+    p = p.withColumns({c: F.round(c, 6) for c in ("adaptation_pri_conf", "mitigation_pri_conf")})
     base = p.where(filters.drop_blank(["project_title"])).select(*keep).distinct().where(F.col("crs_id") != "")
     parts = {
         "adaptation_mislabeled_mitigation": audit.audit_swapped("mitigation", "adaptation", hi=0.8),
@@ -330,7 +339,7 @@ def q_panel(spark, sf):
 
 
 # --- F01 / F02 / F22 / F24: warehouse slices ---------------------------------
-RECIPIENTS = ("ALGERIA", "ETHIOPIA", "KENYA", "MOROCCO", "MOZAMBIQUE", "EGYPT")
+RECIPIENTS = ("NATION_1", "NATION_3", "NATION_5", "NATION_8", "NATION_13", "NATION_21")
 
 
 @register("warehouse_slice", f"""WITH {TB.FLOWS_SQL.strip()}
@@ -338,7 +347,7 @@ SELECT recipient_name, count(*) AS n, {_money()} FROM flows
 WHERE year BETWEEN 1996 AND 2000 AND usd_disbursement > 0 AND recipient_name IN ({', '.join(f"'{r}'" for r in RECIPIENTS)})
 GROUP BY ALL""")
 def q_slice(spark, sf):
-    f = TB.flows(spark, sf)
+    f = TB.flows(spark, sf, years=(1996, 2000))
     c = filters.warehouse_slice(None, (1996, 2000), "usd_disbursement", RECIPIENTS, "recipient_name")
     return f.where(c).groupBy("recipient_name").agg(
         F.count(F.lit(1)).alias("n"), F.coalesce(money_sum("usd_disbursement"), F.lit(0.0)).alias(
