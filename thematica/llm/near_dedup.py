@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from .components import connected_components
-from .shared import WordHasher, materialise, mix64, pick, seeds, shingles, signed, texts
+from .shared import WordHasher, materialise, mix64, only, pick, seeds, shingles, signed, texts
 
 BANDS = 10
 HALF = 3
@@ -126,7 +126,7 @@ def link_rows(rows: DataFrame, docs: DataFrame, k: int, percent: int = PERCENT)
     """(u, v): verified links that make up the components.  ``rows`` are those
     of ``sharing``, ``docs`` is (id, text) with at least their ids."""
     ids = rows.select("id").distinct()
-    docs = materialise(docs.join(ids, "id", "left_semi"), "candidates")  # texts that share a table with another
+    docs = materialise(only(docs, "id", ids, "id"), "candidates")  # texts that share a table with another
     pair = lambda a, b: (F.least(a, b).alias("u"), F.greatest(a, b).alias("v"))
     near = rows.where("prev is not null")
     first = (near.where(_near_size("n", "prev_n", percent)).select(*pair("id", "prev"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, near_dedup, packing, pieces, quality, rules, search, warc
+from . import langid, near_dedup, packing, paragraphs, pieces, quality, rules, search, substrings, warc
 from .shared import table
 
 
@@ -15,6 +15,11 @@ def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op2_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return paragraphs.remove_repeated(docs, removed="removed")
+
+
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.round_trip(table(spark, sf_dir, "documents"))
 
@@ -24,6 +29,10 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, table(spark, sf_dir, "pages"), langid.train(docs))
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op6_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = table(spark, sf_dir, "benchmark").where("item_id % 20 = 0")  # the stated query set
     return search.search_documents(table(spark, sf_dir, "documents"), asked)
@@ -42,6 +51,12 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def op8_adaptive_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.apply_rules(table(spark, sf_dir, "documents"))
 
@@ -114,13 +129,16 @@ def _rules_sql() -> str:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_dedup": op1_near_dedup,
+    "op2_paragraph_dedup": op2_paragraph_dedup,
     "op3_sentencepiece": op3_sentencepiece,
     "op4_language_id": op4_language_id,
+    "op5_substring_dedup": op5_substring_dedup,
     "op6_search": op6_search,
     "op7_quality": op7_quality,
     "op8_adaptive_rules": op8_adaptive_rules,
     "op9_warc": op9_warc,
     "op10_packing": op10_packing,
+    "pipeline": pipeline,
 }
 
 

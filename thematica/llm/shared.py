@@ -127,3 +127,20 @@ def pick(df: DataFrame, **cols: str) -> DataFrame:
     """Only the named columns, under internal names: ``pick(df, k="doc_id")``.
     Other columns of ``df``, whatever they are called, can't clash."""
     return df.select(*[F.col(f"`{c}`").alias(n) for n, c in cols.items()])
+
+
+SLOTS = 1 << 20
+
+
+def only(df: DataFrame, key: str, ids: DataFrame, id_name: str) -> DataFrame:
+    """Rows of ``df`` whose ``key`` is among ``ids``.
+
+    Before the join, rows are dropped whose hashed key falls in none of the
+    ``SLOTS`` slots that the ids fill: the table of slots is broadcast, and has
+    ``SLOTS`` rows of one int at most, whatever the size of either side.  With far
+    more ids than slots it drops nothing and the join does all the work."""
+    slot = lambda c: F.pmod(F.xxhash64(F.col(c)), F.lit(SLOTS)).cast("int")
+    filled = F.broadcast(ids.select(slot(id_name).alias("_slot")).distinct())
+    names = df.columns
+    x = df.withColumn("_own_slot", slot(key)).join(filled, F.col("_own_slot") == F.col("_slot"), "left_semi").select(*names)
+    return x.join(ids.select(F.col(id_name).alias("_wanted")), F.col(key) == F.col("_wanted"), "left_semi")
