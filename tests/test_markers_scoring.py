@@ -118,6 +118,28 @@ def test_pandas_scorer_matches_expression_scorer(spark):
     assert ra == rb
 
 
+def test_pandas_scorer_loads_once_a_worker_and_per_theme(spark):
+    loads, seen = spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0)
+
+    def scorer(group, value):
+        def load():
+            loads.add(1)
+            return value
+
+        def predict(model, texts):
+            seen.add(len(texts))
+            return np.full((len(texts), 2), model)
+
+        return scoring.PandasScorer(group, ((group, "sig"), (group, "pri")), load, predict)
+
+    df = spark.range(640).selectExpr("id", "id % 4 = 0 AS act", "array(array('a', 'b'), array('c')) AS chunks").repartition(32, "id")
+    for group, value in (("gender", 0.25), ("disability", 0.75)):
+        out = scorer(group, value).apply(df, "chunks", F.col("act")).collect()
+        assert all(r[scoring.raw_col(group, "sig")] == (value if r.act else None) for r in out) and len(out) == 640
+    assert seen.value == 2 * 2 * 160                       # the chunks of active rows only
+    assert loads.value < 2 * 32                            # not once a task
+
+
 def test_automate_blank_mask_and_climate_union(spark):
     p = scoring.predict_activities(frame(spark), scorers(), lexicons())
     a = {r["id"]: r for r in automate.automate_activities(p, significant=True).collect()}

@@ -5,7 +5,7 @@ import numpy as np
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from thematica.operators import budgets, curate, training
+from thematica.operators import budgets, curate, ranking, training
 
 
 def _sheet(spark, n=2000):
@@ -19,14 +19,47 @@ def _sheet(spark, n=2000):
     return spark.createDataFrame(rows, "block int, ord long, v string")
 
 
-def test_fills_skew_safe_equal_window(spark):
+def test_fills_equal_window(spark):
     df = _sheet(spark)
-    for fn in (budgets.fill_down, budgets.fill_up):
-        a = fn(df, "v", "block", "ord", out="f").select("ord", "f").collect()
-        b = fn(df, "v", "block", "ord", out="f", skew_safe=True, splits=11).select("ord", "f").collect()
+    for fn, w in ((budgets.fill_down, F.last("v", ignorenulls=True).over(Window.partitionBy("block").orderBy("ord"))),
+                  (budgets.fill_up, F.last("v", ignorenulls=True).over(Window.partitionBy("block").orderBy(F.desc("ord"))))):
+        a = df.select("ord", w.alias("f")).collect()
+        b = fn(df, "v", "block", "ord", out="f", splits=11).select("ord", "f").collect()
         assert sorted(map(tuple, a), key=lambda t: t[0]) == sorted(map(tuple, b), key=lambda t: t[0])
 
 
+def _large(spark, n=200_000):
+    """Rows enough for range partitioning to sample, with a column that no segment table needs."""
+    return spark.range(n).selectExpr(
+        "id AS ord", f"int(least(id * 3 div {n}, 2)) AS block", "if(xxhash64(id) % 50 = 0, concat('h', id), null) AS v",
+        "concat(md5(string(id)), md5(string(id + 1))) AS text", "repeat(md5(string(id)), 3) AS payload").repartition(16)
+
+
+def test_large_segments_match_windows(spark):
+    """Ranks, fills and neighbours over segments equal plain windows on 200,000 rows with a payload column."""
+    df = _large(spark).cache()
+    w = Window.partitionBy("block").orderBy("text")
+    r = ranking.rank_within(df, "block", "text", "r").withColumn("want", F.row_number().over(w))
+    assert r.count() == 200_000 and r.where("r <> want").count() == 0
+    for fn, o in ((budgets.fill_down, F.asc("ord")), (budgets.fill_up, F.desc("ord"))):
+        want = F.last("v", ignorenulls=True).over(Window.partitionBy("block").orderBy(o).rowsBetween(Window.unboundedPreceding, 0))
+        assert fn(df, "v", "block", "ord", out="f").withColumn("want", want).where("not f <=> want").count() == 0
+    x = curate.adjacent_next(df, "text", "ord").withColumn("want", F.lead("text").over(Window.orderBy("text", "ord")))
+    assert x.where("not next_text <=> want").count() == 0
+    s = training.stratified_split(df, "block", 0.2, key_cols=("text",))
+    got = {r.block: (r.n, r.t) for r in s.groupBy("block").agg(F.count("*").alias("n"), F.sum(F.expr("int(split = 'test')")).alias("t")).collect()}
+    assert all(t == round(0.2 * n) for n, t in got.values()) and len(got) == 3
+    df.unpersist()
+
+
+def test_fill_up_is_linear_in_the_block(spark):
+    import time
+    df = spark.range(60_000).selectExpr("1 AS block", "id AS ord", "if(id % 20000 = 19999, 'x', null) AS v")
+    t = time.time()
+    assert budgets.fill_up(df, "v", "block", "ord").where("v is null").count() == 0
+    assert time.time() - t < 60
+
+
 def test_fill_down_details_before_first_header(spark):
     df = spark.createDataFrame([(0, 1, None), (0, 2, "A"), (0, 3, None), (1, 1, None), (1, 2, "B")],
                                "block int, ord int, v string")

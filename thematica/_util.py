@@ -26,16 +26,21 @@ def fbool(c) -> Column:
     return F.coalesce(col_of(c), F.lit(False))
 
 
-def money_sum(c, scale: int | None = 4) -> Column:
-    """Order-independent money total: each value is fixed to ``scale``
-    decimals and summed as DECIMAL (exact, no overflow at any row count that
-    fits DECIMAL(38)), then returned as double.  A double sum depends on the
-    order partitions are added in; this does not.  ``scale=None`` is a plain
-    double sum."""
+MONEY_SCALE = 12
+
+
+def money_sum(c, scale: int | None = MONEY_SCALE) -> Column:
+    """Order-independent money total, returned as double.
+
+    A double sum depends on the order partitions are added in.  Values are
+    summed as DECIMAL(38, scale) instead: with 12 decimals an amount in
+    millions is exact to a millionth of a unit, so rows are not rounded in any
+    way that shows, and totals have 26 digits before the point.
+    ``scale=None`` is a plain double sum."""
     c = col_of(c)
     if scale is None:
         return F.sum(c)
-    return F.sum(c.cast(f"decimal(18,{scale})")).cast("double")
+    return F.sum(c.cast(f"decimal(38,{scale})")).cast("double")
 
 
 def stage(df, cols: dict):

@@ -2,10 +2,10 @@
 and the cross-country comparison (A09-A12, A22, X07).
 
 Row order is data in a sheet, so every ordered operator takes an explicit
-order column and a partition (the sheet / block).  ``skew_safe=True`` runs the
-fill as a distributed scan: rows are range-split on (block, order) so a block
-holding a third of all rows is spread over many tasks; each task fills
-locally and a small per-segment carry table links the segments.
+order column and a partition (the sheet / block).  A fill is a distributed
+scan: rows are range-split on (block, order) so a block holding a third of all
+rows is spread over many tasks; each task fills locally and a small
+per-segment carry table links the segments.
 """
 
 from __future__ import annotations
@@ -16,57 +16,39 @@ from pyspark.sql import functions as F
 from .._util import fbool, money_sum
 from ..functions import markers as M
 from ..functions import text as T
+from .ranking import cut_segments
 
 
-def _fill(df: DataFrame, col: str, part, ord_col: str, out: str, backward: bool,
-          skew_safe: bool, splits: int | None) -> DataFrame:
+def _fills(df: DataFrame, cols: dict, part, ord_col: str, backward: bool, splits: int | None) -> DataFrame:
+    """Fills several columns ({column: output name}) over one cut into segments:
+    a fill within each segment, and one table with a row per (block, segment)
+    that hands the last value of each column on.  A backward fill is a forward
+    one in falling order, so no frame looks ahead."""
     part = [part] if isinstance(part, str) else list(part or [])
-    if not skew_safe:
-        w = Window.partitionBy(*part).orderBy(F.col(ord_col))
-        if backward:
-            v = F.first(F.col(col), ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
-        else:
-            v = F.last(F.col(col), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-        return df.withColumn(out, v)
-    n = splits or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    x = df.repartitionByRange(n, *[F.col(p) for p in part], F.col(ord_col)).withColumn(
-        "_seg", F.spark_partition_id())
-    # one segment per task for the per-segment window (no narrower hash exchange)
-    x = x.repartitionByRange(n, *[F.col(p) for p in part], F.col("_seg"))
+    x = cut_segments(df, [*part, ord_col], splits)
     seg = part + ["_seg"]
-    w = Window.partitionBy(*seg).orderBy(F.col(ord_col))
-    if backward:
-        local = F.first(F.col(col), ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
-        edge = F.min_by(F.col(col), F.when(F.col(col).isNotNull(), F.col(ord_col)))
-    else:
-        local = F.last(F.col(col), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-        edge = F.max_by(F.col(col), F.when(F.col(col).isNotNull(), F.col(ord_col)))
-    x = x.withColumn("_local", local)
-    # one row per (block, segment): the value a segment hands to its neighbour
-    carry = x.groupBy(*seg).agg(edge.alias("_edge"))
-    cw = Window.partitionBy(*part).orderBy(F.col("_seg"))
-    if backward:
-        cin = F.first("_edge", ignorenulls=True).over(cw.rowsBetween(1, Window.unboundedFollowing))
-    else:
-        cin = F.last("_edge", ignorenulls=True).over(cw.rowsBetween(Window.unboundedPreceding, -1))
-    carry = carry.withColumn("_carry", cin).drop("_edge")
-    keys = seg
-    j = x.join(carry, [x[k].eqNullSafe(carry[k]) for k in keys], "left")
-    for k in keys:
-        j = j.drop(carry[k])
-    return j.withColumn(out, F.coalesce(F.col("_local"), F.col("_carry"))).drop("_local", "_carry", "_seg")
-
-
-def fill_down(df: DataFrame, col: str, part, ord_col: str, out: str | None = None,
-              skew_safe: bool = False, splits: int | None = None) -> DataFrame:
+    way = (lambda c: F.col(c).desc()) if backward else (lambda c: F.col(c).asc())
+    w = Window.partitionBy(*seg).orderBy(way(ord_col)).rowsBetween(Window.unboundedPreceding, 0)
+    last = F.min_by if backward else F.max_by
+    carry = x.groupBy(*seg).agg(*[last(F.col(c), F.when(F.col(c).isNotNull(), F.col(ord_col))).alias(f"_edge_{i}")
+                                  for i, c in enumerate(cols)])
+    cw = Window.partitionBy(*part).orderBy(way("_seg")).rowsBetween(Window.unboundedPreceding, -1)
+    carry = carry.select(*[F.col(c).alias(f"_of_{c}") for c in seg],
+                         *[F.last(f"_edge_{i}", ignorenulls=True).over(cw).alias(f"_carry_{i}") for i in range(len(cols))])
+    x = x.withColumns({f"_local_{i}": F.last(F.col(c), ignorenulls=True).over(w) for i, c in enumerate(cols)})
+    j = x.join(carry, [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in seg], "left")
+    j = j.withColumns({out: F.coalesce(F.col(f"_local_{i}"), F.col(f"_carry_{i}")) for i, out in enumerate(cols.values())})
+    return j.drop("_seg", *[f"_of_{k}" for k in seg], *[f"_{n}_{i}" for i in range(len(cols)) for n in ("local", "carry")])
+
+
+def fill_down(df: DataFrame, col: str, part, ord_col: str, out: str | None = None, splits: int | None = None) -> DataFrame:
     """Carry the last non-null value forward (zoo ``na.locf``)."""
-    return _fill(df, col, part, ord_col, out or col, False, skew_safe, splits)
+    return _fills(df, {col: out or col}, part, ord_col, False, splits)
 
 
-def fill_up(df: DataFrame, col: str, part, ord_col: str, out: str | None = None,
-            skew_safe: bool = False, splits: int | None = None) -> DataFrame:
+def fill_up(df: DataFrame, col: str, part, ord_col: str, out: str | None = None, splits: int | None = None) -> DataFrame:
     """Carry the next non-null value backward (``na.locf(fromLast=TRUE)``)."""
-    return _fill(df, col, part, ord_col, out or col, True, skew_safe, splits)
+    return _fills(df, {col: out or col}, part, ord_col, True, splits)
 
 
 # FIXED VALUES: sheet conventions of the Kenyan budget export.
@@ -75,20 +57,20 @@ KE_HEADER = "Programme"
 
 
 def clean_budget_ke(df: DataFrame, block: str = "sheet", ord_col: str = "row_ord",
-                    total_prefix: str = KE_TOTAL_PREFIX, header: str = KE_HEADER,
-                    skew_safe: bool = False) -> DataFrame:
+                    total_prefix: str = KE_TOTAL_PREFIX, header: str = KE_HEADER) -> DataFrame:
     """X06 Kenya: program/value rows; a 'Total ... for Vote X' footer names the
     block of rows above it.  Input: program, value (string), year, block, order."""
     x = df.where(F.col("program").isNotNull() & (F.col("program") != header))
     vote = F.when(F.col("program").startswith(total_prefix), F.col("program"))  # D7: own text
     vote = F.replace(vote, F.lit(total_prefix + " "), F.lit(""))
     x = x.withColumn("vote", T.strip_artifacts(vote)).withColumn("program", T.strip_artifacts(F.col("program")))
-    x = fill_up(x, "vote", block, ord_col, skew_safe=skew_safe)
+    x = fill_up(x, "vote", block, ord_col)
     x = x.where(F.col("vote").isNotNull() & ~F.col("program").startswith(total_prefix))
     x = x.withColumn("value", F.expr("try_cast(value as double)"))
     return x.withColumn("text", T.build_text(["vote", "program"], na="NA"))
 
 
+# FIXED VALUES: columns of the Ethiopian and Ugandan budget sheets.
 ET_LEVELS = (("project_code", "project_name"), ("sub_program_code", "sub_program_name"),
              ("activity_code", "activity_name"), ("program_code", "program_name"),
              ("public_body_code", "public_body_name"))
@@ -97,17 +79,14 @@ ET_OUT = ("year", "type", "public_body_name", "program_name", "activity_name", "
           "project_name", "text", "treasury", "retained", "assistance", "loan", "total")
 
 
-def clean_budget_et(df: DataFrame, ord_col: str = "row_ord", part=("year", "type"),
-                    skew_safe: bool = False) -> DataFrame:
+def clean_budget_et(df: DataFrame, ord_col: str = "row_ord", part=("year", "type")) -> DataFrame:
     """X06 Ethiopia: a code column marks the hierarchy level of a row; names are
     carried down to the detail rows.  ``part=None`` fills across sheets (D6)."""
     for c in ("retained", "assistance", "loan", "sub_program_code", "project_code"):
         if c not in df.columns:
             df = df.withColumn(c, F.lit(None).cast("string"))
-    x = df
-    for code, name in ET_LEVELS:
-        x = x.withColumn(name, F.when(F.col(code).isNotNull(), F.col("description")))
-        x = fill_down(x, name, list(part) if part else [], ord_col, skew_safe=skew_safe)
+    x = df.withColumns({name: F.when(F.col(code).isNotNull(), F.col("description")) for code, name in ET_LEVELS})
+    x = _fills(x, {name: name for _, name in ET_LEVELS}, list(part) if part else [], ord_col, False, None)
     x = x.where(((F.col("type") == "recurrent") & F.col("activity_code").isNotNull())
                 | ((F.col("type") == "capital") & F.col("project_code").isNotNull()))
     x = x.withColumn("text", T.build_text(ET_TEXT))

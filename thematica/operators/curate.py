@@ -25,28 +25,10 @@ from ..functions import text as T
 from ..functions.lexicon import Lexicon, keyword_match, shipped
 from ..session import cut_lineage
 from . import filters as FL
+from .ranking import cut_segments, rank_within
 
 PROBS = (0.01, 0.1, 0.5, 0.9, 0.99)
-
-
-def _nparts(df: DataFrame, n: int | None) -> int:
-    return n or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-
-def _range_split(df: DataFrame, order_cols, n: int | None, part=()) -> DataFrame:
-    """Cut rows into contiguous segments of (part, order) and lay each
-    segment out in its own partition.
-
-    The first exchange range-partitions on the order; the segment id is that
-    partition's index.  The per-segment window that follows needs rows
-    clustered by segment: range-partitioning on the (small, integer) segment
-    id gives one segment per task and satisfies the window, so no further
-    exchange with fewer, unevenly loaded partitions is planned.
-    """
-    n = _nparts(df, n)
-    x = df.repartitionByRange(n, *[F.col(c) for c in (*part, *order_cols)]).withColumn(
-        "_seg", F.spark_partition_id())
-    return x.repartitionByRange(n, *[F.col(c) for c in (*part, "_seg")])
+PREFIX = 64  # characters of a text by which its order is cut into segments
 
 
 def percentiles(df: DataFrame, cols, probs=PROBS, method: str = "exact", splits: int | None = None,
@@ -70,8 +52,6 @@ def percentiles(df: DataFrame, cols, probs=PROBS, method: str = "exact", splits:
             q = pdf.select("p_no", F.element_at(arr, F.col("p_no") + 1).cast("double").alias(c))
             out = out.join(q, "p_no")
         return out.orderBy("p_no")
-    from .ranking import rank_within
-
     # the passes below (range sampling, shuffle, counts) would each recompute
     # the input: materialise the value columns once - a small projection - in
     # the shared checkpoint folder
@@ -303,19 +283,15 @@ def adjacent_next(df: DataFrame, col: str, tiebreak: str | None = None, splits:
     one row per range.
     """
     order = [col] + ([tiebreak] if tiebreak else [])
-    # the pairwise distance after this step is CPU-bound: finer ranges on
-    # small clusters; never more than max(P, 4096) segments, since the range
-    # exchange samples its (long text) keys per output partition
-    p = _nparts(df, None)
-    x = _range_split(df, order, splits or max(p, min(4 * p, 4096)))
+    # a short prefix of the text cuts the order where the whole text would, or earlier
+    x = cut_segments(df, [F.substring(F.col(col), 1, PREFIX)], splits)
     w = Window.partitionBy("_seg").orderBy(*[F.col(c) for c in order])
     x = x.withColumn("_lead", F.lead(F.col(col)).over(w))
-    okey = F.struct(*[F.col(c) for c in order])
-    firsts = x.groupBy("_seg").agg(F.min_by(F.col(col), okey).alias("_first"))
-    nw = Window.orderBy("_seg").rowsBetween(1, Window.unboundedFollowing)
-    firsts = firsts.withColumn("_carry", F.first("_first", ignorenulls=False).over(nw)).select("_seg", "_carry")
-    x = x.join(F.broadcast(firsts), "_seg", "left")   # one row per range
-    return x.withColumn(out, F.coalesce(F.col("_lead"), F.col("_carry"))).drop("_lead", "_carry", "_seg")
+    # the first text of each segment: one row a segment
+    firsts = x.groupBy("_seg").agg(F.min(F.col(col)).alias("_first"))
+    firsts = firsts.select(F.col("_seg").alias("_of"), F.lead("_first").over(Window.orderBy("_seg")).alias("_carry"))
+    x = x.join(firsts, F.col("_seg") == F.col("_of"), "left")
+    return x.withColumn(out, F.coalesce(F.col("_lead"), F.col("_carry"))).drop("_lead", "_carry", "_seg", "_of")
 
 
 def near_dup_distance(df: DataFrame, col: str = "text", tiebreak: str | None = None, threshold: float = 0.2,

@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 from .._util import col_of, stage
 from ..functions import text as T
 from ..functions.lexicon import Lexicon
-from ..session import cut_lineage
+from ..session import write_table
+from .ranking import rank_within
 
 STOP_LANGS = ("english", "spanish", "french", "german")
 
@@ -101,8 +102,10 @@ def class_tfidf(words: DataFrame, n_docs: Column, doc_id: str, cls: str) -> Data
     idf_t = idf(counts, n_docs)
     tf = counts.groupBy(cls, "word").agg(F.sum("n").alias("tf"))
     s = tf.join(idf_t, "word").withColumn("raw", F.col("tf") * F.col("idf"))
-    norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy(cls)))
-    return s.withColumn("score", F.col("raw") / norm).select(cls, "word", "score")
+    # a partial aggregate: one row a class, never a class's whole vocabulary in one task
+    norm = s.groupBy(F.col(cls).alias("_cls")).agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("_norm"))
+    s = s.join(norm, F.col(cls).eqNullSafe(F.col("_cls")))
+    return s.withColumn("score", F.col("raw") / F.col("_norm")).select(cls, "word", "score")
 
 
 def top_words(scores: DataFrame, cls: str, order, k: int = 250) -> DataFrame:
@@ -116,14 +119,13 @@ def top_words(scores: DataFrame, cls: str, order, k: int = 250) -> DataFrame:
     one task) cuts each class to that many candidates; the dependent
     exclusion steps then run on at most k*len(order) rows per class.
     """
-    from .ranking import rank_within
-
     order = list(order)
     depth = F.lit(0)
     for i, c in enumerate(order):
         depth = F.when(F.col(cls) == F.lit(c), F.lit(k * (i + 1))).otherwise(depth)
     cand = scores.where((F.col("score") > 0) & F.col(cls).isin(*order)).withColumn("_neg", -F.col("score"))
     cand = rank_within(cand, [cls], ["_neg", "word"], "_r0").where(F.col("_r0") <= depth).drop("_neg", "_r0")
+    cand = write_table(cand, "candidates")  # read by each dependent step
     taken = None
     out = None
     for c in order:
@@ -150,13 +152,10 @@ def discover_keywords(df: DataFrame, text: str = "text", sig: str = "sig", flag:
     x = df.where(FL.declared(flag, sig, (0, 1, 2))).where(FL.usable_text(text)).select(
         text, sig, *([order_col] if order_col else []))
     x = D.dedupe(x, [text], order_col)
-    x = stage(x.withColumn("_doc", F.xxhash64(F.col(text))), {"_tok": doc_tokens(F.col(text))})
+    x = stage(x.withColumn("_doc", F.md5(F.col(text))), {"_tok": doc_tokens(F.col(text))})
     n_docs = x.agg(F.count(F.lit(1))).scalar()
     words = explode_words(x, "_doc", sig, "_tok", stop)
-    # the scored vocabulary (classes x words, bounded by the vocabulary) feeds
-    # one dependent ranking step per class: materialise it once in the
-    # shared checkpoint folder instead of re-tokenising the corpus per step
-    sc = cut_lineage(class_tfidf(words, n_docs, "_doc", sig))
+    sc = class_tfidf(words, n_docs, "_doc", sig)
     return top_words(sc, sig, classes, k).select(sig, "rank", "word", F.round("score", 6).alias("score"))
 
 

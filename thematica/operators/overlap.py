@@ -11,14 +11,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .._util import any_of, fbool, money_sum
+from .._util import MONEY_SCALE, any_of, fbool, money_sum
 
 FLAGS = ("principal_gender", "principal_climate", "principal_disability")
 
 
 def overlap_by(df: DataFrame, keys=("year",), flags=FLAGS, amount: str = "usd_disbursement",
                out: str | None = None, any_only: bool = False, digits: int | None = None,
-               exact_scale: int | None = 4) -> DataFrame:
+               exact_scale: int | None = MONEY_SCALE) -> DataFrame:
     """Amount by keys x flag combination; all-null group sums to 0.
 
     ``any_only`` keeps rows with at least one flag (A05).  Sums are exact
@@ -33,7 +33,7 @@ def overlap_by(df: DataFrame, keys=("year",), flags=FLAGS, amount: str = "usd_di
 
 
 def overlap_rollup(df: DataFrame, keys=("year",), flags=FLAGS, amount: str = "usd_disbursement",
-                   digits: int | None = None, exact_scale: int | None = 4) -> DataFrame:
+                   digits: int | None = None, exact_scale: int | None = MONEY_SCALE) -> DataFrame:
     """Keys x flags and flags-only (any-flag rows) in one pass.
 
     ``GROUPING SETS`` share the scan and the partial aggregation; the

@@ -5,6 +5,11 @@ group in one task; a group holding a third of the data then stalls the job.
 ``rank_within`` range-partitions on (group, order) so a hot group is cut into
 many segments, numbers rows inside each segment, and adds the count of the
 group's earlier segments from a small (group x segment) count table.
+
+The segment of a row is written down with the row (``cut_segments``).  Range
+partitioning samples its input, so an exchange planned a second time, with
+other columns, may cut elsewhere; the rows and the table of segments must come
+from one and the same cut.
 """
 
 from __future__ import annotations
@@ -12,18 +17,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import write_table
+
+
+def cut_segments(df: DataFrame, keys, splits: int | None = None, out: str = "_seg") -> DataFrame:
+    """Rows with the number of their segment in the order of ``keys`` (columns
+    of bounded width: they are sampled to the driver).  Written once, so that
+    every reader sees the same segments."""
+    n = splits or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = [F.col(k) if isinstance(k, str) else k for k in keys]
+    return write_table(df.repartitionByRange(n, *keys).withColumn(out, F.spark_partition_id()), "segments")
+
 
-def rank_within(df: DataFrame, part, order, out: str = "rank", splits: int | None = None) -> DataFrame:
+def rank_within(df: DataFrame, part, order, out: str = "rank", splits: int | None = None, cut=None) -> DataFrame:
     """1-based row number of each row inside ``part`` in ``order`` (exact).
 
     ``order`` must make rows unique within a group for a deterministic result.
+    ``cut`` names the leading columns of the order by which segments are cut,
+    where later ones are long texts (default: all of them).
     """
     part = [part] if isinstance(part, str) else list(part or [])
     order = [order] if isinstance(order, str) else list(order)
-    n = splits or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    x = df.repartitionByRange(n, *[F.col(c) for c in part + order]).withColumn("_seg", F.spark_partition_id())
-    # one segment per task for the per-segment window (no narrower hash exchange)
-    x = x.repartitionByRange(n, *[F.col(c) for c in part + ["_seg"]])
+    x = cut_segments(df, part + list(cut or order), splits)
     seg = part + ["_seg"]
     x = x.withColumn("_local", F.row_number().over(Window.partitionBy(*seg).orderBy(*[F.col(c) for c in order])))
     cnt = x.groupBy(*seg).agg(F.count(F.lit(1)).alias("_cnt"))

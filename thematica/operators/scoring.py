@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as Ty
 
 from .._util import col_of, stage
+from ..session import workers_import
 from ..functions import markers as M
 from ..functions import text as T
 from ..functions.lexicon import Lexicon
@@ -100,16 +101,19 @@ def lexicon_hit_scorer(group: str, lex: Lexicon, sig_bias: float = 0.5, pri_bias
     return LexiconHitScorer(group, labels, lex, biases, slope)
 
 
-_MODEL_CACHE: dict = {}
+_MODELS: dict = {}  # models of this Python worker
 
 
 @dataclass
 class PandasScorer(Scorer):
     """A user model applied to chunk texts in Arrow batches.
 
-    ``load()`` returns a model object (called once per Python worker);
+    ``load()`` returns a model object, called once in each Python worker;
     ``predict(model, texts: list[str]) -> array (n, len(labels))`` returns
-    confidences in label order.
+    confidences in label order.  Only the chunks of active rows go to Python;
+    the other columns stay where they are.  A worker keeps a model under the
+    scorer's group, name and labels, so scorers of several themes can load
+    different models under one name.
     """
 
     group: str
@@ -119,37 +123,34 @@ class PandasScorer(Scorer):
     name: str = "model"
 
     def apply(self, df, chunks, active):
-        act = "_score_active"
-        src = df.withColumn(act, active)
-        out_fields = [Ty.StructField(raw_col(t, lv), Ty.DoubleType(), True) for (t, lv) in self.labels]
-        schema = Ty.StructType(src.schema.fields + out_fields)
-        labels, load, predict, key = self.labels, self.load, self.predict, self.name
+        labels, load, predict = self.labels, self.load, self.predict
+        key = (self.group, self.name, tuple(labels))
 
-        def run(batches):
+        @F.pandas_udf("array<double>")
+        def confidences(chunk_lists: pd.Series) -> pd.Series:
             import numpy as np
 
-            model = _MODEL_CACHE.get(key)
-            if model is None:
-                model = _MODEL_CACHE[key] = load()
-            for pdf in batches:
-                res = np.full((len(pdf), len(labels)), np.nan)
-                rows, texts = [], []
-                for i, (a, chs) in enumerate(zip(pdf[act], pdf[chunks])):
-                    if a and chs is not None and len(chs) > 0:
-                        for c in chs:
-                            rows.append(i)
-                            texts.append(" ".join(c))
-                if texts:
-                    conf = np.asarray(predict(model, texts), dtype="float64")
-                    r = np.asarray(rows)
-                    for j in range(len(labels)):
-                        agg = pd.Series(conf[:, j]).groupby(r).max()
-                        res[agg.index.to_numpy(), j] = agg.to_numpy()
-                for j, (t, lv) in enumerate(labels):
-                    pdf[raw_col(t, lv)] = res[:, j]
-                yield pdf
-
-        return src.mapInPandas(run, schema).drop(act)
+            from thematica.operators import scoring  # the worker's own module: its models outlive the task
+
+            rows, texts = [], []
+            for i, chs in enumerate(chunk_lists):
+                for c in chs if chs is not None else ():
+                    rows.append(i)
+                    texts.append(" ".join(c))
+            out = pd.Series([None] * len(chunk_lists), dtype=object)
+            if texts:
+                if key not in scoring._MODELS:
+                    scoring._MODELS[key] = load()
+                conf = np.asarray(predict(scoring._MODELS[key], texts), dtype="float64")
+                best = pd.DataFrame(conf).groupby(np.asarray(rows)).max()
+                for i, row in zip(best.index, best.to_numpy()):
+                    out[i] = row
+            return out
+
+        workers_import(df.sparkSession)
+        ch = F.col(chunks)
+        x = df.withColumn("_conf", confidences(F.when(active & (F.size(ch) > 0), ch)))
+        return x.withColumns({raw_col(t, lv): F.col("_conf")[j] for j, (t, lv) in enumerate(labels)}).drop("_conf")
 
 
 def score_text(df: DataFrame, scorers: dict, lexicons: dict, *, text_col: str = "_text",

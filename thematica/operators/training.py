@@ -31,7 +31,7 @@ def downsample(df: DataFrame, label: str, negative=0, seed=42, key_cols=("text",
     neg = df.where(F.col(label) == negative)
     pos = df.where(F.col(label) != negative)
     n_pos = pos.agg(F.count(F.lit(1))).scalar()
-    ranked = rank_within(neg.withColumn("_h", hash_order(seed, *key_cols)), [], ["_h", *key_cols], "_r")
+    ranked = rank_within(neg.withColumn("_h", hash_order(seed, *key_cols)), [], ["_h", *key_cols], "_r", cut=["_h"])
     keep = ranked.where(F.col("_r") <= n_pos).drop("_h", "_r")
     return keep.unionByName(pos)
 
@@ -51,7 +51,7 @@ def stratified_split(df: DataFrame, label: str, test: float = 0.2, seed=42, key_
     order go to 'test', the rest to 'train' (exact counts; D19)."""
     x = df.withColumn("_h", hash_order(seed, *key_cols))
     n = x.groupBy(F.col(label).alias("_lab")).agg(F.count(F.lit(1)).alias("_n"))
-    r = rank_within(x, [label], ["_h", *key_cols], "_r")
+    r = rank_within(x, [label], ["_h", *key_cols], "_r", cut=["_h"])
     # one row per stratum (AQE broadcasts it when measured small)
     x = r.join(n, r[label].eqNullSafe(F.col("_lab"))).drop("_lab")
     k = F.bround(F.lit(test) * F.col("_n"), 0)

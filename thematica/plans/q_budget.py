@@ -22,10 +22,10 @@ SH = f"WITH {TB.SHEET_SQL.strip()}"
 
 
 # --- W01 / W02 ------------------------------------------------------------------
-def _fill_q(fn, col, skew):
+def _fill_q(fn, col):
     def q(spark, sf):
         s = TB.sheet(spark, sf)
-        return fn(s, col, "block", "row_ord", out=f"{col}_filled", skew_safe=skew).select(
+        return fn(s, col, "block", "row_ord", out=f"{col}_filled").select(
             "block", "row_ord", f"{col}_filled")
     return q
 
@@ -36,18 +36,16 @@ SELECT block, row_ord, last_value(header IGNORE NULLS) OVER (PARTITION BY block
 UP_SQL = f"""{SH}
 SELECT block, row_ord, first_value(footer IGNORE NULLS) OVER (PARTITION BY block ORDER BY row_ord
        ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS footer_filled FROM sheet"""
-register("fill_down", DOWN_SQL)(_fill_q(budgets.fill_down, "header", False))
-register("fill_down_skew_safe", DOWN_SQL)(_fill_q(budgets.fill_down, "header", True))
-register("fill_up", UP_SQL)(_fill_q(budgets.fill_up, "footer", False))
-register("fill_up_skew_safe", UP_SQL)(_fill_q(budgets.fill_up, "footer", True))
+register("fill_down", DOWN_SQL)(_fill_q(budgets.fill_down, "header"))
+register("fill_up", UP_SQL)(_fill_q(budgets.fill_up, "footer"))
 
 
 # --- X06 Kenya: footer rows name the vote of the block above ------------------
 def ke_sheet(spark, sf):
     c = TB.load(spark, sf, "conversations")
-    program = (F.when(F.col("turn") % 3 == 2, F.concat(F.lit("Total Expenditure for Vote "), F.substring("text", 1, 24)))
+    program = (F.when(F.col("turn") % 3 == 2, F.concat(F.lit("Total Expenditure for Vote "), F.col("text")))
                .when((F.col("role") == "user") & (F.col("turn") == 0), F.lit("Programme"))
-               .otherwise(F.concat(F.substring("text", 1, 40), F.lit("_x000D_"))))
+               .otherwise(F.concat(F.col("text"), F.lit("_x000D_"))))
     value = F.when(F.col("role") == "assistant", F.length("text").cast("string")).otherwise(F.lit("n/a"))
     return c.select(F.col("conv_id").alias("sheet"), F.col("turn").alias("row_ord"), program.alias("program"),
                     value.alias("value"), (F.lit(2018) + F.col("conv_id") % 5).cast("string").alias("year"))
@@ -55,8 +53,8 @@ def ke_sheet(spark, sf):
 
 KE_SQL = """WITH ke AS (
   SELECT conv_id AS sheet, turn AS row_ord,
-         CASE WHEN turn % 3 = 2 THEN 'Total Expenditure for Vote ' || substr(text, 1, 24)
-              WHEN role = 'user' AND turn = 0 THEN 'Programme' ELSE substr(text, 1, 40) || '_x000D_' END AS program,
+         CASE WHEN turn % 3 = 2 THEN 'Total Expenditure for Vote ' || text
+              WHEN role = 'user' AND turn = 0 THEN 'Programme' ELSE text || '_x000D_' END AS program,
          CASE WHEN role = 'assistant' THEN CAST(length(text) AS VARCHAR) ELSE 'n/a' END AS value,
          CAST(2018 + conv_id % 5 AS VARCHAR) AS year
   FROM conversations),
@@ -77,12 +75,6 @@ def q_ke(spark, sf):
     return out.select("sheet", "row_ord", "program", "value", "vote", "year", "text")
 
 
-@register("clean_budget_ke_skew_safe", KE_SQL)
-def q_ke_skew(spark, sf):
-    out = budgets.clean_budget_ke(ke_sheet(spark, sf), skew_safe=True)
-    return out.select("sheet", "row_ord", "program", "value", "vote", "year", "text")
-
-
 # --- X06 Ethiopia: code columns mark the hierarchy level of a row --------------
 def et_sheet(spark, sf):
     c = TB.load(spark, sf, "conversations")
@@ -91,7 +83,7 @@ def et_sheet(spark, sf):
         (F.lit(2011) + cid % 5).alias("year"),
         F.when(cid % 2 == 0, F.lit("recurrent")).otherwise(F.lit("capital")).alias("type"),
         (cid * 10000 + turn).alias("row_ord"),
-        F.substring("text", 1, 30).alias("description"),
+        F.col("text").alias("description"),
         F.when(turn == 0, cid.cast("string")).alias("public_body_code"),
         F.when(role == "user", turn.cast("string")).alias("program_code"),
         F.when(role == "assistant", turn.cast("string")).alias("activity_code"),
@@ -112,7 +104,7 @@ def _et_sql():
         f"last_value(CASE WHEN {c} IS NOT NULL THEN description END IGNORE NULLS) OVER w AS {n}" for c, n in levels)
     return f"""WITH et AS (
   SELECT 2011 + conv_id % 5 AS year, CASE WHEN conv_id % 2 = 0 THEN 'recurrent' ELSE 'capital' END AS type,
-         conv_id * 10000 + turn AS row_ord, substr(text, 1, 30) AS description,
+         conv_id * 10000 + turn AS row_ord, text AS description,
          CASE WHEN turn = 0 THEN CAST(conv_id AS VARCHAR) END AS public_body_code,
          CASE WHEN role = 'user' THEN CAST(turn AS VARCHAR) END AS program_code,
          CASE WHEN role = 'assistant' THEN CAST(turn AS VARCHAR) END AS activity_code,
@@ -134,22 +126,17 @@ def q_et(spark, sf):
     return budgets.clean_budget_et(et_sheet(spark, sf))
 
 
-@register("clean_budget_et_skew_safe", _et_sql())
-def q_et_skew(spark, sf):
-    return budgets.clean_budget_et(et_sheet(spark, sf), skew_safe=True)
-
-
 # --- X06 Uganda: five text columns pasted with NA -------------------------------
 @register("clean_budget_ug", """SELECT conv_id, turn,
   concat_ws(' ', coalesce(role, 'NA'), coalesce(CAST(conv_id AS VARCHAR), 'NA'),
-            coalesce(CASE WHEN role = 'system' THEN 'sub' END, 'NA'), coalesce(substr(text, 1, 20), 'NA'),
+            coalesce(CASE WHEN role = 'system' THEN 'sub' END, 'NA'), coalesce(text, 'NA'),
             coalesce(CAST(turn AS VARCHAR), 'NA')) AS text
 FROM conversations""")
 def q_ug(spark, sf):
     c = TB.load(spark, sf, "conversations")
     ug = c.select("conv_id", "turn", F.col("role").alias("Vote"), F.col("conv_id").cast("string").alias("Programme"),
                   F.when(F.col("role") == "system", F.lit("sub")).alias("SubProgramme"),
-                  F.substring("text", 1, 20).alias("KeyOutputDescription"),
+                  F.col("text").alias("KeyOutputDescription"),
                   F.col("turn").cast("string").alias("Description"), F.lit(True).alias("Gender"))
     return budgets.clean_budget_ug(ug).select("conv_id", "turn", "text")
 

@@ -122,6 +122,31 @@ def q_predict_docs(spark, sf):
     return p.select("doc_id", *[F.round(c, 6).alias(c) if c.endswith("_conf") else F.col(c) for c in _pred_cols()])
 
 
+def _model_scorer(group):
+    """A user model in Python: distinct model words of a chunk, as the expression scorer counts them."""
+    words = frozenset(Lexicon(group, DOC_GROUP_WORDS[group]).single)
+    expr = doc_scorers()[group]
+
+    def load():
+        return words
+
+    def predict(model, texts, biases=tuple(expr.biases)):
+        import numpy as np
+
+        hits = np.array([len(set(t.split(" ")) & model) for t in texts], dtype=float)
+        return np.stack([1 / (1 + np.exp(-(hits - b))) for b in biases], axis=1)
+
+    return scoring.PandasScorer(group, expr.labels, load, predict)
+
+
+@register("predict_documents_model", _doc_pred_sql())
+def q_predict_docs_model(spark, sf):
+    """C01 with user models (``PandasScorer``) for all themes."""
+    d = _docs(spark, sf).select("doc_id", "text")
+    p = scoring.predict_budget(d, {g: _model_scorer(g) for g in doc_scorers()}, doc_lexicons(), "text", round_digits=6)
+    return p.select("doc_id", *[F.round(c, 6).alias(c) if c.endswith("_conf") else F.col(c) for c in _pred_cols()])
+
+
 @register("reduce_chunks", f"""WITH {CHUNK_SQL},
 h AS (SELECT doc_id, len(list_distinct(list_intersect(c, {S.lit_list(DOC_GROUP_WORDS['gender'])}))) AS hits FROM chunks),
 s AS (SELECT doc_id, round({S.sigmoid(f'hits - {DOC_BIAS[0]}')}, 6) AS sc, round({S.sigmoid(f'hits - {DOC_BIAS[1]}')}, 6) AS pc FROM h)
@@ -157,19 +182,27 @@ def q_compare(spark, sf):
     return x.select("doc_id", *[F.round(c, 6).alias(c) for c in cols])
 
 
-# --- W03 / W04: near-duplicates in text order (ASCII English texts) ---------
+# --- W03 / W04: near-duplicates in text order ---------------------------------
+# DuckDB measures edit distance in bytes: the oracle first gives every accented
+# letter of the tables a one-byte stand-in that no text holds
+ACCENTED = "ÀÁÂÄÇÈÉÊÍÑÓÖÚÜßàáäçèéêíñóöúü"
+STAND_INS = " || ".join(f"chr({c})" for c in [*range(1, 9), *range(14, 32), 127][:len(ACCENTED)])
+
+
+def one_byte(expr: str) -> str:
+    return f"translate({expr}, '{ACCENTED}', {STAND_INS})"
+
+
 NEAR_SRC = """SELECT doc_id, text FROM documents
-WHERE lang = 'en' AND NOT regexp_matches(text, '[^\\x00-\\x7F]')
-  AND length(text) > 10 AND length(text) - length(replace(text, ' ', '')) < 500"""
+WHERE length(text) > 10 AND length(text) - length(replace(text, ' ', '')) < 500"""
 
 
 @register("near_duplicates", f"""WITH src AS ({NEAR_SRC}),
 o AS (SELECT doc_id, text, lead(text) OVER (ORDER BY text, doc_id) AS nxt FROM src)
-SELECT doc_id FROM o WHERE nxt IS NULL OR levenshtein(text, nxt) / length(text) >= 0.2""")
+SELECT doc_id FROM o WHERE nxt IS NULL OR levenshtein({one_byte('text')}, {one_byte('nxt')}) / length(text) >= 0.2""")
 def q_near(spark, sf):
-    d = _docs(spark, sf)
-    d = d.where((F.col("lang") == "en") & ~F.col("text").rlike("[^\\x00-\\x7F]") & FL.fits_context("text"))
-    return curate.drop_near_dups(d.select("doc_id", "text"), "text", "doc_id", 0.2, keep_last=True).select("doc_id")
+    d = _docs(spark, sf).where(FL.fits_context("text")).select("doc_id", "text")
+    return curate.drop_near_dups(d, "text", "doc_id", 0.2, keep_last=True).select("doc_id")
 
 
 # --- X08 / A20 / A19 / A21 / F21 on scored records ---------------------------
@@ -216,9 +249,20 @@ def q_percentiles(spark, sf):
                     F.round("pri_conf", 6).alias("pri_conf"))
 
 
-@register("percentiles_approx")
+@register("percentiles_approx", f"""{SC},
+r AS (SELECT 'sig_conf' AS name, sig_conf AS v FROM scored UNION ALL SELECT 'pri_conf', pri_conf FROM scored),
+o AS (SELECT name, v, row_number() OVER (PARTITION BY name ORDER BY v) AS k, count(*) OVER (PARTITION BY name) AS n
+      FROM r WHERE v IS NOT NULL),
+p AS (SELECT unnest(range(0, 5)) AS p_no, unnest([0.01, 0.1, 0.5, 0.9, 0.99]::DOUBLE[]) AS prob)
+SELECT CAST(p_no AS BIGINT) AS p_no, prob, round(max(v) FILTER (name = 'sig_conf'), 6) AS sig_conf,
+       round(max(v) FILTER (name = 'pri_conf'), 6) AS pri_conf
+FROM p JOIN o ON k = greatest(1, ceil(round(prob * n, 6))) GROUP BY ALL""")
 def q_percentiles_approx(spark, sf):
-    return curate.percentiles(TB.scored(spark, sf), ["sig_conf", "pri_conf"], method="approx")
+    """The sketch's accuracy exceeds the row count of the tables compared, so
+    it returns the value at rank ceil(p * n)."""
+    p = curate.percentiles(TB.scored(spark, sf), ["sig_conf", "pri_conf"], method="approx")
+    return p.select(F.col("p_no").cast("bigint").alias("p_no"), "prob", F.round("sig_conf", 6).alias("sig_conf"),
+                    F.round("pri_conf", 6).alias("pri_conf"))
 
 
 @register("conf_histogram", f"""{SC}
@@ -312,15 +356,27 @@ def q_curate_climate(spark, sf):
     return curate.curate_climate(TB.climate_predictions(spark, sf), near_dup=None, order_col="doc_id")
 
 
-@register("curate_climate_dedup")
+@register("curate_climate_dedup", _climate_sql(f"""
+SELECT doc_id, text, adaptation_label, mitigation_label FROM (
+  SELECT *, lead(text) OVER (ORDER BY text, doc_id) AS nxt FROM (SELECT doc_id, text, {CLIMATE_LABELS_SQL} FROM p3))
+WHERE nxt IS NULL OR levenshtein({one_byte('text')}, {one_byte('nxt')}) / length(text) >= 0.2"""))
 def q_curate_climate_full(spark, sf):
-    """X09 end to end, with near-duplicate removal in text order.  The
-    distance counts characters; DuckDB's counts bytes, so the non-ASCII
-    texts here have no SQL oracle (``near_duplicates`` checks the window)."""
+    """X09 end to end, with near-duplicate removal in text order."""
     return curate.curate_climate(TB.climate_predictions(spark, sf), order_col="doc_id")
 
 
-@register("climate_error_rows")
+def _error_rows_sql() -> str:
+    rule = {}
+    for k, (mk, v, pred, conf, thr) in curate.FN_RULES.items():
+        rule[k] = f"coalesce({mk} = {v} AND NOT {pred} AND {conf} <= {thr}, false)"
+    for k, (mk, v, pred, conf, thr) in curate.FP_RULES.items():
+        rule[k] = f"coalesce(NOT ({mk} = {v}) AND {pred} AND {conf} >= {thr}, false)"
+    fp = " OR ".join(rule[k] for k in curate.FP_RULES)
+    return _climate_sql(f"""SELECT doc_id, ({fp}) AND adapt_sig = 0 AND mitig_sig = 0 AS fp_drill
+FROM p2 WHERE {' OR '.join(rule.values())}""")
+
+
+@register("climate_error_rows", _error_rows_sql())
 def q_climate_errors(spark, sf):
     x = curate.prepare_climate(TB.climate_predictions(spark, sf))
     return curate.error_rows(x).select("doc_id", "fp_drill")

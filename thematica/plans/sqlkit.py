@@ -63,6 +63,6 @@ def ctes(*parts: str) -> str:
     return "WITH " + ",\n".join(p.strip() for p in parts)
 
 
-def money_sum(expr: str, scale: int = 4) -> str:
-    """Exact money total, as ``_util.money_sum``."""
-    return f"CAST(sum(CAST({expr} AS DECIMAL(18,{scale}))) AS DOUBLE)"
+def money_sum(expr: str) -> str:
+    """Money total without any rounding of rows (compensated double sum)."""
+    return f"fsum({expr})"

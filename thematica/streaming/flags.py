@@ -53,12 +53,13 @@ def checkpoint_location(spark: SparkSession, name: str) -> str:
     return os.path.join(ensure_checkpoint_dir(spark), "streams", f"{name}-{uuid.uuid4().hex[:8]}")
 
 
-def run_available(df: DataFrame, name: str, output_mode: str = "append") -> DataFrame:
-    """Process everything available now into a memory table and return it as
-    a batch DataFrame (for checks; production sinks use ``writeStream``)."""
+def run_available(df: DataFrame, name: str) -> DataFrame:
+    """Process everything available now into a Parquet sink under the shared
+    folder and return it as a batch DataFrame.  Rows never pass the driver."""
     spark = df.sparkSession
-    q = (df.writeStream.format("memory").queryName(name).outputMode(output_mode)
-         .option("checkpointLocation", checkpoint_location(spark, name))
-         .trigger(availableNow=True).start())
+    at = checkpoint_location(spark, name)
+    out = f"{at}-out"
+    q = (df.writeStream.format("parquet").queryName(name).outputMode("append").option("path", out)
+         .option("checkpointLocation", at).trigger(availableNow=True).start())
     q.awaitTermination()
-    return spark.table(name)
+    return spark.read.schema(df.schema).parquet(out)
