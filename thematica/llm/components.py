@@ -1,9 +1,9 @@
 """Connected components of a link table, in rounds of joins.
 
-Small-star / large-star: in each round every vertex links its greater
+Large-star / small-star: in each round every vertex links its greater
 neighbours, then its smaller ones, to the least vertex it knows.  The rounds
 end when the links are stars; their number grows with the logarithm of the
-longest chain.  Links stay in tables; the driver sees two sums a round.  The
+longest chain.  Links stay in tables; the driver sees one row a round.  The
 least neighbour is a partial aggregate, and the join back is a sort-merge join
 that AQE splits where a vertex is hot.
 """
@@ -18,42 +18,44 @@ from .shared import materialise
 MAX_ROUNDS = 60
 
 
+def _both_ways(e: DataFrame) -> DataFrame:
+    ways = F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))
+    return e.select(F.inline(ways)).where("u <> v")
+
+
 def _least(e: DataFrame) -> DataFrame:
     """Of links (u, v): the least of u and its neighbours, by u."""
     return e.groupBy(F.col("u").alias("_u")).agg(F.min("v").alias("_m")).withColumn("_m", F.least("_u", "_m"))
 
 
 def _large_star(e: DataFrame) -> DataFrame:
-    both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    m = _least(both)
-    return (both.join(m, F.col("u") == F.col("_u")).where("v > u")
-            .select(F.col("v").alias("u"), F.col("_m").alias("v")).where("u <> v").distinct())
+    both = _both_ways(e)
+    x = both.join(_least(both), F.col("u") == F.col("_u")).where("v > u")
+    return x.select(F.col("v").alias("u"), F.col("_m").alias("v"))  # v > u >= _m
 
 
 def _small_star(e: DataFrame) -> DataFrame:
-    down = e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    m = _least(down)
-    hop = down.join(m, F.col("u") == F.col("_u"))
-    return (hop.select(F.col("v").alias("u"), F.col("_m").alias("v"))
-            .union(m.select(F.col("_u").alias("u"), F.col("_m").alias("v"))).where("u <> v").distinct())
+    """``e`` has u > v."""
+    x = e.join(_least(e), F.col("u") == F.col("_u"))
+    ways = F.array(F.struct(F.col("v").alias("u"), F.col("_m").alias("v")), F.struct(F.col("u"), F.col("_m").alias("v")))
+    return x.select(F.inline(ways)).where("u <> v").distinct()
 
 
-def _state(e: DataFrame):
-    return tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+def _settled(e: DataFrame) -> bool:
+    """Whether the links are stars: no centre has a link of its own, no vertex two centres."""
+    ends = F.array(F.struct(F.col("u").alias("x"), F.lit(1).alias("leaf")), F.struct(F.col("v").alias("x"), F.lit(0).alias("leaf")))
+    bad = (e.select(F.inline(ends)).groupBy("x").agg(F.sum("leaf").alias("leaf"), F.min("leaf").alias("least"))
+           .where("leaf > 1 or (leaf = 1 and least = 0)"))
+    return not bad.limit(1).count()
 
 
 def connected_components(links: DataFrame) -> DataFrame:
     """(id, component) for every vertex of ``links`` (u, v) other than the least
-    of its component, which names it.  Self-links and repeats don't matter."""
-    e = materialise(links.select("u", "v").where("u <> v").distinct(), "links")
-    before = _state(e)
-    if before[0]:
-        for _ in range(MAX_ROUNDS):
-            e = materialise(_small_star(_large_star(e)), "links")
-            now = _state(e)
-            if now == before:
-                break
-            before = now
-        else:
-            raise RuntimeError("components did not settle")
-    return e.select(F.col("u").alias("id"), F.col("v").alias("component"))
+    of its component, which names it.  Self-links and repeats don't matter.
+    ``links`` is read several times: it should be a written table."""
+    e = links.select("u", "v")
+    for _ in range(MAX_ROUNDS):
+        e = materialise(_small_star(_large_star(e)), "links")
+        if _settled(e):
+            return e.select(F.col("u").alias("id"), F.col("v").alias("component"))
+    raise RuntimeError("components did not settle")

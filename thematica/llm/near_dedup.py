@@ -9,12 +9,11 @@ share a table with probability (1 - (1 - s^HALF)^BANDS)^2: 0.9986 at s = 0.8 and
 
 Documents with equal shingle sets are one class from the start; only class
 representatives take part in the rest.  Within a table, pairs are not
-enumerated: members are linked to their neighbour in order of set size and to
-the first member, and these links are verified on the full sets.  Members that
-share a table but not yet a component are then compared: first each component's
-first member against the others, then all pairs across components that the set
-sizes allow, until no untested pair is left.  Only links within one component,
-which can't change the result, are skipped.
+enumerated: each member is compared, on the full sets, with the table's head,
+its most central member, and similar ones make first components.  Then members
+of one table and different components are compared, where the set sizes, and
+what both share with the head, allow a link at all; see ``link_rows``.  Links
+within one component can't change the result and are skipped.
 
 Defined results: null and empty texts have no shingles, are linked with nothing
 and kept; a null id has no component and is kept; rows that repeat an id are one
@@ -80,13 +79,16 @@ def tensored_keys(bands: int = BANDS) -> Column:
 
 
 def sharing(reps: DataFrame, keys: Column) -> DataFrame:
-    """A row (key, n, id) for each table of each representative whose key others
-    share, with its neighbours in order of size.  ``reps`` is (rep, n_shingles, ...)."""
+    """A row (key, n, id, head, head_n) for each table of each representative
+    whose key others share.  The head of a key is its most central member: the
+    one that meets most others over all tables, such as the text that near
+    copies were made from.  ``reps`` is (rep, n_shingles, ...)."""
     x = reps.select(F.explode(keys).alias("key"), F.col("n_shingles").cast("int").alias("n"), F.col("rep").alias("id"))
-    w = W.partitionBy("key").orderBy("n", "id")
-    x = x.select("key", "n", "id", F.lag("id").over(w).alias("prev"), F.lag("n").over(w).alias("prev_n"),
-                 F.lead("id").over(w).alias("next"), F.first("id").over(w).alias("head"), F.first("n").over(w).alias("head_n"))
-    return x.where("prev is not null or next is not null")
+    x = materialise(x.withColumn("m", F.count(F.lit(1)).over(W.partitionBy("key"))).where("m > 1"), "shared")
+    central = x.groupBy(F.col("id").alias("_id")).agg(F.sum("m").alias("c"))
+    x = x.join(central, F.col("id") == F.col("_id")).select("key", "n", "id", "c")
+    heads = x.groupBy(F.col("key").alias("_key")).agg(F.max(F.struct("c", -F.col("id"), "id", "n")).alias("h"))
+    return x.join(heads, F.col("key") == F.col("_key")).select("key", "n", "id", F.col("h.id").alias("head"), F.col("h.n").alias("head_n"))
 
 
 def _near_size(a: str, b: str, percent: int) -> Column:
@@ -94,32 +96,28 @@ def _near_size(a: str, b: str, percent: int) -> Column:
 
 
 def verify(pairs: DataFrame, docs: DataFrame, k: int = 2, percent: int = PERCENT) -> DataFrame:
-    """The pairs (u, v) of document ids whose full shingle sets are similar.
+    """(u, v, common, similar) of the pairs (u, v) of document ids: the size of
+    the intersection of their full shingle sets, and whether they are similar.
     ``docs`` is (id, text)."""
     one = pairs.join(docs.select(F.col("id").alias("v"), F.col("text").alias("b")), "v")
     both = one.join(docs.select(F.col("id").alias("u"), F.col("text").alias("a")), "u")
-    return _similar(both, k, percent)
-
-
-def _similar(both: DataFrame, k: int, percent: int) -> DataFrame:
-    schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
+    schema = pa.schema([("u", pa.int64()), ("v", pa.int64()), ("common", pa.int64()), ("similar", pa.bool_())])
 
     def run(batches):
         hasher = WordHasher()
         last: tuple = (None, None)
         for batch in batches:
-            us, vs = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            ok = []
-            for u, a, b in zip(us, texts(batch, "a"), texts(batch, "b")):
-                if last[0] != u:
-                    last = (u, shingles(hasher(a), k))
+            common, similar = [], []
+            for u, a, b in zip(batch.column(0).to_pylist(), texts(batch, "a"), texts(batch, "b")):
+                if last[0] != u or last[2] != a:  # rows come sorted by u
+                    last = (u, shingles(hasher(a), k), a)
                 s, t = last[1], shingles(hasher(b), k)
-                both = len(np.intersect1d(s, t, assume_unique=True))
-                ok.append(both > 0 and 100 * both >= percent * (len(s) + len(t) - both))
-            keep = [i for i, good in enumerate(ok) if good]
-            yield pa.record_batch([pa.array([us[i] for i in keep], pa.int64()), pa.array([vs[i] for i in keep], pa.int64())], schema=schema)
+                n = len(np.intersect1d(s, t, assume_unique=True))
+                common.append(n)
+                similar.append(n > 0 and 100 * n >= percent * (len(s) + len(t) - n))
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(common, pa.int64()), pa.array(similar, pa.bool_())], schema=schema)
 
-    return both.select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
+    return both.select("u", "v", "a", "b").mapInArrow(run, "u long, v long, common long, similar boolean")
 
 
 def link_rows(rows: DataFrame, docs: DataFrame, k: int, percent: int = PERCENT) -> DataFrame:
@@ -127,35 +125,28 @@ def link_rows(rows: DataFrame, docs: DataFrame, k: int, percent: int = PERCENT)
     of ``sharing``, ``docs`` is (id, text) with at least their ids."""
     ids = rows.select("id").distinct()
     docs = materialise(only(docs, "id", ids, "id"), "candidates")  # texts that share a table with another
-    pair = lambda a, b: (F.least(a, b).alias("u"), F.greatest(a, b).alias("v"))
-    near = rows.where("prev is not null")
-    first = (near.where(_near_size("n", "prev_n", percent)).select(*pair("id", "prev"))
-             .union(near.where(_near_size("n", "head_n", percent)).select(*pair("id", "head"))).where("u <> v").distinct())
-    tested = materialise(first, "tested")
-    links = materialise(verify(tested, docs, k, percent), "links")
-    for step in ("heads", "all"):
-        labels = connected_components(links)
-        lab = (rows.select("key", "n", "id").join(labels.withColumnRenamed("id", "_l"), F.col("id") == F.col("_l"), "left")
-               .select("key", "n", "id", F.coalesce("component", "id").alias("c")))
-        # tables that hold more than one component
-        mixed = lab.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1").select("key")
-        lab = lab.join(mixed, "key", "left_semi")
-        if step == "heads":  # the first of each component in the table against the others
-            heads = lab.groupBy("key", "c").agg(F.min(F.struct("n", "id")).alias("h"))
-            heads = heads.select("key", F.col("c").alias("c2"), F.col("h.n").alias("n2"), F.col("h.id").alias("id2"))
-            w = W.partitionBy("key").orderBy("n2", "id2")
-            heads = heads.select("*", F.lead("c2").over(w).alias("c3"), F.lead("n2").over(w).alias("n3"), F.lead("id2").over(w).alias("id3"))
-            more = heads.where("id3 is not null").where(_near_size("n2", "n3", percent)).select(*pair("id2", "id3"))
-        else:
-            a = lab.select("key", F.col("n").alias("n1"), F.col("id").alias("id1"), F.col("c").alias("c1"))
-            b = lab.select("key", F.col("n").alias("n2"), F.col("id").alias("id2"), F.col("c").alias("c2"))
-            more = (a.join(b, "key").where((F.col("c1") < F.col("c2")) & _near_size("n1", "n2", percent))
-                    .select(*pair("id1", "id2")))
-        more = materialise(more.distinct().join(tested, ["u", "v"], "left_anti"), "pairs")
-        new = materialise(verify(more, docs, k, percent), "links")
-        tested = tested.union(more)
-        links = links.union(new)
-    return links
+    to_head = rows.where(_near_size("n", "head_n", percent) & (F.col("id") != F.col("head"))).select(F.col("head").alias("u"), F.col("id").alias("v"))
+    met = materialise(verify(to_head.distinct(), docs, k, percent), "met")
+    stars = connected_components(met.where("similar")).select(F.col("id").alias("u"), F.col("component").alias("v"))
+    # members of a table that aren't in one component yet
+    lab = (rows.select("key", "n", "id", "head").join(stars, F.col("id") == F.col("u"), "left")
+           .select("key", "n", "id", "head", F.coalesce("v", "id").alias("c")))
+    mixed = lab.groupBy(F.col("key").alias("_key")).agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1").select("_key")
+    lab = lab.join(mixed, F.col("key") == F.col("_key"), "left_semi")
+    common = met.select(F.col("u").alias("_u"), F.col("v").alias("_v"), "common").distinct()
+    lab = lab.join(common, (F.col("head") == F.col("_u")) & (F.col("id") == F.col("_v")), "left")
+    lab = materialise(lab.select("key", "n", "id", "c", F.when(F.col("id") == F.col("head"), F.col("n").cast("long")).otherwise(F.col("common")).alias("w")), "mixed")
+    # What two members share of the head is at most the smaller of what each shares with it.  If that is too little for a
+    # link, they are similar only through shingles that the head lacks, and then meet in tables that the head isn't in.
+    bound = F.least("w1", "w2")
+    can = F.col("w1").isNull() | F.col("w2").isNull() | (100 * bound >= percent * (F.col("n1") + F.col("n2") - bound))
+    a, b = (lab.select("key", *[F.col(c).alias(f"{c}{i}") for c in ("n", "id", "c", "w")]) for i in (1, 2))
+    more = (a.join(b, "key").where((F.col("c1") < F.col("c2")) & _near_size("n1", "n2", percent) & can)
+            .select(F.least("id1", "id2").alias("u"), F.greatest("id1", "id2").alias("v")).distinct())
+    tested = met.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+    more = materialise(more.join(tested, ["u", "v"], "left_anti"), "pairs")
+    new = materialise(verify(more, docs, k, percent), "more")
+    return stars.select("u", "v").union(new.where("similar").select("u", "v"))
 
 
 def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 2, bands: int = BANDS,
