@@ -29,13 +29,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .shared import CACHE_ENTRIES, materialise, pick, texts
+from .shared import materialise, pick, texts
 
 CAPACITY = 4096
 END_ID = 1
 TOKENIZER = "word_bpe_49k.json"
 #: rows that one (length, salt) group has on average when all rows share a length
 RANK_ROWS = 250_000
+#: bounds of a worker's caches (entries of about 200 bytes)
+RUNS_KEPT, WORDS_KEPT = 1_000_000, 700_000
 SLOT_ROWS = 50_000
 
 
@@ -69,7 +71,8 @@ class Encoder:
         own = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
         rest = [b for b in range(256) if b not in own]
         self.alphabet = {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
-        self.cache: dict[str, bytes] = {}
+        self.cache: dict[str, bytes] = {}  # runs as they stand
+        self.words: dict[str, bytes] = {}  # plain words in lower case, without marks
 
     @staticmethod
     def _pack(ids) -> bytes:
@@ -79,19 +82,27 @@ class Encoder:
         m = self.PLAIN.fullmatch(w)
         if not m:
             return self._pack(self.tok.encode(w, add_special_tokens=False).ids)
-        word = m[1].lower().encode().decode("latin-1").translate(self.alphabet)
-        out = [t.id for t in self.model.tokenize(word)]
-        if m[2]:
-            out += [t.id for t in self.model.tokenize(m[2])]
-        return self._pack(out)
+        out = self._word(m[1].lower())
+        return out + self._word(m[2]) if m[2] else out
+
+    def _word(self, word: str) -> bytes:
+        out = self.words.get(word)
+        if out is None:
+            letters = word.encode().decode("latin-1").translate(self.alphabet)
+            out = self._pack([t.id for t in self.model.tokenize(letters)])
+            if len(word) <= self.LONGEST:
+                self.words[word] = out
+        return out
 
     def __call__(self, text: str | None) -> bytes:
         if not text:
             return b""
         runs = text.translate(self.BREAKS).split(" ") if "\t" in text or "\r" in text else text.replace("\n", " ").split(" ")
         cache = self.cache
-        if len(cache) > CACHE_ENTRIES:
+        if len(cache) > RUNS_KEPT:
             cache.clear()
+        if len(self.words) > WORDS_KEPT:
+            self.words.clear()
         cache[""] = b""
         try:
             return b"".join(map(cache.__getitem__, runs))
