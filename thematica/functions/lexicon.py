@@ -63,10 +63,11 @@ class Lexicon:
 
     @classmethod
     def from_file(cls, name: str, path: str, style: str = "python") -> "Lexicon":
-        """Load a lexicon shipped as data: one entry per line, ``#`` comments."""
+        """Load a lexicon from a file: one entry per line, in order, repeats kept
+        in ``words``; lines that begin with ``#`` are comments."""
         with open(path, encoding="utf-8") as fh:
-            words = [ln.split("#")[0].strip() for ln in fh]
-        return cls(name, tuple(w for w in words if w), style)
+            words = [ln.strip() for ln in fh]
+        return cls(name, tuple(w for w in words if w and not w.startswith("#")), style)
 
     @property
     def single(self) -> tuple:

@@ -38,14 +38,6 @@ def audit_off_theme(threshold: float = 0.01) -> Column:
             & (F.col(M.conf_col("mitigation", "pri")) < threshold))
 
 
-def audit_missed(marker: str, strong_match: str, conf_cols, threshold: float = 0.75) -> Column:
-    """marker 0, strong-vocabulary match, a confidence above threshold."""
-    c = F.lit(False)
-    for cc in conf_cols:
-        c = c | (F.col(cc) > threshold)
-    return (F.col(marker) == 0) & F.col(strong_match) & c
-
-
 # FIXED VALUES: second-round label texts (gender).
 NO_LABEL = "No gender equality objective"
 SIG_LABEL = "Significant gender equality objective"
@@ -88,17 +80,21 @@ MISLABEL_KEEP = ("crs_id", "year", "donor_name", "recipient_name", "purpose_name
 
 
 def mislabel_report(df: DataFrame, text_cols=("project_title", "short_description", "long_description"),
-                    keep=MISLABEL_KEEP, id_col: str = "crs_id", blanks=("", "-", " ")) -> dict:
+                    keep=MISLABEL_KEEP, id_col: str = "crs_id", blanks=("", "-", " "), confident: float = 0.95,
+                    unsure: float = 0.5, off_theme: float = 0.01) -> DataFrame:
     """Drop blank records, keep the report columns, distinct, drop empty
-    ids, then the three audit lists (two swap directions and off-theme)."""
+    ids, then the three audit lists (two swap directions and off-theme) as rows
+    of one table with the list's name in ``report``; one pass over the records."""
     keep = [c for c in keep if c in df.columns]
     base = df.where(FL.drop_blank(text_cols, blanks)).select(*keep).distinct()
     base = base.where(F.col(id_col) != "")
-    return {
-        "adaptation_mislabeled_mitigation": base.where(fbool(audit_swapped("mitigation", "adaptation"))),
-        "mitigation_mislabeled_adaptation": base.where(fbool(audit_swapped("adaptation", "mitigation"))),
-        "non_climate_mislabeled": base.where(fbool(audit_off_theme())),
+    lists = {
+        "adaptation_mislabeled_mitigation": audit_swapped("mitigation", "adaptation", confident, unsure),
+        "mitigation_mislabeled_adaptation": audit_swapped("adaptation", "mitigation", confident, unsure),
+        "non_climate_mislabeled": audit_off_theme(off_theme),
     }
+    names = F.filter(F.array(*[F.when(fbool(c), F.lit(k)) for k, c in lists.items()]), lambda x: x.isNotNull())
+    return base.select(F.explode(names).alias("report"), *keep)
 
 
 def text_len_flag(col: str = "long_description", cut: int = 50):

@@ -68,6 +68,18 @@ def describe_flag(df: DataFrame, flag: str) -> DataFrame:
     )
 
 
+def describe_flags(df: DataFrame, flags) -> DataFrame:
+    """A18 for several flags in one aggregate, one row a flag."""
+    aggs, rows = [], []
+    for f in flags:
+        c = F.col(f)
+        aggs += [F.sum(c.isNull().cast("long")).alias(f"{f}__missing"), F.countDistinct(c).alias(f"{f}__distinct"),
+                 F.coalesce(F.sum(c.cast("long")), F.lit(0)).alias(f"{f}__true"), F.avg(c.cast("double")).alias(f"{f}__mean")]
+        rows.append(f"'{f}', n, `{f}__missing`, `{f}__distinct`, `{f}__true`, `{f}__mean`")
+    x = df.agg(F.count(F.lit(1)).alias("n"), *aggs)
+    return x.selectExpr(f"stack({len(rows)}, {', '.join(rows)}) as (flag, n, missing, distinct, n_true, mean)")
+
+
 def to_reference_names(df: DataFrame) -> DataFrame:
     """Sink-side rename to the reference's column titles."""
     m = {k: v for k, v in M.reference_names().items() if k in df.columns}

@@ -7,8 +7,7 @@ Scale notes
   range-partitioned, ranked inside each range, and the wanted global ranks
   are located through a per-range count table (one row per range - its size
   is bounded by the partition count, so broadcasting it is safe).
-* Scalars (percentiles) are attached to rows with scalar subqueries
-  (``DataFrame.scalar``): evaluated once, shipped as literals; no cross join.
+* Percentiles used as thresholds are read once and become literals.
 * The adjacent-row distance uses the same range split: ``lead`` inside each
   range, and each range's first text hands over to the previous range's
   last row through the small per-range table.
@@ -78,14 +77,12 @@ def percentiles(df: DataFrame, cols, probs=PROBS, method: str = "exact", splits:
 def percentile_scalars(df: DataFrame, cols, probs=PROBS, method: str = "exact") -> dict:
     """Percentiles of several columns as literals for row predicates.
 
-    One scalar subquery returns the whole (prob x column) table as a sorted
-    array of structs (len(probs) entries - bounded), evaluated once; each
-    threshold is an element of it.  Returns ``{col: [Column per prob]}``.
+    The table has one row per probability; its values are read once and become
+    literals.  Returns ``{col: [Column per prob]}``.
     """
     cols = [cols] if isinstance(cols, str) else list(cols)
-    q = percentiles(df, cols, probs, method)
-    arr = q.agg(F.array_sort(F.collect_list(F.struct("p_no", *cols))).alias("a")).scalar()
-    return {c: [F.element_at(arr, i + 1)[c] for i in range(len(probs))] for c in cols}
+    rows = sorted(percentiles(df, cols, probs, method).collect(), key=lambda r: r["p_no"])  # len(probs) rows
+    return {c: [F.lit(r[c]).cast("double") for r in rows] for c in cols}
 
 
 def histogram(df: DataFrame, col: str, lo: float = 0.0, hi: float = 1.0, bins: int = 10) -> DataFrame:

@@ -37,6 +37,13 @@ def distinct_values(df: DataFrame, cols, out: str = "value") -> DataFrame:
     return df.select(F.explode(F.array(*[F.col(c).cast("string") for c in cols])).alias(out)).distinct()
 
 
+def funnel_counts(df: DataFrame, stages: dict) -> DataFrame:
+    """A27 where every stage is a condition on the same rows: one aggregate."""
+    x = df.agg(*[F.count(F.when(c, 1)).alias(f"s{i}") for i, c in enumerate(stages.values())])
+    rows = ", ".join(f"'{name}', {i}, s{i}" for i, name in enumerate(stages))
+    return x.selectExpr(f"stack({len(stages)}, {rows}) as (stage, step, rows)")
+
+
 def funnel(stages: dict) -> DataFrame:
     """before/after row counts, one row per named stage (one job each
     stage, counts only - nothing but integers reaches the driver)."""

@@ -16,6 +16,7 @@ from ..functions import markers as M
 from ..functions import text as T
 from . import dedupe as D
 from . import filters as FL
+from ..session import write_table
 from .ranking import hash_order, rank_within
 
 
@@ -125,20 +126,25 @@ def prepare_training(df: DataFrame, sig: str, text: str = "text", flag: str | No
     split -> multi-hot labels (significant, principal)."""
     x = df.where(FL.declared(flag, sig, (0, 1, 2))).where(FL.usable_text(text))
     x = x.select(text, sig, *([order_col] if order_col else []))
-    x = D.dedupe(x, [text], order_col)
+    x = write_table(D.dedupe(x, [text], order_col), "texts")  # counted, ranked and split below
     if balance:
         x = downsample(x, sig, 0, seed, (text,))
     x = stratified_split(x, sig, test, seed, (text,))
     return x.withColumn("labels", M.multi_hot(F.col(sig), (1, 2), ordinal)).select(text, sig, "split", "labels")
 
 
-def publish_curated(df: DataFrame, label: str = "label", text: str = "text", remove: str | None = "Remove",
+def publish_curated(df: DataFrame, label="label", text: str = "text", remove: str | None = "Remove",
                     seed=1337, test: float = 0.2, path: str | None = None) -> DataFrame:
-    """Drop rows marked for removal, keep text + label, class-encode,
-    stratified split, optionally write partitioned by split."""
+    """Drop rows marked for removal, keep text and label(s), class-encode,
+    stratified split, optionally write partitioned by split.  Several labels
+    (climate: adaptation and mitigation) are stratified by their combination
+    (P19)."""
+    labels = [label] if isinstance(label, str) else list(label)
     x = df.where(FL.removal_not_flagged(remove)) if remove and remove in df.columns else df
-    x = encode_class(x.select(text, label), label, "class_label")
-    x = stratified_split(x, "class_label", test, seed, (text,)).drop("class_label")
+    x = write_table(x.select(text, *labels), "curated")
+    stratum = "_stratum"
+    x = encode_class(x.withColumn(stratum, M.concat_label(*labels)), stratum, "class_label")
+    x = stratified_split(x, "class_label", test, seed, (text,)).drop("class_label", stratum)
     if path is not None:
         from ..sources.io import write_split
         write_split(x, path)
@@ -193,9 +199,15 @@ class MultiLabelModel:
         return x.select(*cols, F.array(*probs).alias(out))
 
 
-def evaluate_per_class(df: DataFrame, scorer_preds: Column, marker: str = "gender", names=(
-        "Significant gender equality objective", "Principal gender equality objective")) -> DataFrame:
-    """Labels from the marker (1 -> significant, 2 -> principal), the
-    scorer's confidences, wide columns and per-class metrics."""
-    x = df.withColumn("labels", M.multi_hot(F.col(marker), (1, 2))).withColumn("predictions", scorer_preds)
-    return metrics_per_class(x)
+def climate_labels(adaptation, mitigation) -> Column:
+    """P17 for climate: adaptation significant, principal, mitigation significant, principal."""
+    return F.concat(M.multi_hot(adaptation, (1, 2)), M.multi_hot(mitigation, (1, 2)))
+
+
+def evaluate_per_class(df: DataFrame, scorer_preds: Column, labels: Column, names) -> tuple[DataFrame, DataFrame]:
+    """(rows with ``labels``, ``predictions`` and the wide ``Predicted X``
+    and ``Label X`` columns (P23), metrics per class with the class's name)."""
+    names = list(names)
+    x = df.withColumns({"labels": labels, "predictions": scorer_preds})
+    named = F.element_at(F.array(*[F.lit(n) for n in names]), F.col("class_idx").cast("int") + 1)
+    return unpack_classes(x, names), metrics_per_class(x).withColumn("class_name", named)

@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .._util import money_sum
+from ..session import write_table
 from ..functions import markers as M
 from ..operators import audit, automate, dedupe, filters, overlap, scoring, spending
 from ..operators.ranking import hash_order
@@ -64,7 +65,7 @@ def _venn(spark, sf):
 VENN_SQL = f"""{W},
 venn AS (
   SELECT principal_gender AS g, principal_climate AS c, principal_disability AS d,
-         coalesce(CAST(sum(CAST(usd_disbursement AS DECIMAL(18,4))) AS DOUBLE), 0) / 1e6 AS v
+         coalesce(fsum(usd_disbursement), 0) / 1e6 AS v
   FROM automated WHERE principal_gender OR principal_climate OR principal_disability GROUP BY ALL),
 sizes AS (
   SELECT round_even(coalesce(sum(CASE WHEN c THEN v END), 0), 0) AS c,
@@ -106,7 +107,7 @@ SELECT p.a, p.b, CAST(coalesce(sum(least(x.hi, y.hi) - greatest(x.lo, y.lo) + 1)
 FROM pairs p LEFT JOIN r x ON x.set_name = p.a LEFT JOIN r y ON y.set_name = p.b AND x.lo <= y.hi AND y.lo <= x.hi
 GROUP BY p.a, p.b""")
 def q_venn_intersections(spark, sf):
-    rng = overlap.element_ranges(_venn(spark, sf))
+    rng = write_table(overlap.element_ranges(_venn(spark, sf)), "ranges")  # a few rows, read six times
     out = None
     for a, b in (("gender", "disability"), ("climate", "disability"), ("climate", "gender")):
         s = overlap.intersect_size(rng, a, b).select(F.lit(a).alias("a"), F.lit(b).alias("b"), "size")
@@ -116,7 +117,7 @@ def q_venn_intersections(spark, sf):
 
 # --- G01: replicate each combination ceil(amount in millions) times ----------
 @register("replicate_overlap", f"""{W},
-agg AS (SELECT year, {FLAG_SQL}, coalesce(CAST(sum(CAST(usd_disbursement AS DECIMAL(18,4))) AS DOUBLE), 0) / 1e6 AS v FROM automated GROUP BY ALL)
+agg AS (SELECT year, {FLAG_SQL}, coalesce(fsum(usd_disbursement), 0) / 1e6 AS v FROM automated GROUP BY ALL)
 SELECT year, {FLAG_SQL}, CAST(unnest(range(1, CAST(ceil(v) AS BIGINT) + 1)) AS BIGINT) AS copy_no
 FROM agg WHERE ceil(v) > 0""")
 def q_replicate(spark, sf):
@@ -132,13 +133,8 @@ def q_replicate(spark, sf):
        count(DISTINCT {f}) AS distinct, CAST(coalesce(sum(CAST({f} AS BIGINT)), 0) AS BIGINT) AS n_true,
        round(avg(CAST({f} AS DOUBLE)), 6) AS mean FROM automated""" for f in FLAGS))
 def q_describe(spark, sf):
-    a = automated_flows(spark, sf)
-    out = None
-    for f in FLAGS:
-        d = automate.describe_flag(a, f).select(F.lit(f).alias("flag"), "n", "missing", "distinct", "n_true",
-                                                 F.round("mean", 6).alias("mean"))
-        out = d if out is None else out.unionByName(d)
-    return out
+    d = automate.describe_flags(automated_flows(spark, sf), FLAGS)
+    return d.select("flag", "n", "missing", "distinct", "n_true", F.round("mean", 6).alias("mean"))
 
 
 # --- X01 / J01: prediction columns (and the salted join-back) ---------------
@@ -263,17 +259,7 @@ def q_mislabel(spark, sf):
     keep = ("crs_id", "year", "donor_name", "recipient_name", "sector_name", "project_title", "climate_adaptation",
             "climate_mitigation", "adaptation_pri_conf", "mitigation_pri_conf", "climate_kw")
     p = p.withColumns({c: F.round(c, 6) for c in ("adaptation_pri_conf", "mitigation_pri_conf")})
-    base = p.where(filters.drop_blank(["project_title"])).select(*keep).distinct().where(F.col("crs_id") != "")
-    parts = {
-        "adaptation_mislabeled_mitigation": audit.audit_swapped("mitigation", "adaptation", hi=0.8),
-        "mitigation_mislabeled_adaptation": audit.audit_swapped("adaptation", "mitigation", hi=0.8),
-        "non_climate_mislabeled": audit.audit_off_theme(0.5),
-    }
-    out = None
-    for k, c in parts.items():
-        s = base.where(F.coalesce(c, F.lit(False))).select(F.lit(k).alias("report"), *keep)
-        out = s if out is None else out.unionByName(s)
-    return out
+    return audit.mislabel_report(p, ("project_title",), keep, confident=0.8, off_theme=0.5)
 
 
 # --- X17: spending report ----------------------------------------------------
@@ -301,7 +287,7 @@ def q_gender_sectors(spark, sf):
 
 
 @register("aid_debt_ratio", f"""{GENDER_FLAG_SQL}
-SELECT sector_name, round(coalesce(CAST(sum(CAST(usd_disbursement AS DECIMAL(18,4))) AS DOUBLE), 0) / nullif(coalesce(CAST(sum(CAST(usd_commitment AS DECIMAL(18,4))) AS DOUBLE), 0), 0), 6) AS aid_debt_ratio
+SELECT sector_name, round(coalesce(fsum(usd_disbursement), 0) / nullif(coalesce(CAST(sum(CAST(usd_commitment AS DECIMAL(18,4))) AS DOUBLE), 0), 0), 6) AS aid_debt_ratio
 FROM x GROUP BY ALL""")
 def q_ratio(spark, sf):
     r = _report(spark, sf)["ratio_all"]
@@ -309,7 +295,7 @@ def q_ratio(spark, sf):
 
 
 @register("aid_debt_ratio_same_year", f"""{GENDER_FLAG_SQL}
-SELECT sector_name, round(coalesce(CAST(sum(CAST(usd_disbursement AS DECIMAL(18,4))) AS DOUBLE), 0) / nullif(coalesce(CAST(sum(CAST(usd_commitment AS DECIMAL(18,4))) AS DOUBLE), 0), 0), 6) AS aid_debt_ratio
+SELECT sector_name, round(coalesce(fsum(usd_disbursement), 0) / nullif(coalesce(CAST(sum(CAST(usd_commitment AS DECIMAL(18,4))) AS DOUBLE), 0), 0), 6) AS aid_debt_ratio
 FROM x WHERE year = commitment_year GROUP BY ALL""")
 def q_ratio_same(spark, sf):
     r = _report(spark, sf)["ratio_same_year"]
@@ -356,17 +342,17 @@ def q_slice(spark, sf):
 
 @register("exclude_regions", f"""WITH {TB.FLOWS_SQL.strip()}
 SELECT region_name, count(*) AS n FROM flows
-WHERE region_name NOT IN ('AFRICA', 'MIDDLE EAST') AND recipient_name NOT ILIKE '%united%' AND recipient_name NOT ILIKE '%ia'
+WHERE region_name NOT IN ('AFRICA', 'MIDDLE EAST') AND recipient_name NOT ILIKE '%nation_1%' AND recipient_name NOT ILIKE '%5'
 GROUP BY ALL""")
 def q_exclude(spark, sf):
     f = TB.flows(spark, sf)
-    return f.where(filters.exclude_regions(("AFRICA", "MIDDLE EAST"), ("%united%", "%ia"))).groupBy(
+    return f.where(filters.exclude_regions(("AFRICA", "MIDDLE EAST"), ("%nation_1%", "%5"))).groupBy(
         "region_name").agg(F.count(F.lit(1)).alias("n"))
 
 
 @register("any_theme_total", f"""{W}
 SELECT count(*) AS n,
-       CASE WHEN count(*) = count(usd_disbursement) THEN CAST(sum(CAST(usd_disbursement AS DECIMAL(18,4))) AS DOUBLE) END AS total
+       CASE WHEN count(*) = count(usd_disbursement) THEN fsum(usd_disbursement) END AS total
 FROM automated WHERE (principal_gender OR principal_climate OR principal_disability)
   AND commitment_year BETWEEN 1996 AND 2000""")
 def q_any_total(spark, sf):
@@ -384,10 +370,11 @@ UNION ALL SELECT 'needs_scoring_strict', 3, count(*) FROM flows WHERE gender IS
 UNION ALL SELECT 'distinct_keys', 4, count(*) FROM (SELECT DISTINCT {', '.join(FLOW_KEYS)} FROM flows WHERE NOT {S.all_screened()})""")
 def q_funnel(spark, sf):
     f = TB.flows(spark, sf)
-    scr, needs = filters.partition_screened(f)
-    _, strict = filters.partition_screened(f, strict=True)
-    return dedupe.funnel({"all": f, "screened": scr, "needs_scoring": needs, "needs_scoring_strict": strict,
-                          "distinct_keys": needs.select(*FLOW_KEYS).dropDuplicates()})
+    counted = dedupe.funnel_counts(f, {"all": F.lit(True), "screened": M.all_screened(), "needs_scoring": ~M.all_screened(),
+                                       "needs_scoring_strict": M.unscreened_strict()})
+    _, needs = filters.partition_screened(f)
+    keys = needs.select(*FLOW_KEYS).dropDuplicates().agg(F.count(F.lit(1)).alias("rows"))
+    return counted.unionByName(keys.select(F.lit("distinct_keys").alias("stage"), F.lit(4).alias("step"), "rows"))
 
 
 # --- A25 / W07 / A23 / A24 / A16 / O04 ---------------------------------------

@@ -442,9 +442,11 @@ UNION ALL SELECT 'usable', 2, count(*) FROM records WHERE coalesce(sig IN (0, 1,
 UNION ALL SELECT 'distinct_text', 3, count(DISTINCT text) FROM records WHERE coalesce(sig IN (0, 1, 2), false) AND text IS NOT NULL AND text <> '' AND length(text) > 10""")
 def q_records_funnel(spark, sf):
     r = TB.records(spark, sf)
-    dec = r.where(FL.declared(None, "sig"))
-    use = dec.where(FL.usable_text("text"))
-    return D.funnel({"all": r, "declared": dec, "usable": use, "distinct_text": D.dedupe(use, ["text"])})
+    dec = FL.declared(None, "sig")
+    use = dec & FL.usable_text("text")
+    counted = D.funnel_counts(r, {"all": F.lit(True), "declared": dec, "usable": use})
+    texts = r.where(use).select(F.sha2("text", 256).alias("t")).distinct().agg(F.count(F.lit(1)).alias("rows"))
+    return counted.unionByName(texts.select(F.lit("distinct_text").alias("stage"), F.lit(3).alias("step"), "rows"))
 
 
 @register("dedupe_texts", f"""WITH {TB.RECORDS_SQL.strip()}

@@ -8,10 +8,11 @@ from ..functions import markers as M
 from ..operators import curate, synthetic, training, vectors
 from ..operators import dedupe as D
 from ..operators.ranking import hash_order, rank_within
+from ..session import write_table
 from ..sources import tables as TB
 from . import sqlkit as S
 from .catalog import register
-from .q_text import DOC_MATCH, PRE_X08, SC
+from .q_text import CLIMATE_LABELS_SQL, DOC_MATCH, PRE_X08, SC, _climate_sql
 
 REC = f"WITH {TB.RECORDS_SQL.strip()}"
 
@@ -143,9 +144,10 @@ def q_unpack(spark, sf):
 @register("fit_evaluate_multilabel")
 def q_fit(spark, sf):
     """C04 + X14: train weighted per-label logistic models on the train
-    split, score the test split, per-class metrics (no SQL oracle)."""
-    p = _prepared(spark, sf)
-    model = training.fit_multilabel(p.where(F.col("split") == "train"), num_features=1 << 12, max_iter=10)
+    split, score the test split, per-class metrics (no SQL oracle; a test
+    learns labels that words decide)."""
+    p = write_table(_prepared(spark, sf), "prepared")
+    model = training.fit_multilabel(p.where(F.col("split") == "train"))
     pred = model.predict(p.where(F.col("split") == "test"))
     return training.metrics_per_class(pred)
 
@@ -172,6 +174,59 @@ def q_publish(spark, sf):
     return training.publish_curated(cur, remove=None).select("text", "label", "split")
 
 
+# --- X13, climate half: two labels, split by their combination ---------------------
+@register("publish_climate", _climate_sql(f"""
+, cur AS (SELECT text, {CLIMATE_LABELS_SQL} FROM p3 WHERE NOT (doc_id % 7 = 0)),
+sp AS (SELECT *, row_number() OVER w AS rk, count(*) OVER (PARTITION BY adaptation_label, mitigation_label) AS n FROM cur
+       WINDOW w AS (PARTITION BY adaptation_label, mitigation_label
+                    ORDER BY {_h(1337, 'text')}, text))
+SELECT text, adaptation_label, mitigation_label, CASE WHEN rk <= round_even(0.2 * n, 0) THEN 'test' ELSE 'train' END AS split FROM sp"""))
+def q_publish_climate(spark, sf):
+    """Rows whose number divides by seven carry the removal mark."""
+    cur = curate.curate_climate(TB.climate_predictions(spark, sf), near_dup=None, order_col="doc_id")
+    cur = cur.withColumn("Remove", F.when(F.col("doc_id") % 7 == 0, F.lit("X")))
+    return training.publish_curated(cur, ("adaptation_label", "mitigation_label"))
+
+
+# --- X14: evaluation report, climate (four classes) -------------------------------
+CLIMATE_NAMES = ("Significant climate adaptation objective", "Principal climate adaptation objective",
+                 "Significant climate mitigation objective", "Principal climate mitigation objective")
+
+
+def _climate_eval(spark, sf):
+    c = TB.climate_predictions(spark, sf)
+    preds = F.array("adapt_sig_conf", "adapt_pri_conf", "mitig_sig_conf", "mitig_pri_conf")
+    return training.evaluate_per_class(c, preds, training.climate_labels("adapt_sig", "mitig_sig"), CLIMATE_NAMES)
+
+
+CLIMATE_EVAL_SQL = f"""WITH {TB.CLIMATE_SQL.strip()},
+e AS (SELECT doc_id, adapt_sig_conf, adapt_pri_conf, mitig_sig_conf, mitig_pri_conf,
+        CAST(coalesce(adapt_sig = 1, false) AS DOUBLE) AS a1, CAST(coalesce(adapt_sig >= 2, false) AS DOUBLE) AS a2,
+        CAST(coalesce(mitig_sig = 1, false) AS DOUBLE) AS m1, CAST(coalesce(mitig_sig >= 2, false) AS DOUBLE) AS m2 FROM climate)"""
+
+
+@register("evaluate_climate_wide", CLIMATE_EVAL_SQL + "\nSELECT doc_id, " + ", ".join(
+    f'{p} AS "Predicted {n}", {y} AS "Label {n}"' for n, p, y in zip(
+        CLIMATE_NAMES, ("adapt_sig_conf", "adapt_pri_conf", "mitig_sig_conf", "mitig_pri_conf"), ("a1", "a2", "m1", "m2"))) + " FROM e")
+def q_climate_wide(spark, sf):
+    wide, _ = _climate_eval(spark, sf)
+    return wide.select("doc_id", *[f"`{side} {n}`" for n in CLIMATE_NAMES for side in ("Predicted", "Label")])
+
+
+@register("evaluate_climate", CLIMATE_EVAL_SQL + """,
+z AS (SELECT unnest([adapt_sig_conf, adapt_pri_conf, mitig_sig_conf, mitig_pri_conf]) AS p, unnest([a1, a2, m1, m2]) AS y,
+             unnest(range(0, 4)) AS class_idx FROM e),
+c AS (SELECT class_idx, CAST(p > 0.5 AS INTEGER) AS pp, CAST(y AS INTEGER) AS yy FROM z),
+m AS (SELECT class_idx, sum(pp * yy) AS tp, sum(pp * (1 - yy)) AS fp, sum((1 - pp) * yy) AS fn, sum((1 - pp) * (1 - yy)) AS tn FROM c GROUP BY class_idx),
+r AS (SELECT *, coalesce(tp / nullif(tp + fp, 0), 0.0) AS prec, coalesce(tp / nullif(tp + fn, 0), 0.0) AS rec FROM m)
+SELECT class_idx, [""" + ", ".join(f"'{n}'" for n in CLIMATE_NAMES) + """][class_idx + 1] AS class_name,
+       round((tp + tn) / (tp + fp + fn + tn), 6) AS accuracy,
+       round(coalesce(2 * prec * rec / nullif(prec + rec, 0), 0.0), 6) AS f1, round(prec, 6) AS precision, round(rec, 6) AS recall FROM r""")
+def q_climate_eval(spark, sf):
+    _, m = _climate_eval(spark, sf)
+    return _r6(m.withColumn("class_idx", F.col("class_idx").cast("bigint")), ("accuracy", "f1", "precision", "recall"))
+
+
 # --- X15 / T17 / A35 / T18: synthetic-data requests ---------------------------------
 SYN_SQL = f"""{REC},
 d AS (SELECT text, arg_min_null(sig, doc_id) AS sig FROM records

@@ -23,6 +23,7 @@ LOCAL_CONF = {
     "spark.ui.showConsoleProgress": "false",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.driver.memory": "16g",
+    "spark.thematica.textPartitions": "8",
 }
 
 
@@ -84,26 +85,16 @@ def table_path(sf_dir: str, name: str) -> str:
     return os.path.join(sf_dir, f"{name}.parquet")
 
 
-def spread(df: DataFrame, key: str | None = None, min_bytes: int = 8 << 20) -> DataFrame:
-    """Give CPU-heavy narrow work enough tasks.
+TEXT_PARTITIONS = "spark.thematica.textPartitions"
 
-    A scan yields one task per file split; a large table stored as a single
-    row group arrives as one partition, and every regex/scoring step before
-    the first shuffle would then run on one core.  When the optimizer's size
-    estimate is at least ``min_bytes`` and the scan has fewer partitions than
-    the cluster's default parallelism, rows are round-robin repartitioned
-    once.  On a cluster reading many splits this is a no-op (no shuffle).
-    With ``key`` the rows are hash-partitioned on it (deterministic on
-    retry without the pre-shuffle sort a round-robin split needs).
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Hash-partitions rows on ``key`` into as many partitions as the session's
+    ``spark.thematica.textPartitions`` says; unset, the scan's splits stay.
+
+    A table stored as one row group arrives as one partition, and all regex and
+    scoring work before the first shuffle would run on one core.  Set it for
+    such tables; tables of many files don't need it.
     """
-    try:
-        spark = df.sparkSession
-        target = spark.sparkContext.defaultParallelism
-        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-        # planning only (builds the scan's RDD, runs no job)
-        parts = df._jdf.queryExecution().executedPlan().execute().getNumPartitions()
-    except Exception:  # noqa: BLE001 - no plan handles (e.g. a remote session): leave as read
-        return df
-    if size < min_bytes or parts >= target:
-        return df
-    return df.repartition(target, key) if key else df.repartition(target)
+    n = df.sparkSession.conf.get(TEXT_PARTITIONS, None)
+    return df.repartition(int(n), key) if n else df

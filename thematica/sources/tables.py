@@ -28,14 +28,13 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
 
 
 # text tables whose per-row work (regex cleaning, tokenising, scoring) is
-# CPU-heavy: spread when under-split, hashed on their id
+# CPU-heavy: spread by their id where the session asks for it
 SPREAD_KEYS = {"documents": "doc_id"}
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """Read one driver table.  Large text tables that arrive in fewer splits
-    than the cluster has cores are spread (``session.spread``: a no-op when
-    the scan is already split into enough tasks)."""
+    """Read one driver table.  Text tables are spread by their id where the
+    session sets ``spark.thematica.textPartitions`` (``session.spread``)."""
     df = spark.read.parquet(table_path(sf_dir, name))
     return spread(df, SPREAD_KEYS[name]) if name in SPREAD_KEYS else df
 
