@@ -125,7 +125,8 @@ def link_rows(rows: DataFrame, docs: DataFrame, k: int, percent: int = PERCENT)
     of ``sharing``, ``docs`` is (id, text) with at least their ids."""
     ids = rows.select("id").distinct()
     docs = materialise(only(docs, "id", ids, "id"), "candidates")  # texts that share a table with another
-    to_head = rows.where(_near_size("n", "head_n", percent) & (F.col("id") != F.col("head"))).select(F.col("head").alias("u"), F.col("id").alias("v"))
+    # also where the sizes alone exclude a link: what is shared with the head bounds what members share with each other
+    to_head = rows.where(F.col("id") != F.col("head")).select(F.col("head").alias("u"), F.col("id").alias("v"))
     met = materialise(verify(to_head.distinct(), docs, k, percent), "met")
     stars = connected_components(met.where("similar")).select(F.col("id").alias("u"), F.col("component").alias("v"))
     # members of a table that aren't in one component yet

@@ -29,45 +29,81 @@ from pyspark.sql import types as T
 
 from .components import connected_components
 from .near_dedup import PERCENT, link_rows, sharing
-from .shared import WordHasher, materialise, mix64, only, pick, seeds, shingles, signed, texts
+from .shared import WordHasher, materialise, mix64, only, pick, seeds, signed, texts
 
 K = 5
 MIN_WORDS = 30
 BANDS = 8
 ROWS = 2
 PLACE_BITS = 21
+WORDS_HELD = 300_000  # words whose paragraphs a task handles at once
 
 
-def band_keys(s: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.ndarray:
-    mult = seeds(bands * rows, 11)
-    mixed = s ^ (s >> np.uint64(31))
-    least = np.array([(mixed * m).min() for m in mult], np.uint64).reshape(bands, rows)
-    out = np.arange(1, bands + 1, dtype=np.uint64)
-    for j in range(rows):
-        out = mix64(out * np.uint64(31) + least[:, j])
+def band_keys(hashes: np.ndarray, starts: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.ndarray:
+    """Keys (paragraphs x bands) of shingle sets laid end to end: set i is
+    ``hashes[starts[i]:starts[i + 1]]``, none empty."""
+    mixed = hashes ^ (hashes >> np.uint64(31))
+    out = np.tile(np.arange(1, bands + 1, dtype=np.uint64), (len(starts), 1))
+    for i, m in enumerate(seeds(bands * rows, 11)):
+        least = np.minimum.reduceat(mixed * m, starts)
+        out[:, i // rows] = mix64(out[:, i // rows] * np.uint64(31) + least)
     return out
 
 
+def shingle_sets(words: np.ndarray, sizes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct shingles of many paragraphs at once: hashes laid end to end,
+    and where each paragraph's begin.  ``words`` are the paragraphs' word hashes,
+    ``sizes`` (each k or more) how many each has.  As ``shared.shingles``."""
+    ends = np.cumsum(sizes)
+    n = len(words) - k + 1
+    mult = seeds(k, 77)
+    h = np.zeros(n, np.uint64)
+    for j in range(k):
+        h += mix64(words[j:n + j] + np.uint64(j + 1)) * mult[j]
+    h = mix64(h + np.uint64(k))
+    own = np.repeat(np.arange(len(sizes)), sizes)[:n]
+    inside = np.arange(n) + k <= ends[own]  # the shingle doesn't run into the next paragraph
+    h, own = h[inside], own[inside]
+    order = np.lexsort((h, own))
+    h, own = h[order], own[order]
+    first = np.r_[True, (h[1:] != h[:-1]) | (own[1:] != own[:-1])]
+    h, own = h[first], own[first]
+    return h, np.searchsorted(own, np.arange(len(sizes)))
+
+
 def signatures(df: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, k: int = K,
                bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """(doc_id, place, n_shingles, set_a, set_b, keys) of every paragraph."""
     schema = pa.schema([("doc_id", pa.int64()), ("place", pa.int64()), ("n_shingles", pa.int64()), ("set_a", pa.int64()),
                         ("set_b", pa.int64()), ("keys", pa.list_(pa.int64()))])
+    least = max(min_words, k)
+
+    def batch(ids, places, words):
+        sizes = np.array([len(w) for w in words])
+        h, starts = shingle_sets(np.concatenate(words), sizes, k)
+        sums = [np.add.reduceat(x, starts) for x in (h, mix64(h + np.uint64(9)))]
+        keys = signed(np.ascontiguousarray(band_keys(h, starts, bands, rows)).reshape(-1))
+        offsets = np.arange(0, len(keys) + 1, bands, dtype=np.int32)
+        return pa.record_batch([pa.array(ids, pa.int64()), pa.array(places, pa.int64()), pa.array(np.diff(np.r_[starts, len(h)])),
+                                *[pa.array(signed(x)) for x in sums], pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys))], schema=schema)
 
     def run(batches):
         hasher = WordHasher()
+        ids, places, words, size = [], [], [], 0
         for b in batches:
-            out: list[list] = [[] for _ in schema]
             for i, t in zip(b.column(0).to_pylist(), texts(b, "_text")):
                 for place, line in enumerate((t or "").split("\n")):
-                    words = hasher.words(line)
-                    if len(words) < min_words:
-                        continue
-                    s = shingles(hasher.hash_words(words), k)
-                    sums = signed(np.array([s.sum(dtype=np.uint64), mix64(s + np.uint64(9)).sum(dtype=np.uint64)])).tolist()
-                    for col, v in zip(out, (i, place, len(s), *sums, signed(band_keys(s, bands, rows)).tolist())):
-                        col.append(v)
-            yield pa.record_batch([pa.array(c, f.type) for c, f in zip(out, schema)], schema=schema)
+                    w = hasher.words(line)
+                    if len(w) >= least:
+                        ids.append(i)
+                        places.append(place)
+                        words.append(hasher.hash_words(w))
+                        size += len(w)
+                if size > WORDS_HELD:
+                    yield batch(ids, places, words)
+                    ids, places, words, size = [], [], [], 0
+        if ids:
+            yield batch(ids, places, words)
 
     x = pick(df, _id=doc_id, _text=text).withColumn("_id", F.col("_id").cast("long")).where("_id is not null")
     return x.mapInArrow(run, "doc_id long, place long, n_shingles long, set_a long, set_b long, keys array<long>")
