@@ -44,6 +44,7 @@ from .shared import SLOTS, materialise, mix64, pick, seeds
 LENGTH = 100
 GRAM = 24
 CHUNK = 1 << 19  # window starts handled at once
+SAMPLES_HELD = 1_000_000  # samples that a task combines at once
 _PLACE = np.uint64((1 << 20) - 1)
 
 
@@ -138,24 +139,37 @@ def _unpack(z):
 
 
 def sample_rows(docs: DataFrame, length: int, gram: int) -> DataFrame:
-    """(gram, context, doc, at) of all sampled suffixes of ``docs`` (doc, bytes)."""
-    schema = pa.schema([(n, pa.int64()) for n in ("gram", "context", "doc", "at")])
+    """(gram, context, doc, at, again) of all sampled suffixes of ``docs`` (doc, bytes).
+
+    A stretch that a task meets many times, such as a line that a third of all
+    documents share, is combined before the exchange: ``again`` marks all but
+    the first of equal (gram, context) among the samples a task holds at once.
+    That they are repeats is certain, so they needn't meet the others."""
+    schema = pa.schema([(n, pa.int64()) for n in ("gram", "context", "doc", "at")] + [("again", pa.bool_())])
+
+    def combined(rows):
+        g, c, d, z = (np.concatenate(x) for x in zip(*rows))
+        order = np.lexsort((z, d, c, g))
+        g, c, d, z = g[order], c[order], d[order], z[order]
+        again = np.zeros(len(g), bool)
+        again[1:] = (g[1:] == g[:-1]) & (c[1:] == c[:-1]) & ((d[1:] != d[:-1]) | (z[1:] != z[:-1]))
+        return pa.record_batch([pa.array(x) for x in (g, c, d, z, again)], schema=schema)
 
     def run(batches):
         tables = _Hashes(CHUNK + 2 * length)
+        rows, size = [], 0
         for b in batches:
-            rows, size = [], 0
             for i, doc in enumerate(b.column(0).to_pylist()):
                 g, c, p, lo, hi = samples(_buffer(b.column(1), i), tables, length, gram)
                 rows.append((g.view(np.int64), c.view(np.int64), np.full(len(g), doc, np.int64), _pack(p, lo, hi)))
                 size += len(g)
-                if size > 200_000:
-                    yield pa.record_batch([pa.array(np.concatenate(z)) for z in zip(*rows)], schema=schema)
+                if size > SAMPLES_HELD:
+                    yield combined(rows)
                     rows, size = [], 0
-            if rows:
-                yield pa.record_batch([pa.array(np.concatenate(z)) for z in zip(*rows)], schema=schema)
+        if rows:
+            yield combined(rows)
 
-    return docs.select("doc", "bytes").mapInArrow(run, "gram long, context long, doc long, at long")
+    return docs.select("doc", "bytes").mapInArrow(run, "gram long, context long, doc long, at long, again boolean")
 
 
 def compare_neighbours(rows: DataFrame, length: int) -> DataFrame:
@@ -166,7 +180,11 @@ def compare_neighbours(rows: DataFrame, length: int) -> DataFrame:
     def run(batches):
         held: list = []  # rows of the gram that the batches so far end with: its first row, and whether it has been given out
         for b in batches:
-            g, c, d, z = (b.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+            g, c, d, z, again = (b.column(i).to_numpy(zero_copy_only=False) for i in range(5))
+            if again.any():  # they come last
+                _, lo, hi = _unpack(z[again])
+                yield pa.record_batch([pa.array(x) for x in (d[again], lo, hi + length, np.full(again.sum(), -1), g[again])], schema=schema)
+                g, c, d, z = g[~again], c[~again], d[~again], z[~again]
             n = len(g)
             if not n:
                 continue
@@ -309,7 +327,8 @@ def meeting(df: DataFrame, key: str, other: DataFrame, other_key: str, rest: boo
 def intervals(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """(doc, start, end): stretches covered by repeated windows, of ``docs`` (doc, bytes)."""
     rows = sample_rows(docs, length, gram)
-    rows = rows.repartition(F.col("gram")).sortWithinPartitions("gram", "context", "doc", "at")
+    rows = rows.repartition(F.when(F.col("again"), F.xxhash64("doc", "at")).otherwise(F.col("gram")))
+    rows = rows.sortWithinPartitions("again", "gram", "context", "doc", "at")
     met = materialise(compare_neighbours(rows, length), "met")
     again = met.where("at >= 0").select("gram", "doc", "at").distinct()
     text = with_text(again, docs, length)
