@@ -8,8 +8,12 @@ import __spark_entry__ as E
 from tests.conftest import SF001
 
 SKIP = {"fit_evaluate_multilabel", "stream_keyword_flags"}   # training job / streaming sink
-# range-overlap join of at most four ranges per side (fixed by construction)
-NESTED_LOOP_OK = {"venn_intersections"}
+# range-overlap join of at most four ranges per side, a one-row table (fixed by construction)
+NESTED_LOOP_OK = {"venn_intersections", "op8_adaptive_rules"}
+# at most this many scans of the main table of a query
+SCANS = {"venn_intersections": ("lineitem", 0), "describe_flags": ("lineitem", 2), "mislabel_report": ("lineitem", 2),
+         "screening_funnel": ("lineitem", 2), "records_funnel": ("documents", 2), "clean_budget_et": ("conversations", 0),
+         "prepare_training": ("documents", 0), "publish_curated": ("documents", 0)}
 
 
 @pytest.fixture(scope="module")
@@ -47,5 +51,8 @@ def test_filters_pushed_to_scan(plans):
     p, _ = plans["warehouse_slice"]
     assert "PushedFilters: [In(n_name, [NATION_1,NATION_13,NATION_21,NATION_3,NATION_5,NATION_8]" in p
     assert "GreaterThanOrEqual(l_s" in p                                  # ship-year range on the raw date
-    p, _ = plans["near_duplicates"]
-    assert "PushedFilters: [IsNotNull(lang), IsNotNull(text), EqualTo(lang,en)]" in p
+
+
+def test_main_tables_are_scanned_once_or_twice(plans):
+    got = {n: plans[n][0].count(f"{SF001}/{t}.parquet") for n, (t, _) in SCANS.items()}
+    assert all(got[n] <= most for n, (_, most) in SCANS.items()), got
