@@ -1,5 +1,6 @@
 """MinHash near-dedup, paragraphs and components against brute force."""
 
+import random
 import re
 from collections import defaultdict
 
@@ -154,3 +155,41 @@ def test_no_query_pairs_all_members(spark, corpus):
     df = spark.createDataFrame(corpus, "doc_id long, text string")
     plan = near_dedup.near_duplicates(df)._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def generations(words, edits, copies, last):
+    """A text, ``copies`` of it with the edits of each generation, and of each copy copies of copies."""
+    rnd = random.Random(3)
+
+    def edit(w, n):
+        w = list(w)
+        for p in rnd.sample(range(5, len(w) - 5), n):
+            w[p] = f"e{rnd.randrange(10**9)}"
+        return w
+
+    hot = [f"w{i}" for i in range(words)]
+    out = [hot]
+    for _ in range(copies):
+        w = hot
+        for n in edits:
+            w = edit(w, n)
+            out.append(w)
+    return [(i, " ".join(w)) for i, w in enumerate(out + [edit(hot, last) for _ in range(20)])]
+
+
+def test_copies_of_copies_of_a_hot_paragraph(spark):
+    docs = generations(50, [1, 1, 1], 60, 3)
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
+    got = {r.doc_id for r in paragraphs.remove_repeated(df, removed="removed").where("size(removed) > 0").collect()}
+    assert got == {i for i, _ in paragraphs_brute(docs, paragraphs.MIN_WORDS)}
+
+
+def test_members_of_one_table_are_linked_without_their_head(spark):
+    """Two members that are similar to each other and not to the head meet in no other table."""
+    hot = [f"w{i}" for i in range(50)]
+    a = hot[:10] + ["x1", "x2", "x3", "x4", "x5", "x6"] + hot[16:]
+    docs = [(1, hot), (2, a), (3, a[:30] + ["y"] + a[31:]), (4, hot[:5] + ["z"] + hot[6:])]
+    rows = [(7, len(shingle_set(" ".join(w), 2)), i, 1, 49, 4) for i, w in docs]
+    links = near_dedup.link_rows(spark.createDataFrame(rows, "key long, n int, id long, head long, head_n int, m long"),
+                                 spark.createDataFrame([(i, " ".join(w)) for i, w in docs], "id long, text string"), 2)
+    assert {tuple(sorted(r)) for r in links.collect()} == {(1, 4), (2, 3)}
