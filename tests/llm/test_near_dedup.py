@@ -184,6 +184,13 @@ def test_copies_of_copies_of_a_hot_paragraph(spark):
     assert got == {i for i, _ in paragraphs_brute(docs, paragraphs.MIN_WORDS)}
 
 
+def test_copies_of_copies_of_a_hot_document(spark):
+    docs = generations(50, [2, 2, 2], 100, 7)
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(df).collect()}
+    assert got == brute({i: shingle_set(t, 2) for i, t in docs})
+
+
 def test_members_of_one_table_are_linked_without_their_head(spark):
     """Two members that are similar to each other and not to the head meet in no other table."""
     hot = [f"w{i}" for i in range(50)]
