@@ -8,6 +8,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from tests.conftest import SF001
 from thematica.llm import queries, rules, search, shared
 
 
@@ -83,6 +84,27 @@ def test_search_edges(spark):
         search.search(search.build_index(none), asked, max_query_bytes=0)
 
 
+def test_queries_are_searched_in_blocks(spark):
+    rnd = random.Random(4)
+    docs = [(i, " ".join(rnd.choices([f"w{j}" for j in range(80)], k=40))) for i in range(120)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    index = shared.materialise(search.build_index(df, shard_bytes=2000))
+    asked = docs[::10]
+    got = search.search(index, spark.createDataFrame(asked + asked[:1], "query_id long, text string"), k=5, block_bytes=400).collect()
+    want = brute(docs, asked, 5)
+    for q, _ in asked:
+        assert [(r.doc_id, r.score) for r in sorted(got, key=lambda r: r.rank) if r.query_id == q] == want[q]
+
+
+def test_registered_query_asks_every_twentieth_document(spark):
+    docs = shared.table(spark, SF001, "documents").collect()
+    asked = [(r.doc_id, r.text) for r in docs if r.doc_id % 20 == 0]
+    got = collections.defaultdict(list)
+    for r in sorted(queries.op6_search(spark, SF001).collect(), key=lambda r: (r.query_id, r.rank)):
+        got[r.query_id].append((r.doc_id, r.score))
+    assert len(asked) > 2 and dict(got) == brute([(r.doc_id, r.text) for r in docs], asked, search.K)
+
+
 # ---- rules
 
 def hand_counts(t):

@@ -34,8 +34,9 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    asked = table(spark, sf_dir, "benchmark").where("item_id % 20 = 0")  # the stated query set
-    return search.search_documents(table(spark, sf_dir, "documents"), asked)
+    docs = table(spark, sf_dir, "documents")
+    asked = docs.where("doc_id % 20 = 0")  # the stated query set
+    return search.search_documents(docs, asked, query_id="doc_id")
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
