@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tests.conftest import SF01
+from tests.conftest import SF001, SF01
 from thematica.llm import langid, quality, shared
 
 
@@ -89,6 +89,30 @@ def test_other_scripts_are_rejected_and_wrong_declarations_overruled(spark):
     assert got[None].language == "en" and got[None].kept
 
 
+def test_every_declared_language_is_modelled(spark):
+    docs = shared.table(spark, SF001, "documents")
+    model = langid.train(docs)
+    assert set(model.languages) == {r.lang for r in docs.where("lang is not null and length(text) > 0").select("lang").distinct().collect()}
+    got = [r for r in langid.identify(docs, None, model).collect() if r.declared == "es"]
+    assert got and np.mean([r.language == "es" for r in got]) > 0.9
+
+
+def test_rare_language_beside_many_rows_and_many_languages(spark, monkeypatch):
+    """The sample is taken in each language; a full task hands its counts on."""
+    monkeypatch.setattr(langid, "LANGUAGES_HELD", 8)
+    rows = [(i, f"common words {i % 50} of the first language", "aa") for i in range(3000)]
+    rows += [(10_000 + i, f"zxq{chr(97 + i % 20)} vrk{chr(97 + i % 20)} " * 5, f"l{i % 150}") for i in range(300)]
+    model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), rows=100)
+    assert len(model.languages) == 151
+
+
+def test_repeated_ids_train_once(spark):
+    rows = [(i, f"some words number {chr(97 + i)}", "aa") for i in range(20)]
+    one = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    many = langid.train(spark.createDataFrame(rows + rows[3:4] * 500, "doc_id long, text string, lang string"))
+    assert one == many
+
+
 def brute_posterior(rows, languages):
     """Plain Python version of the fusion; rows: (ll, n, host, domain, suffix, declared)."""
     n = len(languages)

@@ -13,10 +13,10 @@ documents of the language that the text alone favours; a document's own vote is
 taken out of its host's and domain's counts.  One more class, ``und``, has all
 trigrams equally likely: texts in none of the languages go there.
 
-The trigram model is fitted on at most ``rows`` documents with a declared
-language (a documented bound: those with the smallest hash of their id); its
-table has ``BUCKETS`` numbers a language for at most ``MAX_LANGUAGES``
-languages.  A document is kept if a language other than ``und`` has a posterior
+The trigram model is fitted, for every declared language with any text, on at
+most ``rows`` of its documents (a documented bound: of each of ``SLICES`` slices
+those with the smallest hash of their id); its table has ``BUCKETS`` numbers a
+language.  A document is kept if a language other than ``und`` has a posterior
 of ``MIN_POSTERIOR`` or more.
 
 Defined results: null and empty texts, and texts of fewer than three bytes,
@@ -36,13 +36,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from .shared import materialise, pick, texts
 
 BUCKETS = 1 << 16
-MAX_LANGUAGES = 32
-TRAIN_ROWS = 10_000
-MIN_TRAIN = 20  # documents that a language needs in the sample
+LANGUAGES_HELD = 128  # languages whose counts a task holds at once
+TRAIN_ROWS = 10_000  # of a language
+SLICES = 50
 GRAMS = 60
 SMOOTH = 0.5
 KAPPA = 20.0  # weight of the wider group, in documents
@@ -78,35 +79,43 @@ class TextModel:
 
 
 def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", declared: str = "lang", rows: int = TRAIN_ROWS) -> TextModel:
-    """Trigram counts of a bounded sample by grouped aggregation."""
-    x = pick(docs, _id=doc_id, _lang=declared).where(F.col("_id").isNotNull() & F.col("_lang").isNotNull())
-    sample = F.broadcast(x.orderBy(F.xxhash64("_id"), "_id", "_lang").limit(rows))  # at most ``rows`` short pairs
-    x = pick(docs, _id=doc_id, _text=text).join(sample, "_id").select("_lang", "_text")
+    """Trigram counts of a bounded sample of each language by grouped aggregation."""
+    x = pick(docs, _id=doc_id, _lang=declared, _text=text).where("_id is not null and _lang is not null and length(_text) > 0")
+    # in slices, so that a language that most documents have isn't one task
+    x = x.select("_id", "_lang", F.xxhash64("_text").alias("_set")).groupBy("_id").agg(F.min(F.struct("_set", "_lang")).alias("_one"))
+    x = x.select("_id", "_one._set", "_one._lang", F.pmod(F.xxhash64("_id", F.lit(1)), F.lit(SLICES)).alias("_slice"))
+    w = W.partitionBy("_lang", "_slice").orderBy(F.xxhash64("_id"), "_id")
+    sample = (x.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= max(1, rows // SLICES))
+              .select(F.col("_id").alias("_i"), F.col("_set").alias("_s"), F.col("_lang").alias("_l")))
+    x = pick(docs, _id=doc_id, _lang=declared, _text=text)
+    x = x.join(sample, (F.col("_id") == F.col("_i")) & (F.col("_lang") == F.col("_l")) & (F.xxhash64("_text") == F.col("_s")))
+    x = x.groupBy("_id", "_lang").agg(F.min("_text").alias("_text")).select("_lang", "_text")  # rows that repeat an id count once
 
     def run(batches):
-        total, docs_of = {}, {}
+        total = {}
+
+        def emit():
+            for lang, c in total.items():
+                at = np.flatnonzero(c)
+                yield pa.record_batch({"lang": pa.array([lang] * len(at)), "bucket": pa.array(at, pa.int32()),
+                                       "n": pa.array(c[at], pa.int64())})
+            total.clear()
+
         for b in batches:
             for lang, t in zip(b.column(0).to_pylist(), texts(b, "_text")):
-                if lang not in total and len(total) >= 4 * MAX_LANGUAGES:
-                    continue
+                if lang not in total and len(total) >= LANGUAGES_HELD:
+                    yield from emit()
                 total.setdefault(lang, np.zeros(BUCKETS, np.int64))
                 total[lang] += np.bincount(grams(t), minlength=BUCKETS)
-                docs_of[lang] = docs_of.get(lang, 0) + 1
-        for lang, c in total.items():
-            at = np.flatnonzero(c)
-            yield pa.record_batch({"lang": pa.array([lang] * (len(at) + 1)), "bucket": pa.array(np.r_[-1, at], pa.int32()),
-                                   "n": pa.array(np.r_[docs_of[lang], c[at]], pa.int64())})
+        yield from emit()
 
     got = (x.mapInArrow(run, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-           .groupBy("lang").agg(F.collect_list(F.struct("bucket", "n")).alias("c"),  # at most BUCKETS + 1 numbers a language
-                                F.max(F.when(F.col("bucket") == -1, F.col("n"))).alias("docs"))
-           .where(F.col("docs") >= MIN_TRAIN).orderBy(F.desc("docs"), "lang").limit(MAX_LANGUAGES).collect())
+           .groupBy("lang").agg(F.collect_list(F.struct("bucket", "n")).alias("c")).collect())  # at most BUCKETS numbers a language
     got.sort(key=lambda r: r.lang)
     out = np.zeros((BUCKETS, len(got) + 1))
     for i, r in enumerate(got):
         for bucket, n in r.c:
-            if bucket >= 0:
-                out[bucket, i] = n
+            out[bucket, i] = n
     total = out.sum(0)
     out = np.log(out + SMOOTH) - np.log(total + SMOOTH * BUCKETS)
     out[:, -1] = -math.log(BUCKETS)
@@ -118,7 +127,7 @@ def evidence(df: DataFrame, model: TextModel, keep: dict, text: str, declared: C
     """``keep`` columns, the other evidence, the trigram count and the log
     likelihood of the text by language (und last)."""
     spark = df.sparkSession
-    table = spark.sparkContext.broadcast(model.table)  # BUCKETS * (languages + 1) * 4 bytes, 9 MB at most
+    table = spark.sparkContext.broadcast(model.table)  # BUCKETS * (languages + 1) * 4 bytes
     width = len(model.languages) + 1
 
     @F.pandas_udf("array<float>")
