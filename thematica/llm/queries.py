@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, near_dedup, packing, paragraphs, pieces, quality, rules, search, substrings, warc
+from . import centroids, langid, near_dedup, packing, paragraphs, pieces, prefix_trie, quality, rules, search, simhash, substrings, warc
 from .shared import table
 
 
@@ -52,6 +52,18 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.conversation_trie(table(spark, sf_dir, "conversations"))
+
+
+def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -128,6 +140,68 @@ def _rules_sql() -> str:
       NOT base_failed AND {' AND '.join(tests)} AS kept, level FROM j"""
 
 
+def _trie_sql() -> str:
+    crc = """xor(4294967295, list_reduce(list_prepend(4294967295, flatten(list_transform(string_split(c::VARCHAR, ''),
+        lambda x: [ascii(x)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+        lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END))"""
+    return f"""
+    WITH named AS (
+      SELECT conv_id, turn, strlen(x) AS size, left(sha256(strlen(r)::VARCHAR || ':' || r || x), 32) AS name
+      FROM (SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS x FROM conversations WHERE conv_id IS NOT NULL)),
+    t AS MATERIALIZED (
+      SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, name) AS p FROM named),
+    ids AS MATERIALIZED (SELECT c, {crc} % {prefix_trie.HEADS} AS h FROM (SELECT DISTINCT conv_id AS c FROM named)),
+    parts AS (
+      SELECT c, 0 AS part, p, name, size FROM ids JOIN t ON t.conv_id = c - c % {prefix_trie.FAMILY} WHERE p <= h
+      UNION ALL SELECT c, 1, p, name, size FROM ids JOIN t ON t.conv_id = c WHERE p > h),
+    paths AS (
+      SELECT c, coalesce(names, []) AS names, coalesce(sizes, []) AS sizes FROM ids LEFT JOIN (
+        SELECT c, list(name ORDER BY part, p) AS names, list(size ORDER BY part, p) AS sizes FROM parts GROUP BY c) USING (c)),
+    prefixes AS (
+      SELECT c, d, array_to_string(names[1:d], '') AS path, CASE WHEN d > 0 THEN sizes[d] ELSE 0 END AS size, len(names) = d AS ends
+      FROM (SELECT *, unnest(range(0, len(names) + 1)) AS d FROM paths)),
+    nodes AS MATERIALIZED (
+      SELECT path, d, min(c) AS conv_id, count(*) AS n, max(size) AS size,
+        sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (ends), '')) AS ends_sha256
+      FROM prefixes GROUP BY path, d),
+    kids AS (SELECT left(path, 32 * (d - 1)::INT) AS path, count(*) AS k FROM nodes WHERE d > 0 GROUP BY ALL),
+    below AS (
+      SELECT left(path, 32 * j::INT) AS path, sum(CASE WHEN k IS NULL THEN 1 ELSE 0 END) AS leaves, sum((n - 1) * size) AS saved
+      FROM (SELECT nodes.*, k, unnest(range(0, d + 1)) AS j FROM nodes LEFT JOIN kids USING (path)) GROUP BY ALL)
+    SELECT nodes.conv_id, nodes.d AS depth, up.conv_id AS parent_conv_id, nodes.n AS n_convs, coalesce(k, 0) AS n_children,
+      leaves::BIGINT AS n_leaves, saved::BIGINT AS saved_tokens, nodes.ends_sha256
+    FROM nodes JOIN below USING (path) LEFT JOIN kids USING (path)
+    LEFT JOIN nodes up ON nodes.d > 0 AND up.path = left(nodes.path, 32 * (nodes.d - 1)::INT)"""
+
+
+def _centroids_sql() -> str:
+    def assigned(i: int) -> str:
+        return f"""a{i} AS MATERIALIZED (
+          SELECT id, vec_id, v, c, d FROM (
+            SELECT id, vec_id, k.v, c, list_dot_product(k.v, k.v) - 2 * list_dot_product(k.v, m.v) + list_dot_product(m.v, m.v) AS d
+            FROM k, c{i} m) QUALIFY row_number() OVER (PARTITION BY id ORDER BY d, c) = 1)"""
+
+    steps = []
+    for i in range(centroids.ROUNDS):
+        steps.append(assigned(i))
+        steps.append(f"""c{i + 1} AS MATERIALIZED (
+          SELECT c, coalesce(mean, v) AS v FROM c{i} LEFT JOIN (
+            SELECT c, list(((s - ((s % n) + n) % n) // n)::DOUBLE ORDER BY p) AS mean FROM (
+              SELECT c, p, sum(x::BIGINT) AS s, count(*) AS n FROM (SELECT c, unnest(v) AS x, generate_subscripts(v, 1) AS p FROM a{i}) GROUP BY c, p)
+            GROUP BY c) USING (c))""")
+    last = centroids.ROUNDS
+    return f"""
+    WITH k AS MATERIALIZED (
+      SELECT row_number() OVER () AS id, vec_id, list_transform(embedding, lambda x: floor({centroids.SCALE:g} * x::DOUBLE)) AS v FROM embeddings
+      WHERE len(embedding) = {centroids.WIDTH} AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+    c0 AS MATERIALIZED (
+      SELECT row_number() OVER (ORDER BY sha256('{centroids.SEED}:' || coalesce(vec_id::VARCHAR, '')), v) - 1 AS c, v FROM k QUALIFY c < {centroids.K}),
+    {', '.join(steps)}, {assigned(last)}
+    SELECT vec_id, c::INT AS cluster, d::BIGINT AS distance, sum(d::BIGINT) OVER (PARTITION BY c)::BIGINT AS cluster_inertia,
+      sum(d::BIGINT) OVER ()::BIGINT AS inertia, sha256(array_to_string(list_transform(m.v, lambda x: x::BIGINT::VARCHAR), ',')) AS centroid_sha256
+    FROM a{last} JOIN c{last} m USING (c)"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_dedup": op1_near_dedup,
     "op2_paragraph_dedup": op2_paragraph_dedup,
@@ -139,6 +213,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_adaptive_rules": op8_adaptive_rules,
     "op9_warc": op9_warc,
     "op10_packing": op10_packing,
+    "op11_prefix_trie": op11_prefix_trie,
+    "op12_simhash": op12_simhash,
+    "op13_centroids": op13_centroids,
     "pipeline": pipeline,
 }
 
@@ -148,4 +225,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_adaptive_rules": _rules_sql()}
+    return {"op8_adaptive_rules": _rules_sql(), "op11_prefix_trie": _trie_sql(), "op13_centroids": _centroids_sql()}
