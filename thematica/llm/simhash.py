@@ -281,10 +281,12 @@ def _stars(batches):
 
 def links(fps: DataFrame, group: int = GROUP) -> DataFrame:
     """(u, v): links that hold together all that are within ``DISTANCE`` among ``fps`` (fp, distinct)."""
+    n = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    fps = fps.repartition(n, "fp")  # a few MB of fingerprints, else a task or two, make some 200 rows each
     by_block = _by_block(fps).repartition("key").sortWithinPartitions("key", "fp")
     met = materialise(by_block.mapInArrow(lambda it: _meet(it, group), "u long, v long, aside boolean"), "met")
     large = materialise(met.where("aside").select(F.col("u").alias("fp")).distinct(), "large")
-    by_ball = _by_ball(large).repartition("key").sortWithinPartitions("key", "near", "fp")
+    by_ball = _by_ball(large.repartition(n, "fp")).repartition("key").sortWithinPartitions("key", "near", "fp")
     stars = by_ball.mapInArrow(_stars, "u long, v long, aside boolean")
     both = met.where("not aside").select("u", "v").union(stars.select("u", "v"))
     return both.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
