@@ -3,14 +3,12 @@ climate curation (X09), exact distributed percentiles (A20), histograms (A19),
 rates (A21) and near-duplicate removal over the text order (W03, W04).
 
 Scale notes
-* Percentiles are exact without a single-task buffer: values are
-  range-partitioned, ranked inside each range, and the wanted global ranks
-  are located through a per-range count table (one row per range - its size
-  is bounded by the partition count, so broadcasting it is safe).
+* Percentiles are exact without ranking rows: ``selection`` brackets the wanted
+  ranks and counts.
 * Percentiles used as thresholds are read once and become literals.
-* The adjacent-row distance uses the same range split: ``lead`` inside each
-  range, and each range's first text hands over to the previous range's
-  last row through the small per-range table.
+* The adjacent-row distance cuts the text order by splitters of the whole
+  key: ``lead`` inside each segment, and each segment's first text is handed to
+  the one before as a row.
 """
 
 from __future__ import annotations
@@ -22,56 +20,33 @@ from .._util import any_of, fbool, stage
 from ..functions import markers as M
 from ..functions import text as T
 from ..functions.lexicon import Lexicon, keyword_match, shipped
-from ..session import cut_lineage
+from ..session import write_table
 from . import filters as FL
-from .ranking import cut_segments, rank_within
+from . import selection
+from .ranking import segment_of, text_splitters
 
 PROBS = (0.01, 0.1, 0.5, 0.9, 0.99)
-PREFIX = 64  # characters of a text by which its order is cut into segments
 
 
-def percentiles(df: DataFrame, cols, probs=PROBS, method: str = "exact", splits: int | None = None,
+def percentiles(df: DataFrame, cols, probs=PROBS, method: str = "exact",
                 accuracy: int = 100000) -> DataFrame:
     """Percentiles with linear interpolation (R type 7 = Spark
     ``percentile`` = DuckDB ``quantile_cont``), one row per probability with
     one column per input column.
 
-    ``exact``: the columns are stacked as (name, value) pairs and ranked in
-    one distributed pass (``ranking.rank_within``: range segments + offsets,
-    never one task per column); only the ranks that bracket each probability
-    are kept and interpolated.  ``approx``: ``percentile_approx`` (sketch).
+    ``exact``: selection, not ranking (``selection.exact_percentiles``): sketches
+    bracket the wanted ranks, rows below and inside are counted, and the last few
+    values are counted one by one.  A value that half of all rows hold costs a row a task.
+    ``approx``: ``percentile_approx`` of all columns in one scan; for sketches that
+    are kept and merged see ``selection.quantile_sketches``.
     """
     cols = [cols] if isinstance(cols, str) else list(cols)
-    spark = df.sparkSession
-    pdf = spark.createDataFrame([(i, float(p)) for i, p in enumerate(probs)], "p_no int, prob double")
-    if method == "approx":
-        out = pdf
-        for c in cols:
-            arr = df.select(F.percentile_approx(c, list(probs), accuracy).alias("a")).scalar()
-            q = pdf.select("p_no", F.element_at(arr, F.col("p_no") + 1).cast("double").alias(c))
-            out = out.join(q, "p_no")
-        return out.orderBy("p_no")
-    # the passes below (range sampling, shuffle, counts) would each recompute
-    # the input: materialise the value columns once - a small projection - in
-    # the shared checkpoint folder
-    vals = cut_lineage(df.select(*[F.col(c).cast("double").alias(c) for c in cols]))
-    pairs = vals.select(F.inline(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).alias("v")) for c in cols])))
-    pairs = pairs.where(F.col("v").isNotNull())
-    ranked = rank_within(pairs, ["name"], ["v"], "r", splits)          # 1-based rank per column
-    n = pairs.groupBy("name").agg(F.count(F.lit(1)).alias("n"))       # one row per column
-    pos = n.select("name", "n", F.posexplode(F.array(*[F.lit(float(p)) for p in probs])).alias("p_no", "prob"))
-    pos = pos.withColumn("pos", (F.col("n") - 1) * F.col("prob")).select(
-        "name", "p_no", "prob", "pos", F.floor("pos").alias("lo"), F.ceil("pos").alias("hi"))
-    want = pos.select(F.col("name").alias("_wname"), "p_no",
-                      F.explode(F.array("lo", "hi")).alias("g")).distinct()
-    # |want| <= 2 * len(cols) * len(probs)
-    hit = ranked.join(F.broadcast(want), (F.col("name") == F.col("_wname")) & (F.col("r") - 1 == F.col("g"))).select(
-        "name", "p_no", "g", "v")
-    found = hit.groupBy("name", "p_no").agg(F.min_by("v", "g").alias("vlo"), F.max_by("v", "g").alias("vhi"))
-    q = pos.join(found, ["name", "p_no"], "left").select(
-        "name", "p_no", (F.col("vlo") + (F.col("pos") - F.col("lo")) * (F.col("vhi") - F.col("vlo"))).alias("q"))
-    wide = q.groupBy("p_no").pivot("name", cols).agg(F.first("q"))
-    return pdf.join(wide, "p_no").orderBy("p_no")
+    if method == "exact":
+        return selection.exact_percentiles(df, cols, probs)
+    ps = F.array(*[F.lit(float(p)) for p in probs])
+    x = df.agg(*[F.percentile_approx(c, list(probs), accuracy).alias(c) for c in cols])
+    x = x.select(*cols, F.posexplode(ps).alias("p_no", "prob"))
+    return x.select("p_no", "prob", *[F.element_at(F.col(c), F.col("p_no") + 1).cast("double").alias(c) for c in cols]).orderBy("p_no")
 
 
 def percentile_scalars(df: DataFrame, cols, probs=PROBS, method: str = "exact") -> dict:
@@ -248,7 +223,7 @@ def curate_climate(df: DataFrame, *, lexicons: dict | None = None, exclude_misla
         M.marker_label(F.col("mitig_sig"), *MITIGATION_LABELS).alias("mitigation_label"))
     if near_dup is None:
         return x
-    return drop_near_dups(x, "text", order_col, near_dup, keep_last)
+    return drop_near_dups(write_table(x, "curated"), "text", order_col, near_dup, keep_last)
 
 
 def _missed(marker, match, confs):
@@ -274,21 +249,22 @@ def adjacent_next(df: DataFrame, col: str, tiebreak: str | None = None, splits:
                   out: str = "next_text") -> DataFrame:
     """The value of ``col`` on the next row in (col, tiebreak) order.
 
-    Distributed: a global ``lead`` would put every row in one task.  Rows are
-    range-split on the order; ``lead`` runs inside each range; a range's last
-    row takes the first value of the next non-empty range from a table with
-    one row per range.
+    Distributed: a global ``lead`` would put every row in one task.  The order
+    is cut by splitters of the whole key (``ranking.text_splitters``), so texts
+    that share a long opening, or are equal, are cut too.  Each segment also
+    gets the first text of the next one as a row that sorts last and is dropped after
+    ``lead``: the texts cross one exchange and nothing is joined back.  ``df``
+    is read four times, the last time whole; pass a written table where it is dear to compute.
     """
-    order = [col] + ([tiebreak] if tiebreak else [])
-    # a short prefix of the text cuts the order where the whole text would, or earlier
-    x = cut_segments(df, [F.substring(F.col(col), 1, PREFIX)], splits)
-    w = Window.partitionBy("_seg").orderBy(*[F.col(c) for c in order])
-    x = x.withColumn("_lead", F.lead(F.col(col)).over(w))
-    # the first text of each segment: one row a segment
-    firsts = x.groupBy("_seg").agg(F.min(F.col(col)).alias("_first"))
-    firsts = firsts.select(F.col("_seg").alias("_of"), F.lead("_first").over(Window.orderBy("_seg")).alias("_carry"))
-    x = x.join(firsts, F.col("_seg") == F.col("_of"), "left")
-    return x.withColumn(out, F.coalesce(F.col("_lead"), F.col("_carry"))).drop("_lead", "_carry", "_seg", "_of")
+    cuts = text_splitters(df, col, tiebreak, splits)
+    x = df.withColumns({"_seg": segment_of(cuts, col, tiebreak), "_edge": F.lit(False)})
+    # one row a segment
+    firsts = x.groupBy("_seg").agg(F.min(F.col(col)).alias(col))
+    edges = firsts.select(F.lag("_seg").over(Window.orderBy("_seg")).alias("_seg"), col, F.lit(True).alias("_edge"))
+    x = x.unionByName(edges.where(F.col("_seg").isNotNull()), allowMissingColumns=True)
+    x = x.repartitionById(len(cuts) + 1, F.col("_seg"))
+    w = Window.partitionBy("_seg").orderBy("_edge", col, *([tiebreak] if tiebreak else []))
+    return x.withColumn(out, F.lead(F.col(col)).over(w)).where(~F.col("_edge")).drop("_seg", "_edge")
 
 
 def near_dup_distance(df: DataFrame, col: str = "text", tiebreak: str | None = None, threshold: float = 0.2,

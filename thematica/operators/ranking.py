@@ -14,11 +14,16 @@ from one and the same cut.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import write_table
 
+#: sampled rows a segment, and characters of text sampled in all (they go to the driver)
+OVERSAMPLE = 16
+SAMPLE_CHARS = 1 << 25
+LONGEST_SAMPLE = 1 << 14
+
 
 def cut_segments(df: DataFrame, keys, splits: int | None = None, out: str = "_seg") -> DataFrame:
     """Rows with the number of their segment in the order of ``keys`` (columns
@@ -29,6 +34,64 @@ def cut_segments(df: DataFrame, keys, splits: int | None = None, out: str = "_se
     return write_table(df.repartitionByRange(n, *keys).withColumn(out, F.spark_partition_id()), "segments")
 
 
+def _apart(text: str, before: str) -> str:
+    """The shortest opening of ``text`` that sorts after ``before``, a lesser text."""
+    lo, hi = 0, min(len(text), len(before))
+    while lo < hi:  # length of the common opening
+        mid = (lo + hi + 1) // 2
+        lo, hi = (mid, hi) if text[:mid] == before[:mid] else (lo, mid - 1)
+    return text[:lo + 1]
+
+
+def text_splitters(df: DataFrame, col: str, tiebreak: str | None = None, splits: int | None = None) -> list[tuple]:
+    """Where to cut the order of (col, tiebreak) into ``splits`` segments of like size.
+
+    Splitters (text, tiebreak) come from a hash sample of the rows.  Each is the shortest
+    opening that sets its sampled text apart from the sampled one before, however long
+    the opening that both share; where sampled texts are equal, the tiebreak
+    cuts between them.  Splitters only decide how rows are dealt: texts are sampled to a
+    length that holds ``SAMPLE_CHARS`` for the whole sample, and openings
+    that agree beyond it share a segment."""
+    n = splits or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = df.count()
+    if n < 2 or not rows:
+        return []
+    of = [F.col(col), *([F.col(tiebreak)] if tiebreak else [])]
+    every = max(1, rows // (OVERSAMPLE * n))
+    longest = max(64, min(LONGEST_SAMPLE, SAMPLE_CHARS // (2 * OVERSAMPLE * n)))
+    picked = df.where(F.col(col).isNotNull() & (F.pmod(F.xxhash64(*of), F.lit(every)) == 0))
+    tie = F.col(tiebreak) if tiebreak else F.lit(None).cast("int")
+    got = picked.select(F.substring(F.col(col), 1, longest).alias("t"), (F.length(col) <= longest).alias("whole"), tie.alias("i")).collect()
+    # null tiebreaks sort first
+    got = sorted(((r["t"], r["i"] if r["whole"] else None) for r in got), key=lambda r: (r[0], r[1] is not None, r[1]))
+    out: list[tuple] = []
+    for k in sorted({len(got) * j // n for j in range(1, n)}):
+        if k and got[k] != got[k - 1]:
+            (before, _), (text, i) = got[k - 1], got[k]
+            cut = (text, i) if text == before else (_apart(text, before), None)
+            if not out or cut != out[-1]:
+                out.append(cut)
+    return out
+
+
+def segment_of(cuts: list[tuple], col: str, tiebreak: str | None = None) -> Column:
+    """The number of a row's segment: how many ``cuts`` are at or before it.  A function of
+    the row alone, by binary search, so each reader of a table finds the same segments."""
+    if not cuts:
+        return F.lit(0)
+    text = F.col(col)
+    cut = F.array(*[F.struct(F.lit(t).alias("t"), (F.lit(i) if i is not None or not tiebreak else F.lit(None)).alias("i")) for t, i in cuts])
+
+    def reached(at: Column) -> Column:
+        c = F.element_at(cut, at)
+        same = (F.lit(True) if not tiebreak else c["i"].isNull() | (c["i"] <= F.col(tiebreak)))
+        return F.coalesce((c["t"] < text) | ((c["t"] == text) & same), F.lit(False))
+
+    steps = [1 << b for b in reversed(range(len(cuts).bit_length()))]
+    return F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0),
+                       lambda lo, s: F.when(lo + s > len(cuts), lo).when(reached(F.least(lo + s, F.lit(len(cuts)))), lo + s).otherwise(lo))
+
+
 def rank_within(df: DataFrame, part, order, out: str = "rank", splits: int | None = None, cut=None) -> DataFrame:
     """1-based row number of each row inside ``part`` in ``order`` (exact).
 

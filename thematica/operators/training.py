@@ -2,8 +2,8 @@
 A17, A28-A30, C04, X12-X14).
 
 Shuffles are seeded md5 orders (reproducible in SQL); per-class counts and
-allocations are exact and computed without single-task windows
-(``ranking.rank_within``).  Training uses Spark ML only.
+allocations are exact and found by counting hashes, not by ranking rows
+(``selection.first_of_each``).  Training uses Spark ML only.
 """
 
 from __future__ import annotations
@@ -17,23 +17,25 @@ from ..functions import text as T
 from . import dedupe as D
 from . import filters as FL
 from ..session import write_table
-from .ranking import hash_order, rank_within
+from .ranking import hash_order
+from .selection import first_of_each
 
 
 def sample_n(df: DataFrame, n: int, seed, key_cols) -> DataFrame:
-    """N rows in a seeded pseudo-random order (the limit is the feature).
-    Planned as a distributed top-n (TakeOrderedAndProject)."""
-    return df.withColumn("_h", hash_order(seed, *key_cols)).orderBy("_h", *key_cols).limit(n).drop("_h")
+    """N rows in a seeded pseudo-random order, chosen without sorting the
+    table (``selection.first_of_each``); no task or driver holds n rows."""
+    x = df.withColumn("_h", hash_order(seed, *key_cols))
+    wanted = df.sparkSession.range(1).select(F.lit(n).cast("long").alias("k"))
+    return first_of_each(x, "_h", key_cols, wanted, out="_c").where("_c").drop("_h", "_c")
 
 
 def downsample(df: DataFrame, label: str, negative=0, seed=42, key_cols=("text",)) -> DataFrame:
     """Keep all positives and as many negatives as positives (at most all
     negatives, D17), negatives chosen in a seeded hash order."""
-    neg = df.where(F.col(label) == negative)
+    neg = df.where(F.col(label) == negative).withColumn("_h", hash_order(seed, *key_cols))
     pos = df.where(F.col(label) != negative)
-    n_pos = pos.agg(F.count(F.lit(1))).scalar()
-    ranked = rank_within(neg.withColumn("_h", hash_order(seed, *key_cols)), [], ["_h", *key_cols], "_r", cut=["_h"])
-    keep = ranked.where(F.col("_r") <= n_pos).drop("_h", "_r")
+    n_pos = pos.agg(F.count(F.lit(1)).alias("k"))
+    keep = first_of_each(neg, "_h", key_cols, n_pos, out="_c").where("_c").drop("_h", "_c")
     return keep.unionByName(pos)
 
 
@@ -51,12 +53,10 @@ def stratified_split(df: DataFrame, label: str, test: float = 0.2, seed=42, key_
     """Per stratum, the first bround(test * n) rows in a seeded hash
     order go to 'test', the rest to 'train' (exact counts; D19)."""
     x = df.withColumn("_h", hash_order(seed, *key_cols))
-    n = x.groupBy(F.col(label).alias("_lab")).agg(F.count(F.lit(1)).alias("_n"))
-    r = rank_within(x, [label], ["_h", *key_cols], "_r", cut=["_h"])
-    # one row per stratum (AQE broadcasts it when measured small)
-    x = r.join(n, r[label].eqNullSafe(F.col("_lab"))).drop("_lab")
-    k = F.bround(F.lit(test) * F.col("_n"), 0)
-    return x.withColumn(out, F.when(F.col("_r") <= k, F.lit("test")).otherwise(F.lit("train"))).drop("_h", "_r", "_n")
+    n = x.groupBy(F.col(label)).agg(F.count(F.lit(1)).alias("_n"))  # one row per stratum
+    wanted = n.select(label, F.bround(F.lit(test) * F.col("_n"), 0).cast("long").alias("k"))
+    x = first_of_each(x, "_h", key_cols, wanted, label, "_c")
+    return x.withColumn(out, F.when(F.col("_c"), F.lit("test")).otherwise(F.lit("train"))).drop("_h", "_c")
 
 
 def label_counts(df: DataFrame, col: str) -> DataFrame:
