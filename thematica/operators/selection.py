@@ -207,49 +207,57 @@ DIGITS = 4
 TIED = 10_000
 
 
-def first_of_each(df: DataFrame, hashed: str, keys, wanted: DataFrame, part: str | None = None, out: str = "chosen",
-                  tied: int = TIED) -> DataFrame:
+def first_of_each(df: DataFrame, hashed: str, keys, wanted, part: str | None = None, out: str = "chosen", tied: int = TIED) -> DataFrame:
     """Marks the first rows of each stratum in the order of (``hashed``, ``keys``): exactly as many as ``wanted`` says.
 
+    ``wanted`` is a table (part, k), one row a stratum (null strata are equal), or a function from the column of a stratum's
+    row count to the number wanted, which needs no pass of its own.
+
     ``hashed`` is a hex hash, so its leading digits cut a stratum into even parts.  A pass counts rows by (stratum, digits);
-    the part in which the wanted number falls is cut again until it holds at most ``tied`` rows.  Rows before it are chosen and
-    rows after it are not, by comparing digits; only the part itself is put in order.  ``wanted`` is (part, k), one row a stratum
-    that has rows; null strata are equal.  ``df`` is read once a pass, without texts, and twice at the end.
+    the part in which the wanted number falls is cut again while it holds more than ``tied`` rows.  Rows before it are chosen and
+    rows after it are not, by comparing digits; only the part itself is put in order.  ``df`` is read once a pass, without its
+    other columns, and twice at the end.
     """
     keys = list(keys)
-    of = F.col(part) if part else F.lit(0)
-    rows = df.withColumn("_p", of)
-    # small tables with a known size: joining them does not deal rows by stratum
-    wanted = write_table(wanted.select((F.col(part) if part else F.lit(0)).alias("_q"), F.col("k").alias("_k")), "wanted")
-    largest = rows.groupBy("_p").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).head()[0] or 0
-    depth, state = 0, None
-    while depth == 0 or largest > tied and depth < 32:
-        step = 1
-        while step < DIGITS and 16 ** step * 64 < largest:
-            step += 1
-        digits = F.substring(hashed, depth + 1, step).alias("_d")
-        if state is None:
-            counts = rows.groupBy("_p", digits).agg(F.count(F.lit(1)).alias("_n"))
-            counts = counts.join(wanted, F.col("_p").eqNullSafe(F.col("_q"))).withColumn("_open", F.lit(""))
-        else:
-            inside = rows.join(state, F.col("_p").eqNullSafe(F.col("_q")) & F.col(hashed).startswith(F.col("_open")))
-            counts = inside.groupBy("_q", "_k", "_open", digits).agg(F.count(F.lit(1)).alias("_n"))
-        # at most 16^DIGITS rows a stratum
-        w = Window.partitionBy("_q").orderBy("_d").rowsBetween(Window.unboundedPreceding, 0)
-        counts = counts.withColumn("_to", F.sum("_n").over(w))
+    rows = df.withColumn("_p", F.col(part) if part else F.lit(0))
+    step = DIGITS
+    w = Window.partitionBy("_p").orderBy("_d").rowsBetween(Window.unboundedPreceding, 0)  # at most 16^DIGITS rows a stratum
+    counts = rows.groupBy("_p", F.substring(hashed, 1, step).alias("_d")).agg(F.count(F.lit(1)).alias("_n"))
+    counts = counts.withColumn("_to", F.sum("_n").over(w))
+    every = None
+    if callable(wanted):
+        counts = counts.withColumn("_k", wanted(F.sum("_n").over(Window.partitionBy("_p"))).cast("long"))
+    else:  # a small table with a known size: joining it does not deal rows by stratum
+        every = write_table(wanted.select((F.col(part) if part else F.lit(0)).alias("_q"), F.col("k").cast("long").alias("_k")), "wanted")
+        counts = counts.join(every, F.col("_p").eqNullSafe(F.col("_q")))
+    counts = counts.withColumn("_open", F.lit(""))
+    depth = 0
+    while True:
         cut = counts.where((F.col("_to") >= F.col("_k")) & (F.col("_to") - F.col("_n") < F.col("_k")))
-        state = write_table(cut.select("_q", (F.col("_k") - F.col("_to") + F.col("_n")).alias("_k"), F.concat("_open", "_d").alias("_open"), "_n"), "cuts")
+        state = write_table(cut.select(F.col("_p").alias("_q"), (F.col("_k") - F.col("_to") + F.col("_n")).alias("_k"), F.concat("_open", "_d").alias("_open"),
+                                       "_n"), "cuts")
+        depth += step
         largest = state.agg(F.max("_n")).head()[0] or 0
         state = state.drop("_n")
-        depth += step
-    # a stratum without a cut takes all rows (it wants at least as many as it has) or none
-    all_or_none = wanted.select(F.col("_q").alias("_r"), F.col("_k").alias("_all"))
+        if largest <= tied or depth >= 32:
+            break
+        inside = rows.join(state, F.col("_p").eqNullSafe(F.col("_q")) & F.col(hashed).startswith(F.col("_open")))
+        counts = inside.groupBy("_p", "_k", "_open", F.substring(hashed, depth + 1, step).alias("_d")).agg(F.count(F.lit(1)).alias("_n"))
+        counts = counts.withColumn("_to", F.sum("_n").over(w))
+    marked = rows.join(state, F.col("_p").eqNullSafe(F.col("_q")), "left")
     open_ = F.substring(hashed, 1, depth)
-    marked = rows.join(state, F.col("_p").eqNullSafe(F.col("_q")), "left").join(all_or_none, F.col("_p").eqNullSafe(F.col("_r")), "left")
     at_cut = F.coalesce(open_ == F.col("_open"), F.lit(False))
-    clear = marked.where(~at_cut).withColumn(out, F.when(F.col("_open").isNotNull(), open_ < F.col("_open")).otherwise(F.coalesce(F.col("_all") > 0, F.lit(False))))
+    # a stratum without a cut wants none of its rows, or more than it has
+    whole = F.lit(False)
+    if every is not None:
+        marked = marked.join(every.select(F.col("_q").alias("_r"), F.col("_k").alias("_all")), F.col("_p").eqNullSafe(F.col("_r")), "left")
+        whole = F.coalesce(F.col("_all") > 0, F.lit(False))
+    clear = marked.where(~at_cut).withColumn(out, F.when(F.col("_open").isNotNull(), open_ < F.col("_open")).otherwise(whole))
     cols = df.columns
-    tie = write_table(marked.where(at_cut).select(*cols, "_q", "_k", F.monotonically_increasing_id().alias("_i")), "tied")
-    tie = rank_within(tie, ["_q"], [hashed, *keys, "_i"], "_rank", cut=[hashed, "_i"])
-    tie = tie.withColumn(out, F.col("_rank") <= F.col("_k"))
-    return clear.select(*cols, out).unionByName(tie.select(*cols, out))
+    tie = marked.where(at_cut).select(*cols, "_q", "_k")
+    if largest <= tied:  # so a window holds at most that many rows
+        tie = tie.withColumn("_rank", F.row_number().over(Window.partitionBy("_q").orderBy(hashed, *keys)))
+    else:  # rows with one and the same hash: numbered as they are written
+        tie = write_table(tie.withColumn("_i", F.monotonically_increasing_id()), "tied")
+        tie = rank_within(tie, ["_q"], [hashed, *keys, "_i"], "_rank", cut=[hashed, "_i"])
+    return clear.select(*cols, out).unionByName(tie.select(*cols, (F.col("_rank") <= F.col("_k")).alias(out)))

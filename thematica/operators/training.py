@@ -53,9 +53,7 @@ def stratified_split(df: DataFrame, label: str, test: float = 0.2, seed=42, key_
     """Per stratum, the first bround(test * n) rows in a seeded hash
     order go to 'test', the rest to 'train' (exact counts; D19)."""
     x = df.withColumn("_h", hash_order(seed, *key_cols))
-    n = x.groupBy(F.col(label)).agg(F.count(F.lit(1)).alias("_n"))  # one row per stratum
-    wanted = n.select(label, F.bround(F.lit(test) * F.col("_n"), 0).cast("long").alias("k"))
-    x = first_of_each(x, "_h", key_cols, wanted, label, "_c")
+    x = first_of_each(x, "_h", key_cols, lambda n: F.bround(F.lit(test) * n, 0), label, "_c")
     return x.withColumn(out, F.when(F.col("_c"), F.lit("test")).otherwise(F.lit("train"))).drop("_h", "_c")
 
 

@@ -201,7 +201,7 @@ WHERE length(text) > 10 AND length(text) - length(replace(text, ' ', '')) < 500"
 o AS (SELECT doc_id, text, lead(text) OVER (ORDER BY text, doc_id) AS nxt FROM src)
 SELECT doc_id FROM o WHERE nxt IS NULL OR levenshtein({one_byte('text')}, {one_byte('nxt')}) / length(text) >= 0.2""")
 def q_near(spark, sf):
-    d = _docs(spark, sf).where(FL.fits_context("text")).select("doc_id", "text")
+    d = TB.load(spark, sf, "documents", dealt=False).where(FL.fits_context("text")).select("doc_id", "text")
     return curate.drop_near_dups(d, "text", "doc_id", 0.2, keep_last=True).select("doc_id")
 
 

@@ -32,11 +32,12 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
 SPREAD_KEYS = {"documents": "doc_id"}
 
 
-def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def load(spark: SparkSession, sf_dir: str, name: str, dealt: bool = True) -> DataFrame:
     """Read one driver table.  Text tables are spread by their id where the
-    session sets ``spark.thematica.textPartitions`` (``session.spread``)."""
+    session sets ``spark.thematica.textPartitions`` (``session.spread``);
+    ``dealt=False`` leaves that out, where the first heavy step deals rows anyway."""
     df = spark.read.parquet(table_path(sf_dir, name))
-    return spread(df, SPREAD_KEYS[name]) if name in SPREAD_KEYS else df
+    return spread(df, SPREAD_KEYS[name]) if dealt and name in SPREAD_KEYS else df
 
 
 def flows(spark: SparkSession, sf_dir: str, years=None) -> DataFrame:
