@@ -2,10 +2,10 @@
 
 A lexicon is normalised with the same cleaning as the text it is matched
 against (decision D1), so a match is "the cleaned text contains the cleaned
-entry as a whole-word sequence".  Single-word entries are matched with a hash
-probe (``arrays_overlap`` of the text's tokens against a literal array) and
-multi-word entries with a padded-space search, both JVM-side and linear in
-the text length.  ``pattern()`` gives the equivalent padded regex for SQL
+entry as a whole-word sequence".  Matching probes a hash set: each token against
+the one-word entries, and, where a token begins some longer entry, the two, three, ... words
+from there against the entries of that length.  The cost follows the text's length, not
+the number of entries.  ``pattern()`` gives the equivalent padded regex for SQL
 engines (it is what the DuckDB oracles use).
 """
 
@@ -74,8 +74,12 @@ class Lexicon:
         return tuple(w for w in self.entries if " " not in w and not _needs_regex(w))
 
     @property
-    def phrases(self) -> tuple:
-        return tuple(w for w in self.entries if " " in w or _needs_regex(w))
+    def by_length(self) -> dict:
+        """The entries by their number of words."""
+        out: dict[int, list] = {}
+        for e in self.entries:
+            out.setdefault(e.count(" ") + 1, []).append(e)
+        return {n: tuple(out[n]) for n in sorted(out)}
 
     def __add__(self, other: "Lexicon") -> "Lexicon":
         return Lexicon(f"{self.name}+{other.name}", self.words + other.words, self.style)
@@ -98,21 +102,62 @@ def _needs_regex(w: str) -> bool:
     return any(not (ch.isalnum() or ch == "_") for ch in w)
 
 
+def _token_array(clean, tokens) -> Column:
+    return col_of(tokens) if tokens is not None else F.split(F.coalesce(col_of(clean), F.lit("")), " ")
+
+
+def _begins(lex: Lexicon) -> tuple:
+    """First words of the entries of several words."""
+    return tuple(dict.fromkeys(e.split(" ")[0] for e in lex.entries if " " in e))
+
+
+def _words_from(tok: Column, n: int) -> Column:
+    """At each position of a token array the next ``n`` tokens, w0, w1, ... (null beyond the end)."""
+    rest = [F.slice(tok, j + 1, F.greatest(F.size(tok) - j, F.lit(0))).alias(f"w{j}") for j in range(1, n)]
+    return F.arrays_zip(tok.alias("w0"), *rest)
+
+
+def _joined(z: Column, n: int) -> Column:
+    return F.concat_ws(" ", *[z[f"w{j}"] for j in range(n)])
+
+
 def keyword_match(clean, lex: Lexicon, tokens=None) -> Column:
     """T04.  ``tokens``: the cleaned text already split on spaces (a staged
     column), to avoid splitting the text again for every lexicon."""
-    clean = col_of(clean)
-    parts = []
-    if lex.single:
-        toks = col_of(tokens) if tokens is not None else F.split(F.coalesce(clean, F.lit("")), " ")
-        parts.append(F.arrays_overlap(toks, F.array(*[F.lit(w) for w in lex.single])))
-    if lex.phrases:
-        padded = F.concat(F.lit(" "), F.coalesce(clean, F.lit("")), F.lit(" "))
-        alt = " (" + "|".join(_escape(w) for w in lex.phrases) + ") "
-        parts.append(padded.rlike(alt))
-    if not parts:
+    if not lex.entries:
         return F.lit(False)
-    return F.coalesce(any_of(parts), F.lit(False))
+    of = lex.by_length
+    longer = [n for n in of if n > 1]
+
+    def found(tok):
+        parts = [F.exists(tok, lambda t: t.isin(*of[1]))] if 1 in of else []
+        if longer:
+            begins = _begins(lex)
+            parts.append(F.exists(tok, lambda t: t.isin(*begins)) & F.exists(
+                _words_from(tok, longer[-1]), lambda z: z["w0"].isin(*begins) & any_of([_joined(z, n).isin(*of[n]) for n in longer])))
+        return any_of(parts)
+
+    # bound once by the outer lambda, however often the parts refer to the tokens
+    return F.coalesce(F.exists(F.array(_token_array(clean, tokens)), found), F.lit(False))
+
+
+def matched_entries(clean, lex: Lexicon, tokens=None) -> Column:
+    """The distinct entries of ``lex`` in a cleaned text, as an array."""
+    if not lex.entries:
+        return F.array().cast("array<string>")
+    of = lex.by_length
+    longer = [n for n in of if n > 1]
+
+    def found(tok):
+        parts = [F.filter(tok, lambda t: t.isin(*of[1]))] if 1 in of else []
+        if longer:
+            begins = _begins(lex)
+            at = F.filter(_words_from(tok, longer[-1]), lambda z: z["w0"].isin(*begins))
+            every = [e for n in longer for e in of[n]]
+            parts.append(F.flatten(F.transform(at, lambda z: F.filter(F.array(*[_joined(z, n) for n in longer]), lambda g: g.isin(*every)))))
+        return F.array_distinct(F.concat(*parts) if len(parts) > 1 else parts[0])
+
+    return F.flatten(F.transform(F.array(_token_array(clean, tokens)), found))
 
 
 def extend_match(flag, clean, lex: Lexicon) -> Column:

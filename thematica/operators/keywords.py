@@ -2,9 +2,9 @@
 vocabulary scoring (X11: lexicon join J02 + mean scores A31).
 
 The reference loops over keywords and rescans the data once per keyword
-(351 passes).  Here each record's distinct tokens and n-grams are exploded
-once and equi-joined with the lexicon (a broadcast of a parameter list of
-bounded size), then a single group-by averages the scores.
+(351 passes).  Here each record's words are probed once against the lexicon's hash sets
+(``lexicon.matched_entries``: a parameter list of bounded size), the matches are
+exploded, and a single group-by averages the scores.
 """
 
 from __future__ import annotations
@@ -14,9 +14,9 @@ from functools import lru_cache
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .._util import col_of, stage
+from .._util import col_of, money_sum, stage
 from ..functions import text as T
-from ..functions.lexicon import Lexicon
+from ..functions.lexicon import Lexicon, matched_entries
 from ..session import write_table
 from .ranking import rank_within
 
@@ -163,25 +163,6 @@ def discover_keywords(df: DataFrame, text: str = "text", sig: str = "sig", flag:
 # J02 / A31 / X11
 # ---------------------------------------------------------------------------
 
-def matched_entries(clean, lex: Lexicon) -> Column:
-    """Entries of ``lex`` present in a cleaned text, as an array.
-
-    Single words: hash-set intersection of the text's tokens with the word
-    list (linear in the text).  Phrases: padded substring test per phrase.
-    """
-    c = F.coalesce(col_of(clean), F.lit(""))
-    parts = []
-    if lex.single:
-        parts.append(F.array_intersect(F.split(c, " "), F.array(*[F.lit(w) for w in lex.single])))
-    if lex.phrases:
-        padded = F.concat(F.lit(" "), c, F.lit(" "))
-        parts.append(F.filter(F.array(*[F.lit(p) for p in lex.phrases]),
-                              lambda p: F.instr(padded, F.concat(F.lit(" "), p, F.lit(" "))) > 0))
-    if not parts:
-        return F.array().cast("array<string>")
-    return parts[0] if len(parts) == 1 else F.concat(*parts)
-
-
 def lexicon_join(df: DataFrame, clean: str, lex: Lexicon, carry) -> DataFrame:
     """(row, entry) pairs for every lexicon entry present in the row.
 
@@ -209,7 +190,8 @@ def keyword_scores(df: DataFrame, lex: Lexicon, score_cols, clean: str = "_clean
     spark = df.sparkSession
     pairs = lexicon_join(df, clean, lex, list(score_cols))
     # one row per lexicon entry after the partial aggregate
-    means = pairs.groupBy("entry").agg(*[F.avg(c).alias(c) for c in score_cols])
+    # of exact sums, so that a mean doesn't depend on the order of rows
+    means = pairs.groupBy("entry").agg(*[F.try_divide(money_sum(c), F.count(c).cast("double")).alias(c) for c in score_cols])
     kws = lexicon_table(spark, lex)
     out = kws.join(F.broadcast(means), "entry", "left")   # <= one row per lexicon entry (a parameter list)
     sel = []

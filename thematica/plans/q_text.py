@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import markers as M
 from ..functions import text as T
-from ..functions.lexicon import Lexicon
+from ..functions.lexicon import Lexicon, normalise_word
 from ..operators import audit, curate, keywords, scoring
 from ..operators import dedupe as D
 from ..operators import filters as FL
@@ -414,17 +414,23 @@ def q_discover(spark, sf):
 VOCAB = Lexicon("vocab", ("thble", "erin", "anea", "thor", "eron", "thly", "erin", "ou en", "zzzz", "of the"))
 
 
-def _vocab_sql():
+def _vocab_sql(lex=VOCAB, digits=6):
+    def mean(c):
+        return f"sum(CAST(x.{c} AS DECIMAL(38,12)))::DOUBLE / count(*) AS {c}"
+
+    def shown(c):
+        return f"{f'round(coalesce(m.{c}, 0), {digits})' if digits else f'coalesce(m.{c}, 0)'} AS {c}"
+
     rows = " UNION ALL ".join(
         f"SELECT {i} AS kw_no, '{w}' AS keyword, '{e}' AS entry" for i, (w, e) in enumerate(
-            (w, " ".join(w.split())) for w in VOCAB.words))
+            (w, normalise_word(w)) for w in lex.words))
     return f"""{SC},
 x AS (SELECT *, ' ' || coalesce(clean, '') || ' ' AS padded FROM scored0 s JOIN (SELECT doc_id, sig_conf, pri_conf FROM scored) c USING (doc_id)
-      WHERE coalesce(sig IN (1, 2), false) AND {S.match('clean', VOCAB)}),
+      WHERE coalesce(sig IN (1, 2), false) AND {S.match('clean', lex)}),
 k AS ({rows}),
-m AS (SELECT k.entry, avg(x.sig_conf) AS sig_conf, avg(x.pri_conf) AS pri_conf FROM (SELECT DISTINCT entry FROM k) k
+m AS (SELECT k.entry, {mean('sig_conf')}, {mean('pri_conf')} FROM (SELECT DISTINCT entry FROM k) k
       JOIN x ON contains(x.padded, ' ' || k.entry || ' ') GROUP BY k.entry)
-SELECT k.kw_no, k.keyword, round(coalesce(m.sig_conf, 0), 6) AS sig_conf, round(coalesce(m.pri_conf, 0), 6) AS pri_conf
+SELECT k.kw_no, k.keyword, {shown('sig_conf')}, {shown('pri_conf')}
 FROM k LEFT JOIN m USING (entry)"""
 
 
@@ -434,6 +440,39 @@ def q_vocab(spark, sf):
     return keywords.score_vocabulary(s, VOCAB, ["sig_conf", "pri_conf"], markers=("sig",), digits=6)
 
 
+# a list as long as the extended climate lexicon, made by a rule: words, pairs, triples and repeats
+COMMON = ("in", "the", "en", "of", "and", "to", "a", "on", "is", "that", "it", "as", "be", "was", "for", "er", "with")
+PAIRS = tuple(f"{a} {b}" for a in COMMON for b in COMMON)
+VOCAB_WIDE = Lexicon("vocab_wide", COMMON + PAIRS + tuple(f"{a} {b} {a}" for a, b in zip(COMMON, COMMON[1:] + COMMON[:1])) + PAIRS[::11] + ("The",))
+
+
+@register("score_vocabulary_wide", _vocab_sql(VOCAB_WIDE, None))
+def q_vocab_wide(spark, sf):
+    """351 entries of one to three words: one probe of the texts, whatever the list's length."""
+    s = TB.scored(spark, sf)
+    return keywords.score_vocabulary(s, VOCAB_WIDE, ["sig_conf", "pri_conf"], markers=("sig",))
+
+
+PHRASES = Lexicon("phrases", PAIRS)
+
+
+@register("lexicon_pairs", f"""WITH d AS (SELECT doc_id, ' ' || {S.clean('text')} || ' ' AS padded FROM documents),
+e AS (SELECT unnest({S.lit_list(PAIRS)}) AS entry)
+SELECT doc_id, entry FROM d JOIN e ON contains(padded, ' ' || entry || ' ')""")
+def q_lexicon_pairs(spark, sf):
+    """Every (document, phrase) pair of the list."""
+    d = _docs(spark, sf).select("doc_id", T.clean_text("text").alias("_c"))
+    return keywords.lexicon_join(d, "_c", PHRASES, "doc_id")
+
+
+RARE_PAIRS = Lexicon("rare_pairs", tuple(f"{a} {b}" for a in COMMON[5:] for b in ("that", "er", "es", "ha") if a != b) + ("thble", "anea of the"))
+
+
+@register("keyword_match_phrases", f"SELECT doc_id, {S.match(S.clean('text'), RARE_PAIRS)} AS match FROM documents")
+def q_match_phrases(spark, sf):
+    return _docs(spark, sf).select("doc_id", RARE_PAIRS.match(T.clean_text("text")).alias("match"))
+
+
 # --- A25 / F03 / F04 / A27 on records ------------------------------------------
 @register("records_funnel", f"""WITH {TB.RECORDS_SQL.strip()}
 SELECT 'all' AS stage, 0 AS step, count(*) AS rows FROM records
