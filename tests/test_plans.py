@@ -7,7 +7,7 @@ import pytest
 import __spark_entry__ as E
 from tests.conftest import SF001
 
-SKIP = {"fit_evaluate_multilabel", "stream_keyword_flags"}   # training job / streaming sink
+SKIP = {"fit_evaluate_multilabel", "fit_predictions", "stream_keyword_flags"}   # training jobs / streaming sink
 # range-overlap join of at most four ranges per side, a one-row table (fixed by construction)
 NESTED_LOOP_OK = {"venn_intersections", "op8_adaptive_rules"}
 # at most this many scans of the main table of a query
