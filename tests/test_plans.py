@@ -8,8 +8,8 @@ import __spark_entry__ as E
 from tests.conftest import SF001
 
 SKIP = {"fit_evaluate_multilabel", "fit_predictions", "stream_keyword_flags"}   # training jobs / streaming sink
-# range-overlap join of at most four ranges per side, a one-row table (fixed by construction)
-NESTED_LOOP_OK = {"venn_intersections", "op8_adaptive_rules"}
+# a one-row table (fixed by construction)
+NESTED_LOOP_OK = {"op8_adaptive_rules"}
 # at most this many scans of the main table of a query
 SCANS = {"venn_intersections": ("lineitem", 0), "describe_flags": ("lineitem", 2), "mislabel_report": ("lineitem", 2),
          "screening_funnel": ("lineitem", 2), "records_funnel": ("documents", 2), "clean_budget_et": ("conversations", 0),

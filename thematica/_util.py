@@ -1,7 +1,7 @@
 from __future__ import annotations
 
 from functools import reduce
-from operator import and_, or_
+from operator import or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -16,11 +16,6 @@ def any_of(cols) -> Column:
     return reduce(or_, cols) if cols else F.lit(False)
 
 
-def all_of(cols) -> Column:
-    cols = [col_of(c) for c in cols]
-    return reduce(and_, cols) if cols else F.lit(True)
-
-
 def fbool(c) -> Column:
     """Null-as-false (R ``which()`` semantics, N1)."""
     return F.coalesce(col_of(c), F.lit(False))

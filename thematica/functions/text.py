@@ -126,11 +126,6 @@ def sigmoid(x) -> Column:
     return F.lit(1.0) / (F.lit(1.0) + F.exp(-col_of(x)))
 
 
-def fill_template(fmt: str, *cols) -> Column:
-    """Printf-style template fill."""
-    return F.format_string(fmt, *[col_of(c) for c in cols])
-
-
 def fmt_dollar(x, scale: float = 1.0) -> Column:
     """Currency text, whole dollars (``$1,234``)."""
     return F.concat(F.lit("$"), F.format_number(col_of(x) * F.lit(scale), 0))

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from .._util import fbool
 from ..functions import markers as M
-from ..functions import text as T
 from . import filters as FL
 
 
@@ -95,8 +94,3 @@ def mislabel_report(df: DataFrame, text_cols=("project_title", "short_descriptio
     }
     names = F.filter(F.array(*[F.when(fbool(c), F.lit(k)) for k, c in lists.items()]), lambda x: x.isNotNull())
     return base.select(F.explode(names).alias("report"), *keep)
-
-
-def text_len_flag(col: str = "long_description", cut: int = 50):
-    """Length of a description and a length cut (columns seen in one result)."""
-    return T.char_length(F.col(col)).alias("desc_len"), (T.char_length(F.col(col)) >= cut).alias("desc_good")

@@ -56,18 +56,6 @@ def automate_budget(df: DataFrame, text_col: str = "text", *, blanks=("", "-"),
     return out.drop(*drop)
 
 
-def describe_flag(df: DataFrame, flag: str) -> DataFrame:
-    """N, missing, distinct, number TRUE, mean (one pass)."""
-    c = F.col(flag)
-    return df.agg(
-        F.count(F.lit(1)).alias("n"),
-        F.sum(c.isNull().cast("long")).alias("missing"),
-        F.countDistinct(c).alias("distinct"),
-        F.coalesce(F.sum(c.cast("long")), F.lit(0)).alias("n_true"),
-        F.avg(c.cast("double")).alias("mean"),
-    )
-
-
 def describe_flags(df: DataFrame, flags) -> DataFrame:
     """A18 for several flags in one aggregate, one row a flag."""
     aggs, rows = [], []

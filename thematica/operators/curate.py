@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from .._util import any_of, fbool, stage
 from ..functions import markers as M
 from ..functions import text as T
-from ..functions.lexicon import Lexicon, keyword_match, shipped
+from ..functions.lexicon import keyword_match, shipped
 from ..session import write_table
 from . import filters as FL
 from . import selection
@@ -178,8 +178,7 @@ def prepare_climate(df: DataFrame, lexicons: dict | None = None) -> DataFrame:
     adapt_sig_conf, adapt_pri_conf, mitig_sig_conf, mitig_pri_conf."""
     lx = lexicons or shipped()
     x = df.withColumns({
-        "adapt_sig_pred": F.col("adapt_sig_conf") > 0.5, "adapt_pri_pred": F.col("adapt_pri_conf") > 0.5,
-        "mitig_sig_pred": F.col("mitig_sig_conf") > 0.5, "mitig_pri_pred": F.col("mitig_pri_conf") > 0.5,
+        f"{c}_pred": M.binarize(f"{c}_conf") for c in ("adapt_sig", "adapt_pri", "mitig_sig", "mitig_pri")
     })
     x = stage(x, {"_clean_r": T.clean_text_r(F.col("text"))})
     x = stage(x, {"_tok_r": F.split(F.coalesce(F.col("_clean_r"), F.lit("")), " ")})

@@ -59,13 +59,6 @@ def _jvm_stop_words(lang: str):
     return StopWordsRemover.loadDefaultStopWords(lang)
 
 
-def remove_stop_words(tok, words=None) -> Column:
-    """T10 on a token array (row-local form, for small frames and streams)."""
-    words = stop_words() if words is None else tuple(words)
-    arr = F.array(*[F.lit(w) for w in words])
-    return F.filter(col_of(tok), lambda t: ~F.array_contains(arr, t))
-
-
 def doc_tokens(text, min_len: int = 2) -> Column:
     """T01 -> T11: cleaned tokens of >= min_len chars."""
     tok = T.tokens(T.clean_text(col_of(text)))

@@ -8,10 +8,11 @@ combination holding a third of the rows) costs nothing extra.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .._util import MONEY_SCALE, any_of, fbool, money_sum
+from .ranking import cut_segments
 
 FLAGS = ("principal_gender", "principal_climate", "principal_disability")
 
@@ -102,14 +103,41 @@ def element_ranges(sizes: DataFrame) -> DataFrame:
     return sizes.select(F.inline(parts)).where(F.col("hi") >= F.col("lo"))
 
 
+def intersect_sizes(ranges: DataFrame, pairs, splits: int | None = None) -> DataFrame:
+    """|A n B| of each pair of sets (a, b, size) from range lists (set_name, lo, hi), by one sweep.
+
+    The bounds of all ranges are sorted positions at which a set's count of open ranges rises or falls;
+    between two positions a pair's sets overlap where both counts are above zero.  Ranges of a set may
+    overlap each other.  The order is cut into segments, with counts and next positions handed on
+    by a table of one row a segment, so no task holds all bounds and no pair of ranges is formed.
+    """
+    names = sorted({n for p in pairs for n in p})
+    at = {n: f"_c{i}" for i, n in enumerate(names)}
+    x = ranges.where(F.col("set_name").isin(*names) & (F.col("hi") >= F.col("lo")))
+    ends = F.array(F.struct(F.col("lo").cast("long").alias("pos"), F.lit(1).alias("d")), F.struct((F.col("hi") + 1).cast("long").alias("pos"), F.lit(-1).alias("d")))
+    x = x.select("set_name", F.inline(ends)).groupBy("pos").agg(
+        *[F.sum(F.when(F.col("set_name") == n, F.col("d")).otherwise(0)).alias(c) for n, c in at.items()])
+    x = cut_segments(x, ["pos"], splits)
+    w = Window.partitionBy("_seg").orderBy("pos")
+    so_far = w.rowsBetween(Window.unboundedPreceding, 0)
+    local = x.select("_seg", "pos", F.lead("pos").over(w).alias("_next"), *[F.sum(c).over(so_far).alias(c) for c in at.values()])
+    each = Window.orderBy("_of")  # one row a segment
+    before = each.rowsBetween(Window.unboundedPreceding, -1)
+    seg = x.groupBy(F.col("_seg").alias("_of")).agg(F.min("pos").alias("_first"), *[F.sum(c).alias(f"_t{c}") for c in at.values()])
+    seg = seg.select("_of", F.lead("_first").over(each).alias("_then"), *[F.coalesce(F.sum(f"_t{c}").over(before), F.lit(0)).alias(f"_t{c}") for c in at.values()])
+    j = local.join(F.broadcast(seg), F.col("_seg") == F.col("_of"))  # at most as many rows as segments
+    width = F.coalesce("_next", "_then") - F.col("pos")
+
+    def is_open(n):
+        return F.col(at[n]) + F.col(f"_t{at[n]}") > 0
+
+    sums = j.agg(*[F.coalesce(F.sum(F.when(is_open(a) & is_open(b), width)), F.lit(0)).cast("long").alias(f"s{i}") for i, (a, b) in enumerate(pairs)])
+    return sums.select(F.inline(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"s{i}").alias("size")) for i, (a, b) in enumerate(pairs)])))
+
+
 def intersect_size(ranges: DataFrame, a: str, b: str) -> DataFrame:
-    """|A n B| from range lists (pairwise range overlap, no elements)."""
-    x = ranges.where(F.col("set_name") == a).select(F.col("lo").alias("alo"), F.col("hi").alias("ahi"))
-    y = ranges.where(F.col("set_name") == b).select(F.col("lo").alias("blo"), F.col("hi").alias("bhi"))
-    # both sides are at most four ranges (fixed by construction)
-    j = x.join(F.broadcast(y), (F.col("alo") <= F.col("bhi")) & (F.col("blo") <= F.col("ahi")))
-    ov = F.least("ahi", "bhi") - F.greatest("alo", "blo") + 1
-    return j.agg(F.coalesce(F.sum(ov), F.lit(0)).cast("long").alias("size"))
+    """U05 for one pair of sets: one row (size)."""
+    return intersect_sizes(ranges, [(a, b)]).select("size")
 
 
 BLOCK = 100_000

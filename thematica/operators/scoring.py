@@ -11,7 +11,7 @@ tokens) into one confidence per label, already reduced over chunks with
   ``mapInPandas``: Arrow batches in, the model is loaded once per Python
   worker, rows that do not need the model (screened theme, empty text) are
   never sent to it (C03).
-* Spark ML models: see ``training.MLScorer``.
+* Fitted models: see ``training.fit_multilabel``.
 
 Scoring is done on distinct key tuples only and joined back null-safely
 (C02 + J01), as the reference does to save model calls.
@@ -19,19 +19,21 @@ Scoring is done on distinct key tuples only and joined back null-safely
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 from typing import Callable
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as Ty
 
 from .._util import col_of, stage
-from ..session import workers_import
+from ..session import workers_import, write_table
 from ..functions import markers as M
 from ..functions import text as T
 from ..functions.lexicon import Lexicon
+from .filters import principal_declared
 
 
 class Scorer:
@@ -194,28 +196,86 @@ def score_text(df: DataFrame, scorers: dict, lexicons: dict, *, text_col: str =
     return df.drop(*[c for c in drop if c in df.columns])
 
 
+#: heavy keys looked for, and counters of the sketch that finds them
+HEAVY = 64
+TRACKED = 4096
+
+
+def heavy_keys(rows: DataFrame, keys, tasks: int | None = None) -> list[int]:
+    """Hashes of the keys that hold more rows than half a task's fair share, at most ``HEAVY``.
+
+    One pass with a frequent-items sketch of ``TRACKED`` counters a task: no shuffle of keys, and
+    no count of the keys that are rare."""
+    tasks = tasks or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    x = rows.select(F.xxhash64(*[F.col(f"`{k}`") for k in keys]).alias("h"))
+    got = x.agg(F.expr(f"approx_top_k(h, {HEAVY}, {TRACKED})").alias("top"), F.count(F.lit(1)).alias("n")).head()
+    return sorted(t["item"] for t in got["top"] or () if t["count"] * 2 * tasks > got["n"])
+
+
+def replicate_heavy(scored: DataFrame, keys, heavy: list[int], salt: int, out: str = "_salt") -> DataFrame:
+    """The heavy keys' rows once for each salt, all others once with salt 0."""
+    if not heavy:
+        return scored.withColumn(out, F.lit(0))
+    hot = F.xxhash64(*[F.col(f"`{k}`") for k in keys]).isin(*heavy)
+    return scored.withColumn(out, F.explode(F.when(hot, F.sequence(F.lit(0), F.lit(salt - 1))).otherwise(F.array(F.lit(0)))))
+
+
 def join_back(rows: DataFrame, scored: DataFrame, keys, salt: int = 1) -> DataFrame:
     """Left join of per-key results onto all rows, nulls equal.
 
-    ``eqNullSafe`` keys still plan as a hash/sort-merge equi-join.  ``salt``
-    > 1 spreads a hot key over ``salt`` tasks: each row gets a deterministic
-    salt from a hash of its own columns and the (distinct, small-per-key)
-    scored side is replicated ``salt`` times.  AQE's skew-join split is the
-    default remedy; salting is for clusters where AQE is off.
+    ``eqNullSafe`` keys still plan as a hash/sort-merge equi-join.  AQE's
+    skew-join split is the default remedy for a hot key.  Where AQE is off, ``salt`` > 1 looks for
+    heavy keys first (``heavy_keys``) and deals the rows of those over ``salt`` tasks: only their
+    results are replicated, a cold key's result is never copied.
     """
     keys = list(keys)
+    cond_salt = []
     r = scored
+    if salt > 1:
+        heavy = heavy_keys(rows, keys)
+        r = replicate_heavy(r, keys, heavy, salt, "_k_salt")
+        # rows that equal each other in all columns are dealt by the task they come from
+        dealt = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in rows.columns], F.spark_partition_id()), F.lit(salt)).cast("int")
+        hot = F.xxhash64(*[F.col(f"`{k}`") for k in keys]).isin(*heavy) if heavy else F.lit(False)
+        rows = rows.withColumn("_salt", F.when(hot, dealt).otherwise(0))
+        cond_salt = [rows["_salt"] == r["_k_salt"]]
     for k in keys:
         r = r.withColumnRenamed(k, f"_k_{k}")
-    cond = [rows[k].eqNullSafe(r[f"_k_{k}"]) for k in keys]
-    if salt > 1:
-        rows = rows.withColumn("_salt", F.pmod(F.xxhash64(*[F.col(c) for c in rows.columns]), F.lit(salt)))
-        r = r.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
-        cond.append(rows["_salt"] == r["_salt"])
-        out = rows.join(r, cond, "left").drop(rows["_salt"]).drop(r["_salt"])
-    else:
-        out = rows.join(r, cond, "left")
-    return out.drop(*[f"_k_{k}" for k in keys])
+    out = rows.join(r, [rows[k].eqNullSafe(r[f"_k_{k}"]) for k in keys] + cond_salt, "left")
+    return out.drop(*[f"_k_{k}" for k in keys], "_salt", "_k_salt")
+
+
+class ScoreStore:
+    """C02 between runs: scores kept by the hash of what was scored.
+
+    ``path`` is a folder that all runs share; ``model`` names the scorers and their version, so scores of
+    another model are never reused.  A run scores only the keys that aren't there (anti-join on the hash) and appends
+    them; Parquet's commit makes an aborted run leave nothing.  Runs that append the same keys at once store
+    them twice, and one row a hash is read."""
+
+    def __init__(self, path: str, model: str):
+        self.path = f"{path.rstrip('/')}/model={hashlib.sha256(model.encode()).hexdigest()[:32]}"
+
+    def _known(self, spark) -> DataFrame | None:
+        try:
+            return spark.read.parquet(self.path)
+        except AnalysisException as e:
+            if "PATH_NOT_FOUND" in str(e) or "UNABLE_TO_INFER_SCHEMA" in str(e):
+                return None
+            raise
+
+    def scored(self, distinct: DataFrame, keys, score: Callable[[DataFrame], DataFrame]) -> DataFrame:
+        """``score(distinct)``, of which only the rows unknown so far are scored now."""
+        spark = distinct.sparkSession
+        own = F.sha2(F.to_json(F.struct(*[F.col(k) for k in keys]), {"ignoreNullFields": "false"}), 256)
+        x = write_table(distinct.withColumn("_hash", own), "to_score")
+        known = self._known(spark)
+        new = x if known is None else x.join(known.select("_hash"), "_hash", "left_anti")
+        given = set(distinct.columns)
+        fresh = score(new.drop("_hash")).withColumn("_hash", own)
+        fresh.select("_hash", *[c for c in fresh.columns if c not in given and c != "_hash"]).write.mode("append").parquet(self.path)
+        kept = spark.read.parquet(self.path).dropDuplicates(["_hash"])
+        return x.join(kept, "_hash").drop("_hash")
 
 
 def _wants_dedupe(scorers, dedupe):
@@ -273,7 +333,7 @@ def rescore_declared(df: DataFrame, scorer: Scorer, lexicon: Lexicon, text_cols=
         round_digits: int | None = None) -> DataFrame:
     """Climate re-scoring of rows declared principal on either climate marker."""
     text_cols = [c for c in text_cols if c in df.columns]
-    sl = df.where((F.col("climate_adaptation") == 2) | (F.col("climate_mitigation") == 2))
+    sl = df.where(principal_declared())
     distinct = sl.select(*text_cols).dropDuplicates(text_cols).withColumn("_text", T.build_text(text_cols))
     scored = score_text(distinct, {"climate": scorer}, {"climate": lexicon}, screened_aware=False,
                         max_tokens=max_tokens, themes=["adaptation", "mitigation"],
@@ -282,13 +342,16 @@ def rescore_declared(df: DataFrame, scorer: Scorer, lexicon: Lexicon, text_cols=
 
 
 def predict_budget(df: DataFrame, scorers: dict, lexicons: dict, text_col: str = "text", *,
-                   max_tokens: int = 512, round_digits: int | None = None) -> DataFrame:
-    """Budget lines have no markers; every theme is scored, null text = ''."""
+                   max_tokens: int = 512, round_digits: int | None = None, store: ScoreStore | None = None) -> DataFrame:
+    """Budget lines have no markers; every theme is scored, null text = ''.
+    With a ``store`` only texts that no earlier run has scored are scored."""
     distinct = df.select(text_col).dropDuplicates([text_col])
-    distinct = distinct.withColumn("_text", F.coalesce(F.col(text_col), F.lit("")))
-    scored = score_text(distinct, scorers, lexicons, screened_aware=False, max_tokens=max_tokens,
-                        round_digits=round_digits).drop("_text")
-    return join_back(df, scored, [text_col])
+
+    def score(x):
+        x = x.withColumn("_text", F.coalesce(F.col(text_col), F.lit("")))
+        return score_text(x, scorers, lexicons, screened_aware=False, max_tokens=max_tokens, round_digits=round_digits).drop("_text")
+
+    return join_back(df, store.scored(distinct, [text_col], score) if store else score(distinct), [text_col])
 
 
 def reduce_chunks(chunk_scores: DataFrame, key, labels) -> DataFrame:

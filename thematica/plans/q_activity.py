@@ -6,10 +6,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .._util import money_sum
-from ..session import write_table
 from ..functions import markers as M
 from ..operators import audit, automate, dedupe, filters, overlap, scoring, spending
-from ..operators.ranking import hash_order
 from ..operators.training import sample_n
 from ..sources import tables as TB
 from . import sqlkit as S
@@ -107,12 +105,8 @@ SELECT p.a, p.b, CAST(coalesce(sum(least(x.hi, y.hi) - greatest(x.lo, y.lo) + 1)
 FROM pairs p LEFT JOIN r x ON x.set_name = p.a LEFT JOIN r y ON y.set_name = p.b AND x.lo <= y.hi AND y.lo <= x.hi
 GROUP BY p.a, p.b""")
 def q_venn_intersections(spark, sf):
-    rng = write_table(overlap.element_ranges(_venn(spark, sf)), "ranges")  # a few rows, read six times
-    out = None
-    for a, b in (("gender", "disability"), ("climate", "disability"), ("climate", "gender")):
-        s = overlap.intersect_size(rng, a, b).select(F.lit(a).alias("a"), F.lit(b).alias("b"), "size")
-        out = s if out is None else out.unionByName(s)
-    return out
+    rng = overlap.element_ranges(_venn(spark, sf))
+    return overlap.intersect_sizes(rng, [("gender", "disability"), ("climate", "disability"), ("climate", "gender")])
 
 
 # --- G01: replicate each combination ceil(amount in millions) times ----------

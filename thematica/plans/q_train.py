@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 from ..functions import markers as M
 from ..functions import text as T
 from ..operators import curate, synthetic, training, vectors
-from ..operators import dedupe as D
-from ..operators.ranking import hash_order, rank_within
 from ..session import write_table
 from ..sources import tables as TB
 from . import sqlkit as S

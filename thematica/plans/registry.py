@@ -7,7 +7,7 @@ import importlib
 from . import catalog
 
 # modules that register queries into ``catalog`` when imported
-MODULES = ("q_activity", "q_text", "q_budget", "q_train", "q_stream")
+MODULES = ("q_activity", "q_text", "q_budget", "q_train", "q_source", "q_stream")
 
 
 def _load():
