@@ -8,11 +8,14 @@ return the columns of ``docs``.
 2. quality: documents that the classifier scores below its cut go.
 3. near_dedup: of documents whose 5-word shingle sets are linked by similarities of
    0.8 or more, the one with the smallest id stays.
-4. paragraph_dedup: paragraphs that repeat an earlier one are cut out of the texts.
+4. paragraph_dedup: paragraphs that repeat an earlier one, and passages that repeat inside
+   or across lines, are cut out of the texts.
 5. packing: what is left is tokenised and packed into sequences.
 
 Null texts are in no language and have no quality to score: they go in stage 1.
-An empty table passes through all stages.
+An empty table passes through all stages.  Very long texts are read whole.  Rows
+that repeat an id are one document to stages 3 and 4, ties go to the smaller id,
+and extra columns pass through under any name but the contract's own.
 """
 
 from __future__ import annotations
@@ -20,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from thematica.llm import langid, near_dedup, packing, paragraphs, quality
+from thematica.llm import langid, near_dedup, packing, paragraphs, passages, quality
 from thematica.llm.shared import importable, materialise, table
 
 
@@ -40,7 +43,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def paragraph_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     importable(spark)
-    out = paragraphs.remove_repeated(docs)
+    out = passages.remove_passages(paragraphs.remove_repeated(docs))
     if "n_chars" in out.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out

@@ -12,6 +12,7 @@ import corpus_pipeline
 from tests.conftest import SF001
 from thematica.llm import packing, shared
 from tests.llm.test_near_dedup import brute, paragraphs_brute, shingle_set
+from tests.llm.test_passages import brute as passages_brute
 from thematica.llm.paragraphs import MIN_WORDS
 
 
@@ -35,8 +36,8 @@ def test_stages(spark):
     comp = brute({i: shingle_set(r.text, 5) for i, r in good.items()})
     assert set(near) == {i for i in comp if comp[i] == i}
     gone = paragraphs_brute([(i, r.text) for i, r in near.items()], MIN_WORDS)
-    for i, r in near.items():
-        left = "\n".join(x for p, x in enumerate(r.text.split("\n")) if (i, p) not in gone)
+    lines = [(i, "\n".join(x for p, x in enumerate(r.text.split("\n")) if (i, p) not in gone)) for i, r in near.items()]
+    for (i, _), left in zip(lines, passages_brute(lines), strict=True):
         assert para[i].text == left and para[i].n_chars == len(left)
     tok = Tokenizer.from_file(public_tokenizers.path(packing.TOKENIZER))
     packed = seen[-1].collect()
@@ -64,6 +65,6 @@ def test_nulls_and_empty_table(spark):
     assert x.count() == 0
 
 
-@pytest.mark.parametrize("name", [f"op{n}_" for n in range(1, 11)] + ["pipeline"])
+@pytest.mark.parametrize("name", [f"op{n}_" for n in range(1, 14)] + ["pipeline"])
 def test_registered(name):
     assert sum(q.startswith(name) for q in E.queries()) == 1

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import centroids, langid, near_dedup, packing, paragraphs, pieces, prefix_trie, quality, rules, search, simhash, substrings, warc
+from . import centroids, langid, near_dedup, packing, paragraphs, passages, pieces, prefix_trie, quality, rules, search, simhash, substrings, warc
 from .shared import table
 
 
@@ -17,7 +17,7 @@ def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return paragraphs.remove_repeated(docs, removed="removed")
+    return passages.remove_passages(paragraphs.remove_repeated(docs, removed="removed"), removed="sentences_removed")
 
 
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
