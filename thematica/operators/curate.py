@@ -28,7 +28,7 @@ from .ranking import segment_of, text_splitters
 PROBS = (0.01, 0.1, 0.5, 0.9, 0.99)
 
 
-def percentiles(df: DataFrame, cols, probs=PROBS, method: str = "exact",
+def percentiles(df: DataFrame, cols, probs=PROBS, method: str = "exact", splits: int | None = None,
                 accuracy: int = 100000) -> DataFrame:
     """Percentiles with linear interpolation (R type 7 = Spark
     ``percentile`` = DuckDB ``quantile_cont``), one row per probability with
@@ -37,6 +37,7 @@ def percentiles(df: DataFrame, cols, probs=PROBS, method: str = "exact",
     ``exact``: selection, not ranking (``selection.exact_percentiles``): sketches
     bracket the wanted ranks, rows below and inside are counted, and the last few
     values are counted one by one.  A value that half of all rows hold costs a row a task.
+    ``splits`` is accepted for callers that still name a number of segments; there are none.
     ``approx``: ``percentile_approx`` of all columns in one scan; for sketches that
     are kept and merged see ``selection.quantile_sketches``.
     """

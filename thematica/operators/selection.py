@@ -224,13 +224,26 @@ def first_of_each(df: DataFrame, hashed: str, keys, wanted, part: str | None = N
     w = Window.partitionBy("_p").orderBy("_d").rowsBetween(Window.unboundedPreceding, 0)  # at most 16^DIGITS rows a stratum
     counts = rows.groupBy("_p", F.substring(hashed, 1, step).alias("_d")).agg(F.count(F.lit(1)).alias("_n"))
     counts = counts.withColumn("_to", F.sum("_n").over(w))
-    every = None
+    every, most = None, None
     if callable(wanted):
         counts = counts.withColumn("_k", wanted(F.sum("_n").over(Window.partitionBy("_p"))).cast("long"))
+    elif part is None:  # one stratum: one number
+        most = int(wanted.head()["k"])
+        counts = counts.withColumn("_k", F.lit(most).cast("long"))
     else:  # a small table with a known size: joining it does not deal rows by stratum
-        every = write_table(wanted.select((F.col(part) if part else F.lit(0)).alias("_q"), F.col("k").cast("long").alias("_k")), "wanted")
+        every = write_table(wanted.select(F.col(part).alias("_q"), F.col("k").cast("long").alias("_k")), "wanted")
         counts = counts.join(every, F.col("_p").eqNullSafe(F.col("_q")))
     counts = counts.withColumn("_open", F.lit(""))
+
+    def with_state(state: DataFrame, how: str) -> DataFrame:
+        """``rows`` with their stratum's cut: for one stratum the values themselves, no join."""
+        if part is not None:
+            return rows.join(state, F.col("_p").eqNullSafe(F.col("_q")), how)
+        r = state.head()
+        kind = {"_q": "int", "_k": "long", "_open": "string"}
+        x = rows.withColumns({c: F.lit(r[c] if r else None).cast(t) for c, t in kind.items()})
+        return x if r or how == "left" else x.where(F.lit(False))
+
     depth = 0
     while True:
         cut = counts.where((F.col("_to") >= F.col("_k")) & (F.col("_to") - F.col("_n") < F.col("_k")))
@@ -241,14 +254,14 @@ def first_of_each(df: DataFrame, hashed: str, keys, wanted, part: str | None = N
         state = state.drop("_n")
         if largest <= tied or depth >= 32:
             break
-        inside = rows.join(state, F.col("_p").eqNullSafe(F.col("_q")) & F.col(hashed).startswith(F.col("_open")))
+        inside = with_state(state, "inner").where(F.col(hashed).startswith(F.col("_open")))
         counts = inside.groupBy("_p", "_k", "_open", F.substring(hashed, depth + 1, step).alias("_d")).agg(F.count(F.lit(1)).alias("_n"))
         counts = counts.withColumn("_to", F.sum("_n").over(w))
-    marked = rows.join(state, F.col("_p").eqNullSafe(F.col("_q")), "left")
+    marked = with_state(state, "left")
     open_ = F.substring(hashed, 1, depth)
     at_cut = F.coalesce(open_ == F.col("_open"), F.lit(False))
     # a stratum without a cut wants none of its rows, or more than it has
-    whole = F.lit(False)
+    whole = F.lit(bool(most))
     if every is not None:
         marked = marked.join(every.select(F.col("_q").alias("_r"), F.col("_k").alias("_all")), F.col("_p").eqNullSafe(F.col("_r")), "left")
         whole = F.coalesce(F.col("_all") > 0, F.lit(False))
