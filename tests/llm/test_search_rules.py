@@ -5,6 +5,7 @@ import math
 import random
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -61,18 +62,48 @@ def test_search_is_exact(spark, monkeypatch, shard_bytes, block):
         assert got[q] == want[q], q
 
 
-def test_blocks_are_skipped(spark, monkeypatch):
-    """A rare term lets block maxima pass over most postings of a common one."""
-    moves = []
-    rows = [(i, "common " * (1 + i % 3) + ("rare " * 5 if i % 500 == 7 else "")) for i in range(4000)]
+def _local(rows, mean=2.0):
     hasher = shared.WordHasher()
     row = dict(zip([n for n, _ in search._INDEX], search._shard([i for i, _ in rows], [hasher(t) for _, t in rows])))
-    shard = search.Shard(row)
-    real = search._Cursor.move
-    monkeypatch.setattr(search._Cursor, "move", lambda self, to: (moves.append(to), real(self, to))[1])
-    terms = [(int(hasher("common")[0]), 0.01), (int(hasher("rare")[0]), 5.0)]
-    best = search.block_max_wand(shard, terms, 2.0, 3)
-    assert [d % 500 for _, d in best] == [7, 7, 7] and len(moves) < 2000
+    return search.Shard(row, mean), hasher
+
+
+def test_blocks_are_skipped():
+    """A rare term's documents reach a floor that a common term's blocks can't: its postings aren't read."""
+    shard, hasher = _local([(i, "common " * (1 + i % 3) + ("rare " * 5 if i % 500 == 7 else "")) for i in range(4000)])
+    found = shard.places(hasher.hash_words([b"common", b"rare"]))
+    best = search.block_max_wand(shard, found, np.array([0.01, 5.0]), 3)
+    assert [d % 500 for _, d in best] == [7, 7, 7] and shard.read < 2000
+
+
+def test_block_maxima_pass_over_blocks():
+    """Documents that only their list's maximum would save are passed over by their block's."""
+    rows = [(i, "common " * (40 if i == 3000 else 1) + ("rare" if i < 500 else "")) for i in range(4000)]
+    shard, hasher = _local(rows, 1.2)
+    found = shard.places(hasher.hash_words([b"common", b"rare"]))
+    bounds = shard.block_bounds(found[:1], np.array([1.0]))
+    assert bounds[100] < bounds[3000] and (bounds + 1e-9 >= shard.part[slice(*shard.starts[found[0]:found[0] + 2])]).all()
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_floors_lose_nothing(seed):
+    """With any floor that k documents reach, the documents at or above it are the same as without one."""
+    rnd = random.Random(seed)
+    weights = [1 / (i + 1) for i in range(400)]
+    rows = [(i, " ".join(rnd.choices([f"w{j}" for j in range(400)], weights, k=rnd.choice([5, 60, 400])))) for i in range(900)]
+    rows += [(900 + i, rows[5][1]) for i in range(20)]  # ties
+    shard, hasher = _local(rows, 150.0)
+    for _, text in rows[:30]:
+        terms = np.unique(hasher(text))
+        found = shard.places(terms)
+        idf = np.log(1 + 920 / (1.0 + np.diff(shard.starts)[found]))
+        whole = np.zeros(shard.size)
+        shard.add(found, idf, whole)
+        want = sorted((-round(float(v), search.DIGITS), i) for i, v in enumerate(whole) if v > 0)
+        top = search.block_max_wand(shard, found, idf, 10)
+        assert [(-s, d) for s, d in top] == want[:10]
+        for floor in (top[-1][0], top[-1][0] * 0.7, top[-1][0] * 0.2):
+            assert search.block_max_wand(shard, found, idf, 10, floor) == top
 
 
 def test_search_edges(spark):
