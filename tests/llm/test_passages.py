@@ -1,6 +1,7 @@
 """Repeated passages inside and across lines, against brute force."""
 
 import random
+import re
 
 import pytest
 
@@ -21,22 +22,28 @@ def sentence(n=None):
 
 def brute(rows):
     """Texts in order of id and row, each judged by what stands earlier."""
+    hasher = shared.WordHasher()
     seen, out = set(), {}
     for at in sorted(range(len(rows)), key=lambda i: (rows[i][0] is not None, rows[i][0] or 0, i)):
         t = rows[at][1]
         if t is None:
             out[at] = None
             continue
-        marked, place = set(), 0
-        for line in passages.sentences(t):
-            for s in line:
-                w = s.lower().split()
-                if len(w) >= 5:
-                    if tuple(w) in seen:
-                        marked.add(place)
-                    seen.add(tuple(w))
-                place += 1
-        out[at] = passages.without_passages(t, marked)[0]
+        w, marked = [x.lower() for x in re.findall(r"[^ \t\n\x0b\x0c\r]+", t)], []
+        _, starts, stops = passages.stretches(t, hasher)
+        for a, b in zip(starts.tolist(), stops.tolist(), strict=True):
+            if tuple(w[a:b]) in seen:
+                marked.append((a, b))
+            seen.add(tuple(w[a:b]))
+        covered = sorted({p for a, b in marked for p in range(a, b)})
+        gone, group = [], []
+        for p in [*covered, 1 << 60]:
+            if group and p != group[-1] + 1:
+                if len(group) >= 30:
+                    gone.append((group[0], group[-1] + 1))
+                group = []
+            group.append(p)
+        out[at] = passages.without_words(t, gone)
     return [out[i] for i in range(len(rows))]
 
 
@@ -51,11 +58,12 @@ PASSAGE = " ".join(sentence(9) for _ in range(7))
 
 def test_passage_inside_lines_and_over_short_lines(spark):
     before, after = sentence(12), sentence(12)
+    above, below = sentence(12), sentence(12)
     rows = [(1, f"{sentence()} {PASSAGE} {sentence()}"), (2, f"{before} {PASSAGE} {after}"),
-            (3, f"{before}x\n" + PASSAGE.replace(". ", ".\n").replace("! ", "!\n").replace("? ", "?\n") + f"\n{after}x"), (4, f"{PASSAGE}"), (5, sentence(40))]
+            (3, f"{above}x\n" + PASSAGE.replace(". ", ".\n").replace("! ", "!\n").replace("? ", "?\n") + f"\n{below}x"), (4, f"{PASSAGE}"), (5, sentence(40))]
     got, cut = run(spark, rows)
-    assert got == [rows[0][1], f"{before} {after}", f"{before}x\n{after}x", "", rows[4][1]]
-    assert cut == [0, 7, 7, 7, 0]
+    assert got == [rows[0][1], f"{before} {after}", f"{above}x\n{below}x", "", rows[4][1]]
+    assert cut == [0, 63, 63, 63, 0]
 
 
 def test_sentences_that_repeat_on_their_own_stay(spark):
@@ -85,7 +93,57 @@ def test_all_rows_and_columns_stay(spark):
     assert passages.remove_passages(df.limit(0)).count() == 0
 
 
+def words(t):
+    return (t or "").split()
+
+
+def test_long_shared_runs_go_wherever_they_begin(spark):
+    """Runs of 60 words and more, cut out of the middle of sentences: what is left of any two texts shares no 50 words."""
+    prose = [sentence(rnd.randint(2, 40)) for _ in range(300)]
+    flat = " ".join(prose).split()
+    rows = []
+    for i in range(80):
+        own = [rnd.choice(VOCAB) + str(i) for _ in range(rnd.randint(0, 90))]
+        at = rnd.randrange(len(flat) // 300) * 300 + rnd.randint(0, 40)
+        k = rnd.randint(0, len(own))
+        rows.append((i, " ".join(own[:k] + flat[at:at + rnd.randint(60, 250)] + own[k:])))
+    got, cut = run(spark, rows)
+    assert sum(1 for n in cut if n) > 30
+    seen = {}
+    for i, t in enumerate(got):
+        w = words(t)
+        for p in range(len(w) - 49):
+            assert seen.setdefault(tuple(w[p:p + 50]), i) == i
+    # nothing but shared words goes: each text keeps its own words, in order
+    for (i, t), left in zip(rows, got, strict=True):
+        mine = re.compile(rf"[a-j]+{i}$")
+        assert [w for w in words(t) if mine.match(w)] == [w for w in words(left) if mine.match(w)]
+
+
+def test_each_word_cut_stands_earlier(spark):
+    """Texts of few distinct words: of every 12 words that lose one, all stand in an earlier text or place."""
+    few = VOCAB[:6]
+    rows = [(i, " ".join(rnd.choice(few) + rnd.choice(["", "", "."]) for _ in range(rnd.randint(0, 200)))) for i in range(60)]
+    rows += [(100, "na " * 300), (101, "na " * 300), (102, "da du " * 80 + "x"), (103, "y " + "da du " * 80)]
+    got, _ = run(spark, rows)
+    assert got == brute(rows)
+
+
+def test_one_passage_in_a_third_of_the_rows(spark):
+    rows = [(i, f"{sentence(15)} {PASSAGE if i % 3 == 0 else sentence(20)} {sentence(15)}") for i in range(600)]
+    got, cut = run(spark, rows)
+    assert got == brute(rows)
+    assert [i for i, n in enumerate(cut) if n] == [i for i in range(3, 600, 3)]
+
+
 def test_cutting_is_lossless_elsewhere():
     t = "A b c. D e!  f g? \n\n 3.14 h... i.j k.\n"
-    assert "\n".join("".join(x) for x in passages.sentences(t)) == t
-    assert passages.without_passages(t, range(99)) == (t, 0)
+    assert passages.without_words(t, []) == t
+    assert passages.without_words(t, [(0, 3)]) == "D e!  f g? \n\n 3.14 h... i.j k.\n"
+    assert passages.without_words(t, [(3, 5)]) == "A b c. f g? \n\n 3.14 h... i.j k.\n"
+    assert passages.without_words("a b\nc d\ne f", [(2, 4)]) == "a b\ne f"
+    assert passages.without_words("a b\nc d\ne f", [(1, 3)]) == "a\nd\ne f"
+    assert passages.without_words("a b\nc d\ne f", [(4, 6)]) == "a b\nc d"
+    assert passages.without_words("a b\nc d\ne f", [(0, 1), (2, 3), (5, 6)]) == "b\nd\ne"
+    assert passages.without_words("a b", [(0, 2)]) == ""
+    assert passages.runs([(0, 12), (40, 60), (12, 31), (50, 69)]) == [(0, 31)]

@@ -1,131 +1,167 @@
 """Passages that repeat across documents, wherever they lie in a line.
 
 ``paragraphs`` judges lines; a passage laid into a longer line, or over several
-short ones, isn't one.  Here units are sentences: a line is cut after ``.``, ``!`` or ``?`` before a
-space, so the cuts lie where the content puts them, and a passage has the same ones in
-each text it stands in.  A sentence of ``SENTENCE_WORDS`` words or more that occurs earlier (lower-case
-words, in order of document, row and place) is marked; a run of marked sentences with
-``MIN_WORDS`` words or more in one text, over lines and over shorter sentences between them, is a
-repeated passage and is cut out.  The first occurrence of each sentence always stays, and
-a sentence that repeats on its own, such as a license line, is left alone.
+short ones, isn't one.  Here a text is a sequence of words (A-Z lower-cased), cut where its content says so:
+at line ends, after a word that ends in ``.``, ``!`` or ``?``, and elsewhere before each word whose hash, taken
+together with the word before, is the least of the ``RADIUS`` places on both sides.  The cuts of a passage are
+therefore the same in each text it stands in, but for the first and last few words where it begins or ends inside
+a sentence.  From each cut a stretch runs to the first cut ``STRETCH`` words on or further; a stretch that
+occurs earlier (in order of document, row and place) is marked.  Words under marked stretches that lie together
+make a run, over lines too; a run of ``MIN_WORDS`` words or more is a repeated passage and is cut out.  The first
+occurrence of each stretch always stays, and a sentence that repeats on its own, such as a license line, is left
+alone.  Every word that goes stands in a stretch of ``STRETCH`` words or more that occurs earlier, word for word.
 
 Keys are 128-bit hashes.  Keys that occur once are dropped by a count that collapses within each task,
-before places are compared; only repeated sentences are joined.  A row is known by a number of its own.
+before places are compared.  The first of each key is a partial aggregate too, and the others are those that
+aren't a first: no join has the key itself as its key.  A row is known by a number of its own.
 
 Defined results: null and empty texts stay as they are; rows with a null id come first in the order,
-rows that repeat an id or a whole text are texts of their own, in the order they are written; sentences are
-taken from whole texts, of any length; an empty table gives an empty result; all other columns are unchanged,
-whatever their names (an internal column is added under a name that the table lacks).
+rows that repeat an id or a whole text are texts of their own, in the order they are written; stretches are
+taken from whole texts, of any length; a copy whose lines break elsewhere matches between the breaks only; a stretch
+of one or two words over and over has no cut inside; an empty table gives an empty result; all other columns are
+unchanged, whatever their names (an internal column is added under a name that the table lacks).
 """
 
 from __future__ import annotations
 
 import re
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import materialise, only, pick, texts
+from .shared import WordHasher, materialise, mix64, only, pick, texts
 
-SENTENCE_WORDS = 5
+RADIUS = 4
+STRETCH = 12
 MIN_WORDS = 30
-_CUT = re.compile(r"(?<=[.!?])(?=[ \t])")
-
-
-def sentences(text: str) -> list[list[str]]:
-    """The sentences of each line; joined they give the line again."""
-    return [_CUT.split(line) for line in text.split("\n")]
+_WORD = re.compile(r"[^ \t\n\x0b\x0c\r]+")
+
+
+def cuts(hashes: np.ndarray, ends: np.ndarray, radius: int = RADIUS) -> np.ndarray:
+    """The places, 0 to n, where a text of n words is cut.  ``ends`` tells of each word whether a line or a
+    sentence ends with it."""
+    n = len(hashes)
+    forced = np.r_[True, ends[:-1]]
+    rank = np.full(n + 2 * radius, np.iinfo(np.uint64).max, np.uint64)
+    rank[radius + 1:radius + n] = mix64(mix64(hashes[:-1]) + hashes[1:])
+    rank[radius:radius + n][forced] = 0
+    own = rank[radius:radius + n]
+    least = np.ones(n, bool)
+    for j in range(1, radius + 1):
+        least &= (own < rank[radius - j:radius - j + n]) & (own <= rank[radius + j:radius + j + n])
+    return np.r_[np.flatnonzero(forced | least), n]
+
+
+def stretches(text: str | None, hasher: WordHasher) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hashes, starts, stops): a text's words, and where its stretches begin and end."""
+    words: list[bytes] = []
+    ends: list[bool] = []
+    for line in (text or "").split("\n"):
+        w = hasher.words(line)
+        if w:
+            words += w
+            ends += [x[-1] in b".!?" for x in w]
+            ends[-1] = True
+    if not words:
+        return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
+    h = hasher.hash_words(words)
+    at = cuts(h, np.array(ends))
+    to = np.searchsorted(at, at[:-1] + STRETCH)
+    whole = to < len(at)
+    return h, at[:-1][whole], at[to[whole]]
 
 
 def keyed(df: DataFrame, row: str, doc_id: str, text: str) -> DataFrame:
-    """(a, b, id, row, place) of every sentence of enough words."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("id", pa.int64()), ("row", pa.int64()), ("place", pa.int32())])
+    """(a, b, id, row, place, stop) of every stretch."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("id", pa.int64()), ("row", pa.int64()), ("place", pa.int32()),
+                        ("stop", pa.int32())])
 
     def run(batches):
         import xxhash
 
-        h = xxhash.xxh3_128_digest
+        digest = xxhash.xxh3_128_digest
+        hasher = WordHasher()
         for batch in batches:
-            digests, ids, rows, places = [], [], [], []
+            digests, ids, rows, places, stops, sizes = [], [], [], [], [], []
             for r, i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts(batch, "_text"), strict=True):
-                place = -1
-                for line in sentences(t or ""):
-                    for s in line:
-                        place += 1
-                        words = s.encode("utf-8", "surrogatepass").lower().split()
-                        if len(words) >= SENTENCE_WORDS:
-                            digests.append(h(b" ".join(words)))
-                            ids.append(i)
-                            rows.append(r)
-                            places.append(place)
+                h, starts, ends = stretches(t, hasher)
+                raw = h.tobytes()
+                digests += [digest(raw[s:e]) for s, e in zip((8 * starts).tolist(), (8 * ends).tolist(), strict=True)]
+                places.append(starts)
+                stops.append(ends)
+                ids.append(i)
+                rows.append(r)
+                sizes.append(len(starts))
+            if not digests:
+                continue
             ab = pa.Array.from_buffers(pa.int64(), 2 * len(digests), [None, pa.py_buffer(b"".join(digests))]).to_numpy()
-            yield pa.record_batch([pa.array(ab[::2].copy()), pa.array(ab[1::2].copy()), pa.array(ids, pa.int64()), pa.array(rows, pa.int64()),
-                                   pa.array(places, pa.int32())], schema=schema)
+            of = pa.array(np.repeat(np.arange(len(sizes)), sizes))
+            yield pa.record_batch([pa.array(ab[::2].copy()), pa.array(ab[1::2].copy()), pa.array(ids, pa.int64()).take(of),
+                                   pa.array(rows, pa.int64()).take(of), pa.array(np.concatenate(places).astype(np.int32)),
+                                   pa.array(np.concatenate(stops).astype(np.int32))], schema=schema)
 
     x = pick(df, _row=row, _id=doc_id, _text=text).withColumn("_id", F.col("_id").cast("long"))
-    return x.mapInArrow(run, "a long, b long, id long, row long, place int")
+    return x.mapInArrow(run, "a long, b long, id long, row long, place int, stop int")
 
 
 def repeated(df: DataFrame, row: str, doc_id: str, text: str) -> DataFrame:
-    """(row, places): the sentences of each row that occur earlier."""
-    every = materialise(keyed(df, row, doc_id, text), "sentences")
+    """(row, places): the stretches (place, stop) of each row that occur earlier."""
+    every = materialise(keyed(df, row, doc_id, text), "stretches")
     often = materialise(every.groupBy(F.col("a").alias("again")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("again"), "again")
     some = materialise(only(every, "a", often, "again"), "repeated")
-    first = some.groupBy(F.col("a").alias("_a"), F.col("b").alias("_b")).agg(F.min(F.struct("id", "row", "place")).alias("f"), F.count(F.lit(1)).alias("n"))
-    later = some.join(first.where("n > 1"), (F.col("a") == F.col("_a")) & (F.col("b") == F.col("_b")))
-    later = later.where(~((F.col("row") == F.col("f.row")) & (F.col("place") == F.col("f.place"))))
-    return later.groupBy("row").agg(F.collect_list("place").alias("places"))  # at most the sentences of one text
-
-
-def without_passages(text: str, marked, least: int = MIN_WORDS) -> tuple[str, int]:
-    """``text`` without its runs of marked sentences that have ``least`` words, and the number of sentences cut."""
-    marked = set(marked)
-    lines = sentences(text)
-    flat = [s for line in lines for s in line]
-    gone: set[int] = set()
-    i = 0
-    while i < len(flat):
-        if i not in marked:
-            i += 1
-            continue
-        run, last, words, pending = i, i, 0, 0
-        while i < len(flat):
-            n = len(flat[i].encode("utf-8", "surrogatepass").split())
-            if i in marked:
-                words, pending, last = words + pending + n, 0, i
-            elif n < SENTENCE_WORDS:
-                pending += n
-            else:
-                break
-            i += 1
-        if words >= least:
-            gone.update(range(run, last + 1))
+    first = some.groupBy("a", "b").agg(F.min(F.struct("id", "row", "place")).alias("f")).select(F.col("f.row").alias("_row"), F.col("f.place").alias("_place"))
+    later = some.join(first, (F.col("row") == F.col("_row")) & (F.col("place") == F.col("_place")), "left_anti")
+    return later.groupBy("row").agg(F.collect_list(F.struct("place", "stop")).alias("places"))  # at most the stretches of one text
+
+
+def runs(marked, least: int = MIN_WORDS) -> list[tuple[int, int]]:
+    """The runs of ``least`` words or more that marked stretches (place, stop) cover together."""
+    out: list[list[int]] = []
+    for place, stop in sorted(marked):
+        if out and place <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], stop)
+        else:
+            out.append([place, stop])
+    return [(a, b) for a, b in out if b - a >= least]
+
+
+def without_words(text: str, gone: list[tuple[int, int]]) -> str:
+    """``text`` without the given runs of words, in order; a line that loses all its words goes."""
     if not gone:
-        return text, 0
-    out, place = [], 0
-    for line in lines:
-        kept = [s for j, s in enumerate(line, place) if j not in gone]
-        cut = len(kept) < len(line)
-        place += len(line)
-        rest = "".join(kept)
-        if cut:
-            rest = rest.strip(" \t")
-        if rest or not cut:
-            out.append(rest)
-    return "\n".join(out), len(gone)
+        return text
+    at = [m.span() for m in _WORD.finditer(text)]
+    out, done = "", 0
+    parts = []
+    for a, b in gone:
+        parts.append(text[done:at[a][0]])
+        done = at[b - 1][1]
+        parts.append("\n" if "\n" in text[at[a][0]:done] else " ")
+    out = parts[0].rstrip(" \t")
+    for i in range(1, len(parts), 2):
+        rest = (parts[i + 1] if i + 1 < len(parts) else text[done:]).lstrip(" \t")
+        if i + 1 < len(parts):
+            rest = rest.rstrip(" \t")
+        if not out or out.endswith("\n"):
+            out = out[:-1] if out and not rest else out + (rest[1:] if rest.startswith("\n") else rest)
+        else:
+            out += rest if not rest or rest.startswith("\n") else parts[i] + rest
+    return out
 
 
 @F.pandas_udf(T.StructType([T.StructField("text", T.StringType()), T.StructField("n", T.IntegerType())]))
 def _without(text: pd.Series, places: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([without_passages(t, p) for t, p in zip(text, places, strict=True)], columns=["text", "n"])
+    gone = [runs([(x["place"], x["stop"]) for x in p]) for p in places]
+    return pd.DataFrame({"text": [without_words(t, g) for t, g in zip(text, gone, strict=True)],
+                         "n": [sum(b - a for a, b in g) for g in gone]})
 
 
 def remove_passages(df: DataFrame, doc_id: str = "doc_id", text: str = "text", removed: str | None = None) -> DataFrame:
     """``df`` with repeated passages cut out of its texts; with ``removed`` a column of that name has the number of
-    sentences cut."""
+    words cut."""
     row = "_row"
     while row in df.columns:
         row += "_"

@@ -17,7 +17,7 @@ def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return passages.remove_passages(paragraphs.remove_repeated(docs, removed="removed"), removed="sentences_removed")
+    return passages.remove_passages(paragraphs.remove_repeated(docs, removed="removed"), removed="words_removed")
 
 
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
