@@ -22,7 +22,6 @@ def sentence(n=None):
 
 def brute(rows):
     """Texts in order of id and row, each judged by what stands earlier."""
-    hasher = shared.WordHasher()
     seen, out = set(), {}
     for at in sorted(range(len(rows)), key=lambda i: (rows[i][0] is not None, rows[i][0] or 0, i)):
         t = rows[at][1]
@@ -30,7 +29,7 @@ def brute(rows):
             out[at] = None
             continue
         w, marked = [x.lower() for x in re.findall(r"[^ \t\n\x0b\x0c\r]+", t)], []
-        _, starts, stops = passages.stretches(t, hasher)
+        _, _, starts, stops, _ = passages.stretches([t])
         for a, b in zip(starts.tolist(), stops.tolist(), strict=True):
             if tuple(w[a:b]) in seen:
                 marked.append((a, b))
@@ -98,7 +97,7 @@ def words(t):
 
 
 def test_long_shared_runs_go_wherever_they_begin(spark):
-    """Runs of 60 words and more, cut out of the middle of sentences: what is left of any two texts shares no 50 words."""
+    """Runs of 60 words and more, cut out of the middle of sentences: what is left of any two texts shares no 60 words."""
     prose = [sentence(rnd.randint(2, 40)) for _ in range(300)]
     flat = " ".join(prose).split()
     rows = []
@@ -112,8 +111,8 @@ def test_long_shared_runs_go_wherever_they_begin(spark):
     seen = {}
     for i, t in enumerate(got):
         w = words(t)
-        for p in range(len(w) - 49):
-            assert seen.setdefault(tuple(w[p:p + 50]), i) == i
+        for p in range(len(w) - 59):
+            assert seen.setdefault(tuple(w[p:p + 60]), i) == i
     # nothing but shared words goes: each text keeps its own words, in order
     for (i, t), left in zip(rows, got, strict=True):
         mine = re.compile(rf"[a-j]+{i}$")
@@ -147,3 +146,15 @@ def test_cutting_is_lossless_elsewhere():
     assert passages.without_words("a b\nc d\ne f", [(0, 1), (2, 3), (5, 6)]) == "b\nd\ne"
     assert passages.without_words("a b", [(0, 2)]) == ""
     assert passages.runs([(0, 12), (40, 60), (12, 31), (50, 69)]) == [(0, 31)]
+
+
+def test_stretches_of_a_block_are_those_of_its_texts(monkeypatch):
+    block = [" ".join(sentence() for _ in range(rnd.randint(0, 30))) for _ in range(50)] + ["", " \n ", "\u00c9t\u00e9 " * 50, "a" * 5000 + " b" * 40]
+    one = [passages.stretches([t]) for t in block]
+    for size in (passages.BLOCK_BYTES, 100):
+        monkeypatch.setattr(passages, "BLOCK_BYTES", size)
+        h, of, starts, stops, first = passages.stretches(block)
+        for i, (h1, _, s1, e1, f1) in enumerate(one):
+            assert (h[first[i]:first[i + 1]] == h1).all() and len(h1) == f1[1] == len(block[i].split())
+            assert (starts[of == i] - first[i] == s1).all() and (stops[of == i] - first[i] == e1).all()
+    assert len(set(h.tolist())) == len({w.encode().lower() for t in block for w in t.split()})
