@@ -9,8 +9,8 @@ a sentence.  From each cut a stretch runs to the first cut ``STRETCH`` words on
 line or sentence one runs back to the last cut as far before; a stretch that occurs earlier (in order of document, row and place) is marked.  Words under marked stretches that lie together
 make a run, over lines too; a run of ``MIN_WORDS`` words or more is a repeated passage and is cut out.  The first
 occurrence of each stretch always stays, and a sentence that repeats on its own, such as a license line, is left
-alone.  Shared runs taken from the middle of sentences are cut in 98 % of cases at 51 words and in all cases tested
-at 60 (1,500 each); a few words at either end may stay.  Every word that goes stands in a stretch of ``STRETCH`` words or more that occurs earlier, word for word.
+alone.  Of 1,500 shared runs taken from the middle of sentences, 95.3 % were cut at 51 words and 96.8 % at 60; all
+that were missed at 60 come from texts of a few words over and over.  A few words at either end may stay.  Every word that goes stands in a stretch of ``STRETCH`` words or more that occurs earlier, word for word.
 
 Keys are 128-bit hashes.  Keys that occur once are dropped by a count that collapses within each task,
 before places are compared.  The first of each key is a partial aggregate too, and the others are those that
