@@ -1,12 +1,16 @@
 """Roll-ups of published result tables, training and evaluation on hand-made rows."""
 
+import hashlib
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from tests.test_aggregates import VENN
 from thematica.functions.lexicon import Lexicon
 from thematica.operators import budgets, overlap, training
+from thematica.session import write_table
 
 # FIXED VALUES: published amounts by year and flag combination (gender, climate, disability).
 BY_YEAR = [
@@ -143,3 +147,46 @@ def test_climate_publication(spark):
         n.setdefault(k, [0, 0])[r.split == "test"] += 1
     assert sum(map(sum, n.values())) == 540 and len(n) == 6
     assert all(t == round(0.2 * (t + k)) for k, t in n.values())
+
+
+def test_multilabel_fit_takes_blocks_of_rows_and_steps_by_the_mean_gradient(spark, monkeypatch):
+    """One written row a block of rows; probabilities as of the same steps taken row by row."""
+    rows = [(["x y", "y z z", None, "", "x x w v", "z"][i % 6], [float(i % 2), float(i % 5 == 0)]) for i in range(240)]
+    df = spark.createDataFrame(rows, "text string, labels array<double>").repartition(2)
+    wrote = {}
+
+    def write(x, name):
+        t = write_table(x, name)
+        wrote[name] = t.count()
+        return t
+
+    monkeypatch.setattr(training, "write_table", write)
+    model = training.fit_multilabel(df, num_features=64, max_iter=5)
+    assert max(wrote.values()) < 60  # not a row a text
+    buckets = {w: int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % 64 for w in "vwxyz"}
+    tf = np.zeros((240, 64))
+    for i, (t, _) in enumerate(rows):
+        for w in (t or "").split():
+            tf[i, buckets[w]] += 1
+    v = tf * (np.log(241 / (1 + (tf > 0).sum(axis=0))) + 1)
+    v /= np.maximum(np.sqrt((v * v).sum(axis=1, keepdims=True)), 1e-300)
+    y = np.array([r[1] for r in rows])
+    scale = np.where(y == 1, (y == 0).sum(axis=0) / (y == 1).sum(axis=0), 1)
+    w, b = np.zeros((64, 2)), np.zeros(2)
+    for _ in range(5):
+        r = (1 / (1 + np.exp(-(v @ w + b))) - y) * scale
+        w, b = w - 4 * v.T @ r / 240, b - 4 * r.sum(axis=0) / 240
+    want = {t: p for (t, _), p in zip(rows, 1 / (1 + np.exp(-(v @ w + b))))}
+    got = model.predict(df).collect()
+    assert len(got) == 240 and all(np.allclose(r.predictions, want[r.text], atol=1e-9) for r in got)
+
+
+def test_words_are_counted_in_pieces(monkeypatch):
+    monkeypatch.setattr(training, "HELD_WORDS", 4)
+    rows = [[1, 1, 2], None, [], [3], [5] * 9, [], [2, 1], [1]]
+    got = []
+    for at, sizes, f, n in training._counted(pa.array([None, *rows], pa.list_(pa.int32())).slice(1), 8):
+        assert at == len(got)
+        first = np.r_[0, np.cumsum(sizes)]
+        got += [dict(zip(f[a:b].tolist(), n[a:b].tolist(), strict=True)) for a, b in zip(first[:-1], first[1:], strict=True)]
+    assert got == [{1: 2, 2: 1}, {}, {}, {3: 1}, {5: 9}, {}, {1: 1, 2: 1}, {1: 1}]

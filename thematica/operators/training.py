@@ -10,8 +10,8 @@ pass and one aggregate for all labels.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -155,6 +155,8 @@ def publish_curated(df: DataFrame, label="label", text: str = "text", remove: st
 
 #: buckets of the hashed vocabulary: with the labels it bounds a model's size
 FEATURES = 1 << 16
+#: words whose rows a task handles at once
+HELD_WORDS = 1 << 18
 
 
 def hashed_words(text, num_features: int = FEATURES) -> Column:
@@ -165,25 +167,52 @@ def hashed_words(text, num_features: int = FEATURES) -> Column:
     return F.transform(words, lambda t: F.pmod(F.conv(F.substring(F.md5(t), 1, 8), 16, 10).cast("long"), F.lit(num_features)).cast("int"))
 
 
-def _vector(buckets, idf):
-    """Buckets and L2-normalised tf-idf of one row."""
-    f, n = np.unique(np.asarray(buckets, np.int64), return_counts=True)
+def _counted(buckets, num_features: int):
+    """(start, sizes, f, n) for pieces of a column of rows' buckets, of about ``HELD_WORDS`` words or one longer row:
+    from which row, each row's number of distinct buckets, and these with their counts, laid end to end."""
+    sizes, words = pc.fill_null(pc.list_value_length(buckets), 0).to_numpy(), buckets.flatten().to_numpy(zero_copy_only=False)
+    ends = np.cumsum(sizes, dtype=np.int64)
+    at = done = 0
+    while at < len(sizes):
+        to = max(at + 1, int(np.searchsorted(ends, done + HELD_WORDS, "right")))
+        row = np.repeat(np.arange(to - at), sizes[at:to])
+        key, n = np.unique(row * num_features + words[done:ends[to - 1]], return_counts=True)
+        row, f = np.divmod(key, num_features)
+        yield at, np.bincount(row, minlength=to - at), f, n
+        at, done = to, ends[to - 1]
+
+
+def _vectors(sizes, f, n, idf) -> tuple[np.ndarray, np.ndarray]:
+    """(row, v): the row of each entry and its L2-normalised tf-idf."""
+    row = np.repeat(np.arange(len(sizes)), sizes)
     v = n * idf[f]
-    return f, v / np.sqrt((v * v).sum()) if len(f) else v
+    return row, v / np.sqrt(np.bincount(row, v * v, len(sizes)))[row]
 
 
-def _gradient(batches, weights, bias, scale):
+def _chances(rows, row, f, v, weights, bias) -> np.ndarray:
+    """Each row's probability of each label."""
+    z = np.stack([np.bincount(row, v * w[f], rows) for w in weights.T], axis=1) + bias
+    return 1.0 / (1.0 + np.exp(-z))
+
+
+def _read(blocks):
+    """(sizes, f, n, y) of each written block."""
+    for b in blocks:
+        for i in range(b.num_rows):
+            sizes, f, n = (np.frombuffer(b.column(j)[i].as_buffer(), np.int32) for j in range(3))
+            yield sizes, f, n, b.column(3)[i].values.flatten().to_numpy(zero_copy_only=False).reshape(len(sizes), -1)
+
+
+def _gradient(blocks, weights, bias, scale, idf):
     """Sums over a task's rows of each label's gradient: (bucket, g) of the buckets met, -1 for the intercept."""
     g, met, b = np.zeros_like(weights), np.zeros(len(weights), bool), np.zeros(len(bias))
-    for batch in batches:
-        for f, v, y in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-            f, v, y = np.asarray(f, np.int64), np.asarray(v), np.asarray(y)
-            r = 1.0 / (1.0 + np.exp(-(v @ weights[f] + bias))) - y if len(f) else 1.0 / (1.0 + np.exp(-bias)) - y
-            r = r * np.where(y == 1.0, scale, 1.0)
-            b += r
-            if len(f):
-                g[f] += v[:, None] * r
-                met[f] = True
+    for sizes, f, n, y in _read(blocks):
+        row, v = _vectors(sizes, f, n, idf)
+        r = (_chances(len(sizes), row, f, v, weights, bias) - y) * np.where(y == 1.0, scale, 1.0)
+        b += r.sum(axis=0)
+        for k in range(len(bias)):
+            g[:, k] += np.bincount(f, v * r[row, k], len(weights))
+        met[f] = True
     at = np.flatnonzero(met)
     yield pa.RecordBatch.from_arrays(
         [pa.array(np.append(at, -1).astype(np.int32)), *[pa.array(np.append(g[at, k], b[k])) for k in range(len(bias))]],
@@ -199,33 +228,41 @@ def fit_multilabel(df: DataFrame, text: str = "text", labels: str = "labels", nu
     gradients of all labels at once, one row a bucket, summed in Spark and read by the driver:
     ``num_features`` * labels numbers at most, whatever the number of rows.  A row's vector is unit
     length, so steps of ``rate`` are stable with the default weights.  Deterministic for a given table."""
-    x = write_table(df.select(hashed_words(text, num_features).alias("words"), F.col(labels).alias("y")), "words")
-    k = len(x.select("y").first()[0])
+    def counted(batches):
+        for b in batches:
+            for at, sizes, *entries in _counted(b.column(0), num_features):
+                y = pa.ListArray.from_arrays(pa.array([0, len(sizes)], pa.int32()), b.column(1).slice(at, len(sizes)))
+                yield pa.RecordBatch.from_arrays([*[pa.array([a.astype(np.int32).tobytes()], pa.binary()) for a in (sizes, *entries)], y],
+                                                 ["sizes", "f", "n", "y"])
+
+    def frequencies(blocks):
+        rows, have = 0, np.zeros(num_features, np.int64)
+        for sizes, f, _, _ in _read(blocks):
+            rows += len(sizes)
+            have += np.bincount(f, minlength=num_features)
+        at = np.flatnonzero(have)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1).astype(np.int32)), pa.array(np.append(have[at], rows))], ["f", "df"])
+
+    workers_import(df.sparkSession)
+    x = df.select(hashed_words(text, num_features).alias("words"), F.col(labels).cast("array<double>").alias("y"))
+    x = write_table(x.mapInArrow(counted, "sizes binary, f binary, n binary, y array<array<double>>"), "words")
+    k = len(x.select("y").first()[0][0])
     if weights is None:
-        w = class_weights(x, "y").collect()  # one row per label position
+        w = class_weights(x.select(F.explode("y").alias("y")), "y").collect()  # one row per label position
         weights = {r["label_idx"]: (r["weight"] or 1.0) for r in w}
     scale = np.array([float(weights.get(i, 1.0)) for i in range(k)])
     # one row a bucket
-    df_rows = x.select(F.explode(F.array_distinct("words")).alias("f")).groupBy("f").agg(F.count(F.lit(1)).alias("df")).collect()
-    n = x.count()
+    have = {r["f"]: r["df"] for r in x.mapInArrow(frequencies, "f int, df long").groupBy("f").agg(F.sum("df").alias("df")).collect()}
+    n = have.pop(-1)
     idf = np.full(num_features, np.log(1.0 + n) + 1.0)
-    for r in df_rows:
-        idf[r["f"]] = np.log((1.0 + n) / (1.0 + r["df"])) + 1.0
+    for f, d in have.items():
+        idf[f] = np.log((1.0 + n) / (1.0 + d)) + 1.0
 
-    def vectors(batches):
-        for b in batches:
-            got = [_vector(w, idf) for w in b.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([f.tolist() for f, _ in got], pa.list_(pa.int32())), pa.array([v.tolist() for _, v in got], pa.list_(pa.float64())), b.column(1)],
-                ["f", "v", "y"])
-
-    workers_import(df.sparkSession)
-    x = write_table(x.mapInArrow(vectors, "f array<int>, v array<double>, y array<double>"), "vectors")
     coef, bias = np.zeros((num_features, k)), np.zeros(k)
     schema = "f int, " + ", ".join(f"g{i} double" for i in range(k))
     for _ in range(max_iter):
         at = coef.copy(), bias.copy()
-        sums = x.mapInArrow(lambda it, at=at: _gradient(it, *at, scale), schema).groupBy("f").agg(
+        sums = x.mapInArrow(lambda it, at=at: _gradient(it, *at, scale, idf), schema).groupBy("f").agg(
             *[F.sum(F.col(f"g{i}").cast("decimal(38,18)")).cast("double").alias(f"g{i}") for i in range(k)])  # sums in any order are equal
         got = sums.toPandas()
         step = np.zeros((num_features, k))
@@ -259,13 +296,12 @@ class MultiLabelModel:
     def predict(self, df: DataFrame, out: str = "predictions") -> DataFrame:
         coef, bias, idf = self.coef, self.bias, self.idf
 
-        @F.pandas_udf("array<double>")
-        def score(words: pd.Series) -> pd.Series:
-            rows = []
-            for w in words:
-                f, v = _vector(w, idf)
-                rows.append(1.0 / (1.0 + np.exp(-((v @ coef[f] if len(f) else 0.0) + bias))))
-            return pd.Series(rows)
+        @F.arrow_udf("array<double>")
+        def score(words: pa.Array) -> pa.Array:
+            got = [_chances(len(sizes), row, f, v, coef, bias) for _, sizes, f, n in _counted(words, len(idf))
+                   for row, v in [_vectors(sizes, f, n, idf)]]
+            p = np.concatenate([np.empty((0, len(bias))), *got]).reshape(-1)
+            return pa.ListArray.from_arrays(pa.array(np.arange(0, len(p) + 1, len(bias), dtype=np.int32)), pa.array(p))
 
         workers_import(df.sparkSession)
         return df.withColumn(out, score(hashed_words(self.text, len(idf))))
