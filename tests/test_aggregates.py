@@ -4,6 +4,8 @@ skewed inputs where one key holds a third of the rows."""
 import numpy as np
 from pyspark.sql import functions as F
 
+import __spark_entry__ as E
+from tests.conftest import SF001
 from thematica.operators import curate, overlap, ranking, spending
 from thematica.operators.budgets import budget_value, compare_budgets
 
@@ -105,3 +107,21 @@ def test_budget_shares_and_labels(spark):
     c = {(r["country"], r["label"]): r["value"] for r in compare_budgets(df, "count").collect()}
     assert c == {("K", "Gender"): 1, ("K", "Climate change"): 1, ("U", "Disability"): 1}
     assert budget_value(df, "amount").count() == 4
+
+
+def test_equal_years_are_no_join_key_and_lines_are_not_shuffled_for_customers(spark):
+    conf = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        plan = E.queries()["aid_debt_ratio_same_year"](spark, SF001)._jdf.queryExecution().executedPlan().toString().split("\n")
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert not any("year(" in x for x in plan if "hashpartitioning" in x or " Sort [" in x)
+    at, customers = next((i, x) for i, x in enumerate(plan) if "SortMergeJoin" in x and "c_custkey" in x)
+    depth = customers.index("SortMergeJoin")
+    below = plan[at + 1:]
+    end = next((i for i, x in enumerate(below) if len(x) - len(x.lstrip(" :+-*()0123456789")) <= depth), len(below))
+    assert not any("l_orderkey" in x for x in below[:end])

@@ -62,10 +62,13 @@ def spending_report(df: DataFrame, health_sectors, window=(2018, 2022), same_yea
         "health": M.in_set(F.col("sector_name"), health_sectors),
     })
     cy = col_of("commitment_year")
+    # a difference, not an equality: where the years come from two tables, an equality would become a key of
+    # their join, and every comparison of its sort would work out the year of a date
+    same = F.col("year") - cy == 0
     return {
         "gender_sectors": freq(x.where(F.col("principal_gender")), "sector_name"),
         "ratio_all": ratio_by(x, "sector_name", "usd_disbursement", "usd_commitment", "aid_debt_ratio"),
-        "ratio_same_year": ratio_by(x.where(F.col("year") == cy), "sector_name", "usd_disbursement",
+        "ratio_same_year": ratio_by(x.where(same), "sector_name", "usd_disbursement",
                                     "usd_commitment", "aid_debt_ratio"),
         "panel": spend_panel(
             x,

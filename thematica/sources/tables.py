@@ -8,7 +8,8 @@
 ``vectors`` embeddings
 
 Join strategy for ``flows`` (built for large inputs): lineitem-orders is a
-big-big equi-join (sort-merge on the order key); part, supplier and customer
+big-big equi-join (sort-merge on the order key).  Customers are joined to the
+orders first, so that the lines aren't shuffled for them.  Part, supplier and customer
 are joined on their keys and left to the planner: AQE turns a side into a
 broadcast only when its measured size is under the broadcast threshold.
 Only ``nation`` and ``region`` (fixed 25 / 5 rows) are broadcast by hint.
@@ -59,8 +60,8 @@ def flows(spark: SparkSession, sf_dir: str, years=None) -> DataFrame:
                               F.col("n_regionkey").alias("cn_region")))
     sn = F.broadcast(n.select(F.col("n_nationkey").alias("sn_key"), F.col("n_name").alias("donor_name")))
     rg = F.broadcast(r.select(F.col("r_regionkey").alias("rg_key"), F.col("r_name").alias("region_name")))
-    j = (li.join(o, li.l_orderkey == o.o_orderkey)
-         .join(c, F.col("o_custkey") == c.c_custkey)
+    o = o.join(c, o.o_custkey == c.c_custkey).select("o_orderkey", "o_orderdate", "c_nationkey")
+    j = (li.join(o, li.l_orderkey == F.col("o_orderkey"))
          .join(p, li.l_partkey == p.p_partkey)
          .join(s, li.l_suppkey == s.s_suppkey)
          .join(cn, F.col("c_nationkey") == F.col("cn_key"))
