@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from thematica.functions.lexicon import Lexicon
 from thematica.operators import keywords, synthetic, vectors
+from thematica.session import write_table
 from thematica.streaming import flags as ST
 
 
@@ -74,3 +75,24 @@ def test_stream_keyword_flags(spark, tmp_path):
     s = ST.read_stream(spark, str(src), "doc_id long, text string")
     out = ST.run_available(ST.keyword_flags(s, {"solar": Lexicon("s", ("solar",))}), "t_stream_kw")
     assert sorted((r["doc_id"], r["solar_kw"]) for r in out.collect()) == [(1, True), (2, False)]
+
+
+def test_keyword_discovery_shuffles_no_document_word_pairs(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, 0, ["y", "x", "y", "the"]), (2, 1, ["z", "y"]), (3, 1, ["z"]), (4, 1, []), (5, 0, None)],
+                                 "doc long, cls int, tok array<string>")
+    marked = keywords.explode_words(docs, "doc", "cls", "tok", stop=("the",), first="first")
+    assert sorted((r.doc, r.word) for r in marked.where("first").collect()) == [(1, "x"), (1, "y"), (2, "y"), (2, "z"), (3, "z")]
+    plain = keywords.explode_words(docs, "doc", "cls", "tok", stop=("the",))
+    rows = [sorted((r.cls, r.word, round(r.score, 12)) for r in keywords.class_tfidf(x, F.lit(5), "doc", "cls", f).collect())
+            for x, f in ((marked, "first"), (plain, None))]
+    assert rows[0] == rows[1] and len(rows[0]) == 4
+    plans = {}
+
+    def write(x, name):
+        plans[name] = x._jdf.queryExecution().executedPlan().toString()
+        return write_table(x, name)
+
+    monkeypatch.setattr(keywords, "write_table", write)
+    df = spark.createDataFrame([(i, f"solar power number {i % 40}", i % 3) for i in range(60)], "id long, text string, sig int")
+    out = keywords.discover_keywords(df, order_col="id", k=5).collect()
+    assert len(out) == 15 and "texts" in plans and "_doc" not in plans["counts"]

@@ -65,14 +65,22 @@ def doc_tokens(text, min_len: int = 2) -> Column:
     return F.filter(tok, lambda t: F.length(t) >= min_len)
 
 
-def explode_words(docs: DataFrame, doc_id: str, cls: str | None, tokens: str, stop=None) -> DataFrame:
+def explode_words(docs: DataFrame, doc_id: str, cls: str | None, tokens: str, stop=None, first: str | None = None) -> DataFrame:
     """(doc, class, word) rows without stop words (J05: broadcast anti-join
-    against the stop-word table, a parameter list of bounded size)."""
+    against the stop-word table, a parameter list of bounded size).  With ``first``
+    a column of that name marks one row of each word of an input row."""
     spark = docs.sparkSession
     words = stop_words() if stop is None else tuple(stop)
     sw = spark.createDataFrame([(w,) for w in words], "word string")
     cols = [doc_id] + ([cls] if cls else [])
-    x = docs.select(*cols, F.explode(F.col(tokens)).alias("word"))
+    if first:  # sorted, a word's rows lie together
+        docs = stage(docs, {"_sorted": F.sort_array(F.col(tokens))})
+        w = F.col("_sorted")
+        before = F.concat(F.array(F.lit(None).cast("string")), F.slice(w, 1, F.greatest(F.size(w) - 1, F.lit(0))))
+        both = F.when(F.size(w) > 0, F.arrays_zip(w.alias("word"), before.alias("before")))
+        x = docs.select(*cols, F.inline(both)).withColumn(first, ~F.col("word").eqNullSafe(F.col("before"))).drop("before")
+    else:
+        x = docs.select(*cols, F.explode(F.col(tokens)).alias("word"))
     return x.join(F.broadcast(sw), "word", "left_anti")
 
 
@@ -82,19 +90,25 @@ def doc_word_counts(words: DataFrame, doc_id: str, cls: str) -> DataFrame:
 
 
 def idf(counts: DataFrame, n_docs: Column) -> DataFrame:
-    """Smoothed idf = ln((1+n)/(1+df)) + 1; df = documents with the word."""
-    d = counts.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
+    """Smoothed idf = ln((1+n)/(1+df)) + 1; df = documents with the word,
+    summed over the classes of ``counts``."""
+    d = counts.groupBy("word").agg(F.sum("df").alias("df"))
     return d.withColumn("idf", F.log((F.lit(1) + n_docs) / (F.lit(1) + F.col("df"))) + F.lit(1.0))
 
 
-def class_tfidf(words: DataFrame, n_docs: Column, doc_id: str, cls: str) -> DataFrame:
+def class_tfidf(words: DataFrame, n_docs: Column, doc_id: str, cls: str, first: str | None = None) -> DataFrame:
     """Raw term counts of each class's concatenated text x idf,
     L2-normalised per class (norm over the class's (word) rows).  tf and df
-    both come from one (doc, class, word) count."""
-    counts = doc_word_counts(words, doc_id, cls)
-    idf_t = idf(counts, n_docs)
-    tf = counts.groupBy(cls, "word").agg(F.sum("n").alias("tf"))
-    s = tf.join(idf_t, "word").withColumn("raw", F.col("tf") * F.col("idf"))
+    both come from one (class, word) count, written once.
+
+    Where every document was one row, ``first`` names the mark that ``explode_words`` set: then df counts marks,
+    and what is shuffled grows with the vocabulary of a task, not with the (document, word) pairs."""
+    if first:
+        counts = words.groupBy(cls, "word").agg(F.count(F.lit(1)).alias("tf"), F.count_if(F.col(first)).alias("df"))
+    else:
+        counts = doc_word_counts(words, doc_id, cls).groupBy(cls, "word").agg(F.sum("n").alias("tf"), F.count(F.lit(1)).alias("df"))
+    counts = write_table(counts, "counts")
+    s = counts.drop("df").join(idf(counts, n_docs), "word").withColumn("raw", F.col("tf") * F.col("idf"))
     # a partial aggregate: one row a class, never a class's whole vocabulary in one task
     norm = s.groupBy(F.col(cls).alias("_cls")).agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("_norm"))
     s = s.join(norm, F.col(cls).eqNullSafe(F.col("_cls")))
@@ -144,11 +158,11 @@ def discover_keywords(df: DataFrame, text: str = "text", sig: str = "sig", flag:
 
     x = df.where(FL.declared(flag, sig, (0, 1, 2))).where(FL.usable_text(text)).select(
         text, sig, *([order_col] if order_col else []))
-    x = D.dedupe(x, [text], order_col)
+    x = write_table(D.dedupe(x, [text], order_col), "texts")  # counted, then read for its words
     x = stage(x.withColumn("_doc", F.md5(F.col(text))), {"_tok": doc_tokens(F.col(text))})
     n_docs = x.agg(F.count(F.lit(1))).scalar()
-    words = explode_words(x, "_doc", sig, "_tok", stop)
-    sc = class_tfidf(words, n_docs, "_doc", sig)
+    words = explode_words(x, "_doc", sig, "_tok", stop, first="_first")
+    sc = class_tfidf(words, n_docs, "_doc", sig, first="_first")
     return top_words(sc, sig, classes, k).select(sig, "rank", "word", F.round("score", 6).alias("score"))
 
 
