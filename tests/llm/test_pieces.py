@@ -86,3 +86,19 @@ def test_other_columns_and_empty_table(spark):
     assert out.columns == ["doc_id", "text", "c0", "ids"]
     assert sorted((r.c0 for r in out.collect() if r.c0)) == [[5], [6]]
     assert pieces.round_trip(df.limit(0)).count() == 0
+
+
+def test_decoding_looks_only_at_special_ids_one_by_one():
+    class Counted(dict):
+        asked = 0
+
+        def get(self, *a):
+            Counted.asked += 1
+            return super().get(*a)
+
+    vocab = [("<unk>", 0.0), ("<s>", 0.0), ("▁a", -1.0), ("b", -2.0), ("<0xC3>", 0.0), ("<0xA9>", 0.0)]
+    p = pieces.Pieces(vocab, False, 0, {0xC3: 4, 0xA9: 5}, {1})
+    p.byte_of = Counted(p.byte_of)
+    assert p.decode([2, 3] * 500) == ("ab " * 500)[:-1] and Counted.asked == 0
+    assert p.decode([1, 2, 4, 5, 3, 4, 0, 3, 5, 1, 5]) == "aéb� ⁇ b��" and Counted.asked == 8
+    assert p.decode([]) == ""

@@ -25,6 +25,7 @@ gives an empty result; other columns stay as they are.
 from __future__ import annotations
 
 import re
+import struct
 
 import numpy as np
 import pyarrow as pa
@@ -54,7 +55,14 @@ class Pieces:
         self.id = {p: i for i, (p, _) in enumerate(pieces) if i not in skip}
         self.longest = max(map(len, self.id), default=1)
         self.letters = {c for p in self.id for c in p}
+        lengths: dict[str, set[int]] = {}
+        for p in self.id:
+            if len(p) > 2:
+                lengths.setdefault(p[-3:], set()).add(len(p))
+        self.ends = {e: sorted(n, reverse=True) for e, n in lengths.items()}  # by the last three letters of pieces, how long they are
         self.byte_of = {i: b for b, i in fallback.items()} if fallback else {}
+        self.special = np.zeros(len(pieces), bool)  # ids that aren't a plain piece
+        self.special[[i for i in {*self.byte_of, *control, unknown} if 0 <= i < len(pieces)]] = True
         self._apart: dict[tuple[str, str], bool] = {}
 
     @classmethod
@@ -98,7 +106,7 @@ class Pieces:
         score = [0.0]
         before = ""
         unknown_score = min(self.score, default=0.0) - 10.0
-        ids, longest = self.id, self.longest
+        ids, longest, ends, known = self.id, self.longest, self.ends, self._apart
         for w in words:
             n = 0
             for x, y in zip(before, w):
@@ -116,11 +124,17 @@ class Pieces:
                     score.append(best)
                 else:
                     at = i - 1
-                    for a in range(max(0, i - longest), i - 1):
-                        t = w[a:i]
-                        if t in ids and self.apart(w[start[a]:a], t):
-                            at = a
-                            break
+                    for n in ends.get(w[i - 3:i], ()):  # no slice of 3 letters where i < 3
+                        if n <= i and (t := w[i - n:i]) in ids:
+                            b = w[start[i - n]:i - n]
+                            if (apart := known.get((b, t))) is None:
+                                apart = self.apart(b, t)
+                            if apart:
+                                at = i - n
+                                break
+                    else:
+                        if i > 1 and (t := w[i - 2:i]) in ids and self.apart(w[start[i - 2]:i - 2], t):
+                            at = i - 2
                     score.append(0.0)
                 start.append(at)
             before = w
@@ -143,22 +157,33 @@ class Pieces:
             elif not unknown:  # a run of unknown letters is one id
                 out.append(self.unknown)
                 unknown = True
-        return np.array(out, "<u4").tobytes()
+        return struct.pack(f"<{len(out)}I", *out)
 
     def decode(self, ids) -> str:
-        out, raw = [], bytearray()
-        for i in ids:
-            b = self.byte_of.get(i)
+        """Stretches of plain pieces are joined at once; only bytes, unknown and control ids are looked at one by one."""
+        ids = np.asarray(ids, np.int64)
+        piece, every = self.text.__getitem__, ids.tolist()
+        out, raw, done = [], bytearray(), 0
+
+        def flush(to):
+            if raw and to > done:
+                out.append(raw.decode("utf-8", "replace"))
+                raw.clear()
+            out.extend(map(piece, every[done:to]))
+
+        for j in np.flatnonzero(self.special[ids]).tolist():
+            flush(j)
+            done = j + 1
+            b = self.byte_of.get(every[j])
             if b is not None:
                 raw.append(b)
                 continue
             if raw:
                 out.append(raw.decode("utf-8", "replace"))
                 raw.clear()
-            if i == self.unknown:
+            if every[j] == self.unknown:
                 out.append(" ⁇ ")
-            elif i not in self.control:
-                out.append(self.text[i])
+        flush(len(every))
         if raw:
             out.append(raw.decode("utf-8", "replace"))
         s = "".join(out).replace(MARK, " ")
@@ -277,7 +302,7 @@ def decoder(model: str = MODEL):
         p = state.get("pieces")
         if p is None:
             p = state["pieces"] = Pieces.load(tokenizer_path(model))
-        return s.map(lambda ids: None if ids is None else p.decode(ids.tolist()))
+        return s.map(lambda ids: None if ids is None else p.decode(ids))
 
     return decode
 
