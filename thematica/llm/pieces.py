@@ -250,13 +250,18 @@ class Codec:
         for ws in cut:
             if ws:
                 new.update(ws)
-        new = sorted(w for w in new if w not in cache)
+        new = sorted(new - cache.keys())
         long = {}
         for w, ids in self.p.walk(new):
             (cache if len(w) <= LONGEST else long)[w] = ids
-        if long:
-            return [None if ws is None else b"".join(cache[w] if w in cache else long[w] for w in ws) for ws in cut]
-        return [None if ws is None else b"".join(map(cache.__getitem__, ws)) for ws in cut]
+
+        def joined(ws):
+            try:
+                return b"".join(map(cache.__getitem__, ws))
+            except KeyError:  # a text with long words
+                return b"".join(cache[w] if w in cache else long[w] for w in ws)
+
+        return [None if ws is None else joined(ws) for ws in cut]
 
 
 def encode(df: DataFrame, text: str = "text", model: str = MODEL, ids: str = "ids") -> DataFrame:
