@@ -158,3 +158,40 @@ def test_stretches_of_a_block_are_those_of_its_texts(monkeypatch):
             assert (h[first[i]:first[i + 1]] == h1).all() and len(h1) == f1[1] == len(block[i].split())
             assert (starts[of == i] - first[i] == s1).all() and (stops[of == i] - first[i] == e1).all()
     assert len(set(h.tolist())) == len({w.encode().lower() for t in block for w in t.split()})
+
+
+def test_only_what_repeats_is_written_and_only_rows_with_cuts_travel(spark, monkeypatch):
+    rows = [(i, " ".join(sentence() for _ in range(12))) for i in range(300)]
+    rows += [(300, f"{sentence(12)} {PASSAGE}"), (301, f"{PASSAGE} {sentence(12)}")]
+    written, sent = {}, []
+    real, part = passages.materialise, passages.parted
+
+    def counted(df, name="t", *a):
+        out = real(df, name, *a)
+        written[name] = out.count()
+        return out
+
+    def watched(*a):
+        out = part(*a)
+        sent.append(out[1].count())
+        return out
+
+    monkeypatch.setattr(passages, "materialise", counted)
+    monkeypatch.setattr(passages, "parted", watched)
+    got, cut = run(spark, rows)
+    assert got == brute(rows) and [i for i, n in enumerate(cut) if n] == [301]
+    assert written.pop("rows") == 302 and max(written.values()) < 100 and sum(sent) < 10
+
+
+def test_parted_is_a_left_join_on_any_keys(spark):
+    keys = [None, 0, -1, 1, 5, 5, 1 << 40, -(1 << 40), 32767, 32768, *range(100, 400)]
+    df = spark.createDataFrame([(k, n) for n, k in enumerate(keys)], "`a b` long, _bits long")
+    few = spark.createDataFrame([(k, str(k)) for k in (0, -1, 5, 1 << 40, -(1 << 40), 32768, 9999, 150)], "k long, v string")
+    stay, go = shared.parted(df, "a b", few, "k")
+    assert stay.columns == df.columns and go.columns == [*df.columns, "k", "v"]
+    known = {0, -1, 5, 1 << 40, -(1 << 40), 32768, 150}
+    got = {r["_bits"]: r.v for r in go.collect()} | {r["_bits"]: None for r in stay.collect()}
+    assert got == {n: str(k) if k in known else None for n, k in enumerate(keys)}
+    assert stay.count() + go.count() == len(keys) and go.count() < 15
+    stay, go = shared.parted(df, "a b", few.limit(0), "k")
+    assert stay.count() == len(keys) and go.count() == 0

@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 
 from .components import connected_components
 from .near_dedup import PERCENT, link_rows, sharing
-from .shared import WordHasher, materialise, mix64, only, pick, seeds, signed, texts
+from .shared import WordHasher, materialise, mix64, only, parted, pick, seeds, signed, texts
 
 K = 5
 MIN_WORDS = 30
@@ -153,11 +153,13 @@ def _without(text: pd.Series, places: pd.Series) -> pd.Series:
 def remove_repeated(df: DataFrame, doc_id: str = "doc_id", text: str = "text", removed: str | None = None, **kw) -> DataFrame:
     """``df`` with repeated paragraphs cut out of its texts; with ``removed`` a
     column of that name lists the numbers of the lines cut."""
-    gone = (repeated(df, doc_id, text, **kw).groupBy(F.col("doc_id").alias("_gone_doc"))
-            .agg(F.sort_array(F.collect_list("place")).alias("_gone")))  # at most the lines of one document
-    x = df.join(gone, F.col(f"`{doc_id}`") == F.col("_gone_doc"), "left")
+    gone = materialise(repeated(df, doc_id, text, **kw).groupBy(F.col("doc_id").alias("_gone_doc"))
+                       .agg(F.sort_array(F.collect_list("place")).alias("_gone")), "gone")  # at most the lines of one document
+    stay, go = parted(df, doc_id, gone, "_gone_doc")
     new = F.when(F.col("_gone").isNull(), F.col(f"`{text}`")).otherwise(_without(F.col(f"`{text}`"), F.col("_gone")))
     out = [new.alias(c) if c == text else F.col(f"`{c}`") for c in df.columns]
     if removed:
-        out.append(F.coalesce("_gone", F.array().cast("array<int>")).alias(removed))
-    return x.select(*out)
+        none = F.array().cast("array<int>")
+        stay = stay.select(*[F.col(f"`{c}`") for c in df.columns], none.alias(removed))
+        out.append(F.coalesce("_gone", none).alias(removed))
+    return stay.union(go.select(*out))

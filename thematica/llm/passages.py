@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import materialise, mix64, only, pick, seeds, texts
+from .shared import fresh, materialise, mix64, only, parted, pick, seeds, texts
 
 RADIUS = 3
 STRETCH = 12
@@ -117,8 +117,8 @@ def stretches(block: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarr
     return h, of[inside], starts[inside], stops[inside], first
 
 
-def keyed(df: DataFrame, row: str, doc_id: str, text: str) -> DataFrame:
-    """(a, b, id, row, place, stop) of every stretch."""
+def keyed(df: DataFrame, row: str, doc_id: str, text: str, names_only: bool = False) -> DataFrame:
+    """(a, b, id, row, place, stop) of every stretch, or its a alone."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("id", pa.int64()), ("row", pa.int64()), ("place", pa.int32()),
                         ("stop", pa.int32())])
 
@@ -130,6 +130,8 @@ def keyed(df: DataFrame, row: str, doc_id: str, text: str) -> DataFrame:
         raw = h.tobytes()
         digests = [digest(raw[s:e]) for s, e in zip((8 * starts).tolist(), (8 * stops).tolist(), strict=True)]
         ab = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
+        if names_only:
+            return pa.record_batch({"a": pa.array(np.ascontiguousarray(ab[:, 0]))})
         of_ = pa.array(of, pa.int64())
         return pa.record_batch([pa.array(np.ascontiguousarray(ab[:, 0])), pa.array(np.ascontiguousarray(ab[:, 1])),
                                 pa.array(ids, pa.int64()).take(of_), pa.array(rows, pa.int64()).take(of_),
@@ -151,14 +153,17 @@ def keyed(df: DataFrame, row: str, doc_id: str, text: str) -> DataFrame:
             yield block(rows, ids, held)
 
     x = pick(df, _row=row, _id=doc_id, _text=text).withColumn("_id", F.col("_id").cast("long"))
-    return x.mapInArrow(run, "a long, b long, id long, row long, place int, stop int")
+    return x.mapInArrow(run, "a long" if names_only else "a long, b long, id long, row long, place int, stop int")
 
 
 def repeated(df: DataFrame, row: str, doc_id: str, text: str) -> DataFrame:
-    """(row, places): the stretches (place, stop) of each row that occur earlier."""
-    every = materialise(keyed(df, row, doc_id, text), "stretches")
-    often = materialise(every.groupBy(F.col("a").alias("again")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("again"), "again")
-    some = materialise(only(every, "a", often, "again"), "repeated")
+    """(row, places): the stretches (place, stop) of each row that occur earlier.
+
+    Stretches are taken twice, first their keys alone, then those whose key repeats: writing all of them
+    would take about as much disk as the texts."""
+    names = keyed(df, row, doc_id, text, names_only=True).groupBy(F.col("a").alias("again")).agg(F.count(F.lit(1)).alias("n"))
+    often = materialise(names.where("n > 1").select("again"), "again")
+    some = materialise(only(keyed(df, row, doc_id, text), "a", often, "again"), "repeated")
     first = some.groupBy("a", "b").agg(F.min(F.struct("id", "row", "place")).alias("f")).select(F.col("f.row").alias("_row"), F.col("f.place").alias("_place"))
     later = some.join(first, (F.col("row") == F.col("_row")) & (F.col("place") == F.col("_place")), "left_anti")
     return later.groupBy("row").agg(F.collect_list(F.struct("place", "stop")).alias("places"))  # at most the stretches of one text
@@ -198,26 +203,29 @@ def without_words(text: str, gone: list[tuple[int, int]]) -> str:
     return out
 
 
-@F.pandas_udf(T.StructType([T.StructField("text", T.StringType()), T.StructField("n", T.IntegerType())]))
-def _without(text: pd.Series, places: pd.Series) -> pd.DataFrame:
-    gone = [runs([(x["place"], x["stop"]) for x in p]) for p in places]
-    return pd.DataFrame({"text": [without_words(t, g) for t, g in zip(text, gone, strict=True)],
-                         "n": [sum(b - a for a, b in g) for g in gone]})
+@F.pandas_udf(T.ArrayType(T.ArrayType(T.IntegerType())))
+def _runs(places: pd.Series) -> pd.Series:
+    return pd.Series([runs([(x["place"], x["stop"]) for x in p]) for p in places], dtype=object)
+
+
+@F.pandas_udf(T.StringType())
+def _without(text: pd.Series, gone: pd.Series) -> pd.Series:
+    return pd.Series([t if t is None or g is None else without_words(t, [(a, b) for a, b in g]) for t, g in zip(text, gone, strict=True)], dtype=object)
 
 
 def remove_passages(df: DataFrame, doc_id: str = "doc_id", text: str = "text", removed: str | None = None) -> DataFrame:
     """``df`` with repeated passages cut out of its texts; with ``removed`` a column of that name has the number of
     words cut."""
-    row = "_row"
-    while row in df.columns:
-        row += "_"
-    x = materialise(df.withColumn(row, F.monotonically_increasing_id()), "rows")
-    found = repeated(x, row, doc_id, text).select(F.col("row").alias("_found"), "places")
+    row = fresh(df, "_row")
+    x = materialise(df.withColumn(row, F.monotonically_increasing_id()), "rows", "zstd")
+    found, gone = fresh(x, "_found"), fresh(x, "_gone")
+    marked = repeated(x, row, doc_id, text).select(F.col("row").alias(found), _runs("places").alias(gone))
+    stay, go = parted(x, row, materialise(marked.where(F.size(gone) > 0), "gone"), found)
     q = F.col(f"`{text}`")
-    hit = materialise(pick(x, _own=row, _text=text).join(found, F.col("_own") == F.col("_found")).select(
-        F.col("_own").alias("_cut"), _without("_text", "places").alias("_new")).where("_new.n > 0"), "cut")
-    y = x.join(hit, F.col(f"`{row}`") == F.col("_cut"), "left")
-    out = [(F.when(F.col("_cut").isNull(), q).otherwise(F.col("_new.text")).alias(c) if c == text else F.col(f"`{c}`")) for c in df.columns]
+    new = F.when(F.col(gone).isNull(), q).otherwise(_without(q, F.col(gone)))
+    out = [new.alias(c) if c == text else F.col(f"`{c}`") for c in df.columns]
+    stay = stay.select(*[F.col(f"`{c}`") for c in df.columns], *([F.lit(0).alias(removed)] if removed else []))
     if removed:
-        out.append(F.coalesce(F.col("_new.n"), F.lit(0)).alias(removed))
-    return y.select(*out)
+        words = F.aggregate(gone, F.lit(0), lambda n, g: n + g[1] - g[0])
+        out.append(F.coalesce(words, F.lit(0)).alias(removed))
+    return stay.union(go.select(*out))
