@@ -102,3 +102,18 @@ def test_decoding_looks_only_at_special_ids_one_by_one():
     assert p.decode([2, 3] * 500) == ("ab " * 500)[:-1] and Counted.asked == 0
     assert p.decode([1, 2, 4, 5, 3, 4, 0, 3, 5, 1, 5]) == "aéb� ⁇ b��" and Counted.asked == 8
     assert p.decode([]) == ""
+
+
+def test_lists_are_decoded_together(monkeypatch):
+    import pyarrow as pa
+
+    vocab = [("<unk>", 0.0), ("<s>", 0.0), ("▁a", -1.0), ("b", -2.0), *[(f"<0x{b:02X}>", 0.0) for b in (0xC3, 0xA9, 0xE2, 0x96, 0x81, 0x0A)], ("é▁", -3.0)]
+    p = pieces.Pieces(vocab, False, 0, {0xC3: 4, 0xA9: 5, 0xE2: 6, 0x96: 7, 0x81: 8, 0x0A: 9}, {1})
+    rnd = random.Random(3)
+    lists = [[], None, [4, 1, 5], [4, 5], [6, 7, 8], [2, 9, 9, 3], [1], [0, 10], [4, 3, 5]]
+    lists += [[rnd.randrange(len(vocab)) for _ in range(rnd.randint(0, 12))] for _ in range(2000)]
+    arr = pa.array([[2], *lists, [3]], pa.list_(pa.int32())).slice(1, len(lists))
+    assert p.decode_lists(arr) == [None if x is None else p.decode(x) for x in lists]
+    monkeypatch.setattr(p, "decode", None)  # ordinary texts aren't decoded one by one
+    assert p.decode_lists(pa.array([[2, 3, 9, 2], [4, 5, 3]], pa.list_(pa.int32()))) == ["ab\n a", "éb"]
+    assert p.decode_lists(pa.array([], pa.list_(pa.int32()))) == []

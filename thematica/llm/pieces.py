@@ -29,6 +29,7 @@ import struct
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -41,6 +42,7 @@ MARK = "▁"
 CACHE_ENTRIES = 600_000
 LONGEST = 64  # longer words aren't kept in the cache
 STEP_BYTES = 4 << 20  # text whose new words are walked together
+DECODE_ROWS = 500  # id lists that are decoded together
 
 
 class Pieces:
@@ -63,6 +65,11 @@ class Pieces:
         self.byte_of = {i: b for b, i in fallback.items()} if fallback else {}
         self.special = np.zeros(len(pieces), bool)  # ids that aren't a plain piece
         self.special[[i for i in {*self.byte_of, *control, unknown} if 0 <= i < len(pieces)]] = True
+        # what an id adds to the decoded bytes where texts are decoded together; 0xFF, never valid, for ids that add nothing
+        plain = [p.replace(MARK, " ").encode("utf-8", "surrogatepass") or b"\xff" for p in self.text]
+        for i in np.flatnonzero(self.special).tolist():
+            plain[i] = bytes([self.byte_of[i]]) if i in self.byte_of else " \u2047 ".encode() if i == unknown else b"\xff"
+        self.raw = pa.array(plain, pa.large_binary())
         self._apart: dict[tuple[str, str], bool] = {}
 
     @classmethod
@@ -190,6 +197,32 @@ class Pieces:
         return s[1:] if self.dummy_prefix and s.startswith(" ") else s
 
 
+    def decode_lists(self, lists: pa.Array) -> list[str | None]:
+        """The texts of an array of id lists.  What its ids stand for is laid end to end at once; a text whose bytes
+        aren't valid UTF-8, or hold the mark as single bytes, is decoded on its own."""
+        ids = lists.flatten()  # without null lists
+        joined = self.raw.take(ids)
+        data = memoryview(joined.buffers()[2] or b"")
+        at = np.frombuffer(joined.buffers()[1], np.int64)[joined.offset:joined.offset + len(ids) + 1] if len(ids) else np.zeros(1, np.int64)
+        sizes = np.array([0 if n is None else n for n in pc.list_value_length(lists).to_pylist()], np.int64)
+        ends = np.cumsum(sizes)
+        null = lists.is_null().to_numpy(zero_copy_only=False).tolist()
+        out: list[str | None] = []
+        for a, b, i, j, none in zip(at[ends - sizes].tolist(), at[ends].tolist(), (ends - sizes).tolist(), ends.tolist(), null, strict=True):
+            if none:
+                out.append(None)
+                continue
+            try:
+                s = str(data[a:b], "utf-8")
+            except UnicodeDecodeError:
+                s = MARK
+            if MARK in s:
+                out.append(self.decode(ids[i:j].to_numpy(zero_copy_only=False)))
+            else:
+                out.append(s[1:] if self.dummy_prefix and s.startswith(" ") else s)
+        return out
+
+
 def _settings(proto: bytes) -> tuple[int, bool]:
     """(model type, dummy prefix) from a serialised model: field 2 is the trainer's
     settings (3: model type), field 3 the normaliser's (3: dummy prefix)."""
@@ -302,12 +335,13 @@ def decoder(model: str = MODEL):
     """A column function from ids to text."""
     state: dict = {}
 
-    @F.pandas_udf("string")
-    def decode(s):
+    @F.arrow_udf("string")
+    def decode(ids: pa.Array) -> pa.Array:
         p = state.get("pieces")
         if p is None:
             p = state["pieces"] = Pieces.load(tokenizer_path(model))
-        return s.map(lambda ids: None if ids is None else p.decode(ids))
+        steps = [p.decode_lists(ids.slice(i, DECODE_ROWS)) for i in range(0, len(ids), DECODE_ROWS)]
+        return pa.array([t for step in steps for t in step], pa.string())
 
     return decode
 
