@@ -3,7 +3,9 @@
 import random
 import re
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from thematica.llm import passages, shared
 
@@ -195,3 +197,45 @@ def test_parted_is_a_left_join_on_any_keys(spark):
     assert stay.count() + go.count() == len(keys) and go.count() < 15
     stay, go = shared.parted(df, "a b", few.limit(0), "k")
     assert stay.count() == len(keys) and go.count() == 0
+
+
+def test_no_join_lets_stretches_through_by_chance(spark, monkeypatch):
+    """Of 20,000 stretches 10,000 repeat: the others meet a slot by chance, the more of them the more repeat."""
+    rows = [(i, " ".join(f"w{i}x{j}" for j in range(400)) + f" {PASSAGE} x") for i in range(300)]
+    rows += [(i + 300, t) for i, t in rows[:150]]
+    written, real = {}, passages.materialise
+
+    def counted(df, name="t", *a):
+        out = real(df, name, *a)
+        written[name] = out.count()
+        plans.append(df._jdf.queryExecution().toString())
+        return out
+
+    plans = []
+    monkeypatch.setattr(passages, "materialise", counted)
+    got, cut = run(spark, rows)
+    assert got == brute(rows) and sum(1 for n in cut if n) == 449
+    every = passages.keyed(spark.createDataFrame(rows, "doc_id long, text string").withColumn("r", F.col("doc_id")), "r", "doc_id", "text").groupBy("a", "b").count()
+    twice = every.where("count > 1").agg(F.sum("count")).first()[0]
+    once = every.where("count = 1").count()
+    assert twice <= written["repeated"] <= twice + once / 16
+    assert not any("Semi" in p for p in plans)
+
+
+def test_bitmap_has_the_bits_of_its_keys(spark):
+    for keys in ([], [0], [-1, 0, 1, 32767, 32768, -(1 << 39), (1 << 39) - 1], [rnd.getrandbits(40) - (1 << 39) for _ in range(3000)]):
+        bits = shared.bitmap(spark.createDataFrame([(k,) for k in keys], "k long"), "k")
+        n = 8 * len(bits)
+        assert n >= 32 * len(keys) and sum(int(b).bit_count() for b in bits) == len({k % n for k in keys})
+        assert shared.in_bitmap(bits, np.array(keys, np.int64)).all()
+        others = np.array([rnd.getrandbits(40) for _ in range(4000)], np.int64)
+        assert shared.in_bitmap(bits, others).tolist() == [k % n in {k % n for k in keys} for k in others.tolist()]
+
+
+def test_only_keeps_the_wanted_and_few_others_meet_the_join(spark):
+    df = spark.range(200_000).select(F.when(F.col("id") % 1000 > 0, F.col("id") - 100_000).alias("k"), F.col("id").alias("_wanted"))
+    ids = spark.range(60_000).select((F.col("id") * 2 - 100_000).alias("i"))
+    got = shared.only(df, "k", ids, "i")
+    assert got.columns == ["k", "_wanted"]
+    assert sorted(r.k for r in got.collect()) == [k for k in range(-100_000, 20_000, 2) if k % 1000]
+    assert shared.only(df, "k", ids.limit(0), "i").count() == 0

@@ -12,8 +12,8 @@ occurrence of each stretch always stays, and a sentence that repeats on its own,
 alone.  Of 1,500 shared runs taken from the middle of sentences, 95.3 % were cut at 51 words and 96.8 % at 60; all
 that were missed at 60 come from texts of a few words over and over.  A few words at either end may stay.  Every word that goes stands in a stretch of ``STRETCH`` words or more that occurs earlier, word for word.
 
-Keys are 128-bit hashes.  Keys that occur once are dropped by a count that collapses within each task,
-before places are compared.  The first of each key is a partial aggregate too, and the others are those that
+Keys are 128-bit hashes.  Most keys that occur once are dropped before places are compared: the first 40 bits of
+all keys are counted, and those that repeat set bits of a table that tasks look their keys up in.  The first of each key is a partial aggregate too, and the others are those that
 aren't a first: no join has the key itself as its key.  A row is known by a number of its own.
 
 Defined results: null and empty texts stay as they are; rows with a null id come first in the order,
@@ -30,15 +30,17 @@ import re
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import fresh, materialise, mix64, only, parted, pick, seeds, texts
+from .shared import bitmap, fresh, in_bitmap, materialise, mix64, parted, pick, seeds, texts
 
 RADIUS = 3
 STRETCH = 12
 MIN_WORDS = 30
+NAME_SHIFT = 24  # what is left of a key's first 64 bits names it; names that repeat by chance are told apart by the key
 BLOCK_BYTES = 1 << 21  # texts that a task handles at once; a longer one is handled alone, its words in pieces of this size
 _WORD = re.compile(r"[^ \t\n\x0b\x0c\r]+")
 _GAP = re.compile(rb"[ \t\n\x0b\x0c\r]")
@@ -117,8 +119,9 @@ def stretches(block: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarr
     return h, of[inside], starts[inside], stops[inside], first
 
 
-def keyed(df: DataFrame, row: str, doc_id: str, text: str, names_only: bool = False) -> DataFrame:
-    """(a, b, id, row, place, stop) of every stretch, or its a alone."""
+def keyed(df: DataFrame, row: str, doc_id: str, text: str, names_only: bool = False, among: Broadcast | None = None) -> DataFrame:
+    """(a, b, id, row, place, stop) of every stretch, or its name alone; with ``among``, a ``bitmap`` of names, of
+    those whose name meets it."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("id", pa.int64()), ("row", pa.int64()), ("place", pa.int32()),
                         ("stop", pa.int32())])
 
@@ -130,8 +133,12 @@ def keyed(df: DataFrame, row: str, doc_id: str, text: str, names_only: bool = Fa
         raw = h.tobytes()
         digests = [digest(raw[s:e]) for s, e in zip((8 * starts).tolist(), (8 * stops).tolist(), strict=True)]
         ab = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
+        names = ab[:, 0] >> NAME_SHIFT
         if names_only:
-            return pa.record_batch({"a": pa.array(np.ascontiguousarray(ab[:, 0]))})
+            return pa.record_batch({"name": pa.array(names)})
+        if among is not None:
+            some = in_bitmap(among.value, names)
+            ab, of, starts, stops = ab[some], of[some], starts[some], stops[some]
         of_ = pa.array(of, pa.int64())
         return pa.record_batch([pa.array(np.ascontiguousarray(ab[:, 0])), pa.array(np.ascontiguousarray(ab[:, 1])),
                                 pa.array(ids, pa.int64()).take(of_), pa.array(rows, pa.int64()).take(of_),
@@ -153,19 +160,24 @@ def keyed(df: DataFrame, row: str, doc_id: str, text: str, names_only: bool = Fa
             yield block(rows, ids, held)
 
     x = pick(df, _row=row, _id=doc_id, _text=text).withColumn("_id", F.col("_id").cast("long"))
-    return x.mapInArrow(run, "a long" if names_only else "a long, b long, id long, row long, place int, stop int")
+    return x.mapInArrow(run, "name long" if names_only else "a long, b long, id long, row long, place int, stop int")
 
 
 def repeated(df: DataFrame, row: str, doc_id: str, text: str) -> DataFrame:
     """(row, places): the stretches (place, stop) of each row that occur earlier.
 
-    Stretches are taken twice, first their keys alone, then those whose key repeats: writing all of them
-    would take about as much disk as the texts."""
-    names = keyed(df, row, doc_id, text, names_only=True).groupBy(F.col("a").alias("again")).agg(F.count(F.lit(1)).alias("n"))
-    often = materialise(names.where("n > 1").select("again"), "again")
-    some = materialise(only(keyed(df, row, doc_id, text), "a", often, "again"), "repeated")
-    first = some.groupBy("a", "b").agg(F.min(F.struct("id", "row", "place")).alias("f")).select(F.col("f.row").alias("_row"), F.col("f.place").alias("_place"))
-    later = some.join(first, (F.col("row") == F.col("_row")) & (F.col("place") == F.col("_place")), "left_anti")
+    Stretches are taken twice, first their names alone, then those whose name repeats: writing all of them
+    would take about as much disk as the texts.  A stretch that comes through by chance is
+    the only one of its key: it takes itself out, and no other that begins at its place."""
+    names = keyed(df, row, doc_id, text, names_only=True).groupBy("name").agg(F.count(F.lit(1)).alias("n"))
+    often = materialise(names.where("n > 1").select("name"), "again")
+    sent = df.sparkSession.sparkContext.broadcast(bitmap(often, "name"))  # 32 MB at most
+    some = materialise(keyed(df, row, doc_id, text, among=sent), "repeated")
+    sent.destroy()
+    first = (some.groupBy("a", "b").agg(F.min(F.struct("id", "row", "place", "stop")).alias("f"), F.count(F.lit(1)).alias("_n"))
+             .select(F.col("f.row").alias("_row"), F.col("f.place").alias("_place"), F.col("f.stop").alias("_stop"), "_n"))
+    at = (F.col("row") == F.col("_row")) & (F.col("place") == F.col("_place"))
+    later = some.join(first, at & ((F.col("_n") > 1) | (F.col("stop") == F.col("_stop"))), "left_anti")
     return later.groupBy("row").agg(F.collect_list(F.struct("place", "stop")).alias("places"))  # at most the stretches of one text
 
 
