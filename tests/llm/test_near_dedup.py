@@ -200,3 +200,38 @@ def test_members_of_one_table_are_linked_without_their_head(spark):
     links = near_dedup.link_rows(spark.createDataFrame(rows, "key long, n int, id long, head long, head_n int, m long"),
                                  spark.createDataFrame([(i, " ".join(w)) for i, w in docs], "id long, text string"), 2)
     assert {tuple(sorted(r)) for r in links.collect()} == {(1, 4), (2, 3)}
+
+
+def test_copies_of_paragraphs_are_no_vertices(spark, monkeypatch):
+    """Copies follow their class: the components' rounds see none of them, but those of ids that repeat."""
+    rnd = random.Random(4)
+    line = lambda: " ".join(rnd.choice("abcdefgh") + str(rnd.randrange(300)) for _ in range(40))
+    lines = [line() for _ in range(40)]
+    near = lines[0].split(" ")
+    near = " ".join([*near[:-1], "other"])
+    rows = [(i, lines[i % 40]) for i in range(400)] + [(500, near), (501, near)]
+    seen, real = [], paragraphs.connected_components
+
+    def counted(links):
+        seen.append(links.count())
+        return real(links)
+
+    monkeypatch.setattr(paragraphs, "connected_components", counted)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.place, r.first_doc, r.first_place) for r in paragraphs.repeated(df).collect()}
+    assert got == {i: (0, i % 40, 0) for i in range(40, 400)} | {500: (0, 0, 0), 501: (0, 0, 0)}
+    assert seen == [1]
+    # row 7 stands for two texts: its classes are one, as are their copies
+    rows = [(1, lines[1]), (7, lines[1]), (7, lines[2]), (9, lines[2]), (3, lines[3]), (9, lines[4])]
+    got = sorted(tuple(r) for r in paragraphs.repeated(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(7, 0, 1, 0), (9, 0, 1, 0)]
+    assert seen[1] == 2
+
+
+def test_lines_of_ids_too_large_to_name_are_no_candidates(spark):
+    """Short-worded lines of ids beyond the range take no paragraph's place."""
+    text = " ".join(f"w{i}" for i in range(40))
+    far = 5 + (1 << 43)  # its shifted id is that of 5
+    df = spark.createDataFrame([(5, text), (6, text + " x"), (far, "a" * 100)], "doc_id long, text string")
+    got = [tuple(r) for r in paragraphs.repeated(df).collect()]
+    assert got == [(6, 0, 5, 0)]

@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 
 from .components import connected_components
 from .near_dedup import PERCENT, link_rows, sharing
-from .shared import WordHasher, materialise, mix64, only, parted, pick, seeds, signed, texts
+from .shared import WordHasher, materialise, mix64, parted, pick, seeds, signed, texts
 
 K = 5
 MIN_WORDS = 30
@@ -125,15 +125,23 @@ def repeated(df: DataFrame, doc_id: str = "doc_id", text: str = "text", min_word
                        .agg(F.min("id").alias("rep"), F.first("keys").alias("keys")), "classes")
     keyed = F.transform("keys", lambda key, i: F.xxhash64(key, i))
     table = materialise(sharing(reps, keyed), "bands")
-    wanted = table.select(F.shiftright("id", PLACE_BITS).alias("doc")).distinct()
     docs = pick(df, _id=doc_id, _text=text).withColumn("_id", F.col("_id").cast("long"))
-    lines = (only(docs, "_id", wanted, "doc").select("_id", F.posexplode(F.split("_text", "\n")).alias("place", "text"))
-             .select((F.shiftleft("_id", PLACE_BITS) + F.col("place")).alias("id"), "text"))
+    lines = (docs.where("_id is not null").select("_id", F.posexplode(F.split("_text", "\n")).alias("place", "text"))
+             .where(F.length("text") >= 2 * max(min_words, k) - 1)  # shorter ones have fewer words
+             .select("_id", "place", (F.shiftleft("_id", PLACE_BITS) + F.col("place")).alias("id"), "text")
+             .where((F.shiftright("id", PLACE_BITS) == F.col("_id")) & (F.col("place") < (1 << PLACE_BITS))).select("id", "text"))
     links = link_rows(table, lines, k, percent)
     same = (sig.join(reps.select(F.col("set_a").alias("_a"), F.col("set_b").alias("_b"), F.col("n_shingles").alias("_n"), "rep"),
                      (F.col("set_a") == F.col("_a")) & (F.col("set_b") == F.col("_b")) & (F.col("n_shingles") == F.col("_n")))
             .where("id <> rep").select(F.col("id").alias("u"), F.col("rep").alias("v")))
-    gone = connected_components(links.union(same))
+    same = materialise(same.distinct(), "same")
+    # Copies go where the first of their class goes; they are no vertices, but for those of repeated ids, which may stand in several classes.
+    twice = docs.groupBy(F.col("_id").alias("_doc")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("_doc")
+    ties = same.join(twice, F.shiftright("u", PLACE_BITS) == F.col("_doc"), "left_semi")
+    parts = connected_components(links.union(ties))
+    copies = (same.join(parts, F.col("v") == F.col("id"), "left")
+              .select(F.col("u").alias("id"), F.coalesce("component", "v").alias("component")))
+    gone = parts.union(copies).distinct()
     mask = (1 << PLACE_BITS) - 1
     return gone.select(F.shiftright("id", PLACE_BITS).alias("doc_id"), F.col("id").bitwiseAND(F.lit(mask).cast("long")).cast("int").alias("place"),
                        F.shiftright("component", PLACE_BITS).alias("first_doc"),
