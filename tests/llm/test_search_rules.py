@@ -3,9 +3,11 @@
 import collections
 import math
 import random
+import tracemalloc
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -68,6 +70,24 @@ def _local(rows, mean=2.0):
     return search.Shard(row, mean), hasher
 
 
+def test_a_shard_takes_little_memory_beside_its_row():
+    rnd = random.Random(2)
+    hasher = shared.WordHasher()
+    texts = [hasher(" ".join(f"w{rnd.randrange(5000)}" for _ in range(300))) for _ in range(2000)]
+    batch = pa.record_batch([pa.array([v], t) for v, (_, t) in zip(search._shard(list(range(2000)), texts), search._INDEX)], schema=pa.schema(search._INDEX))
+    postings = len(batch.column(7)[0].as_py()) // 4
+    tracemalloc.start()
+    row = next(search._rows(batch))
+    assert tracemalloc.get_traced_memory()[1] < 1e5  # the batch's own memory
+    shard = search.Shard(row, 300.0)
+    held, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert postings > 500_000 and held < 28 * postings and peak < 42 * postings
+    docs, tfs = np.frombuffer(row["docs"], np.int32), np.frombuffer(row["tfs"], np.int32)
+    assert (shard.part == search.weight(1.0, tfs.astype(np.float64), np.frombuffer(row["lengths"], np.int32)[docs], 300.0)).all()
+    assert (shard.own_starts == np.searchsorted(np.sort(docs), np.arange(2001))).all()
+
+
 def test_blocks_are_skipped():
     """A rare term's documents reach a floor that a common term's blocks can't: its postings aren't read."""
     shard, hasher = _local([(i, "common " * (1 + i % 3) + ("rare " * 5 if i % 500 == 7 else "")) for i in range(4000)])
