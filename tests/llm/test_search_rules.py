@@ -126,6 +126,53 @@ def test_floors_lose_nothing(seed):
             assert search.block_max_wand(shard, found, idf, 10, floor) == top
 
 
+def _zipf(rnd, n, size):
+    return [(i, " ".join(rnd.choices([f"w{j}" for j in range(500)], [1 / (j + 1) for j in range(500)], k=rnd.choice(size)))) for i in range(n)]
+
+
+def test_common_words_are_multiplied_not_read():
+    """Lists of many documents are taken for all queries in one product; few documents are left, none of the best is lost."""
+    rows = _zipf(random.Random(5), 1500, [30, 200, 600])
+    shard, hasher = _local(rows, 250.0)
+    asked = [np.unique(hasher(t)) for _, t in rows[:60]]
+    every, places = np.unique(np.concatenate(asked), return_inverse=True)
+    idf = np.log(1 + 1500 / (1.0 + np.diff(shard.starts)[shard.places(every)]))
+    ends, floors = np.cumsum([len(t) for t in asked]), np.full(60, -math.inf)
+    got = collections.defaultdict(list)
+    for query, place, low, high in search.candidates_of_shard(shard, shard.places(every), idf, places, ends, 10, floors):
+        for q, d, a, b in zip(query.tolist(), place.tolist(), low.tolist(), high.tolist()):
+            got[q].append(d)
+            terms = places[ends[q - 1] if q else 0:ends[q]]
+            assert a - 1e-6 <= shard.whole_score(d, every[terms], idf[terms]) <= b + 1e-6
+    postings = sum(int((np.diff(shard.starts)[shard.places(t)]).sum()) for t in asked)
+    assert len(shard.matrix) > 100 and shard.read < postings / 4
+    for q in range(60):
+        terms = places[ends[q - 1] if q else 0:ends[q]]
+        best = sorted(((-shard.whole_score(d, every[terms], idf[terms]), d) for d in range(1500)))[:10]
+        assert {d for _, d in best} <= set(got[q]) and len(got[q]) < 40 and floors[q] <= -best[-1][0] + 1e-6
+
+
+def test_copies_leave_no_more_than_k_candidates(spark):
+    """A large group of copies over many shards: the smallest ids are found, and each shard offers k of them at most."""
+    docs = [(i, "one text over and over") for i in range(400)] + [(None, "one text over and over")] * 3 + [(1000 + i, f"other text {i}") for i in range(40)]
+    shard, hasher = _local(docs, 4.0)
+    terms = np.unique(hasher(docs[0][1]))
+    _, place, _, _, _ = search.candidates(shard, [shard.places(terms)], [np.ones(len(terms))], 10, [-math.inf])
+    assert sorted(place.tolist()) == list(range(10))
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(7)
+    index = shared.materialise(search.build_index(df, shard_bytes=1500))
+    assert index.count() > 7
+    got = search.search(index, spark.createDataFrame([docs[3], docs[-1]], "query_id long, text string"), k=10).collect()
+    for q, t in (docs[3], docs[-1]):
+        assert [(r.doc_id, r.score) for r in sorted(got, key=lambda r: r.rank) if r.query_id == q] == brute(docs, [(q, t)], 10)[q]
+
+
+def test_small_rests_are_no_shards(spark):
+    df = spark.createDataFrame([(i, "x" * 68) for i in range(11)], "doc_id long, text string").coalesce(1)
+    sizes = lambda n: [r.n_docs for r in search.build_index(df, shard_bytes=n).select("n_docs").collect()]
+    assert sizes(1000) == [11] and sizes(500) == [5, 6]
+
+
 def test_search_edges(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     asked = spark.createDataFrame([(1, "a")], "query_id long, text string")
