@@ -167,6 +167,22 @@ def test_copies_leave_no_more_than_k_candidates(spark):
         assert [(r.doc_id, r.score) for r in sorted(got, key=lambda r: r.rank) if r.query_id == q] == brute(docs, [(q, t)], 10)[q]
 
 
+def test_ties_of_different_documents_are_settled_in_their_shard(spark):
+    """Every document has a word of its own and a common one: a query ties with all others, and no shard offers all of them."""
+    docs = [(i, f"common w{i}") for i in range(900)] + [(None, "common none")]
+    shard, hasher = _local(docs)
+    terms = np.unique(hasher(docs[500][1]))
+    _, place, low, high, _ = search.candidates(shard, [shard.places(terms)], [np.array([1.0, 1.0])], 10, [-math.inf])
+    assert len(place) == 10 and set(place.tolist()) == {500, *range(9)} and (low == high).all()
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    index = shared.materialise(search.build_index(df, shard_bytes=4000))
+    asked = [docs[500], docs[3], (1000, "common")]
+    got = search.search(index, spark.createDataFrame(asked, "query_id long, text string"), k=10).collect()
+    want = brute(docs, asked, 10)
+    for q, _ in asked:
+        assert [(r.doc_id, r.score) for r in sorted(got, key=lambda r: r.rank) if r.query_id == q] == want[q]
+
+
 def test_small_rests_are_no_shards(spark):
     df = spark.createDataFrame([(i, "x" * 68) for i in range(11)], "doc_id long, text string").coalesce(1)
     sizes = lambda n: [r.n_docs for r in search.build_index(df, shard_bytes=n).select("n_docs").collect()]
