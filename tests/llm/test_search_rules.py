@@ -88,6 +88,65 @@ def test_a_shard_takes_little_memory_beside_its_row():
     assert (shard.own_starts == np.searchsorted(np.sort(docs), np.arange(2001))).all()
 
 
+def test_a_stored_row_has_numbers_of_few_bytes():
+    """What is written and sent to workers takes little over half of a row's bytes, and is the same shard."""
+    rnd = random.Random(6)
+    hasher = shared.WordHasher()
+    docs = [hasher(" ".join(f"w{int(rnd.paretovariate(0.4)) % 90_000}" for _ in range(200))) for _ in range(1000)] + [hasher("w1 " * 700), hasher("")]
+    names = [n for n, _ in search._INDEX]
+    size = lambda r: sum(len(v) for v in r.values() if isinstance(v, bytes))
+    for most, docs in ((0.65, docs), (1.0, [*docs, hasher("w1 " * 70_000)])):  # the second has a frequency of more than two bytes
+        row = dict(zip(names, search._shard(list(range(len(docs))), docs)))
+        packed = dict(zip(names, search._packed(tuple(row.values()))))
+        assert size(packed) < most * size(row) and len(packed["docs"]) * 2 == len(row["docs"])
+        a, b = search.Shard(row, 270.0), search.Shard(packed, 270.0)
+        a.by_document()
+        b.by_document()
+        for name in ("terms", "starts", "at", "tfs", "own_lengths", "part", "block_starts", "block_part", "block_first", "block_last", "own_terms", "own_tfs"):
+            x, y = getattr(a, name), getattr(b, name)
+            assert x.dtype == y.dtype and (x == y).all(), name
+    for docs in ([], [hasher("")]):
+        row = search._shard(list(range(len(docs))), docs)
+        assert search.Shard(dict(zip(names, search._packed(row))), 1.0).size == len(docs)
+
+
+def test_rows_of_an_index_travel_one_by_one(spark, monkeypatch):
+    """Each index row is a file, and the index and the hits are made and searched in small batches."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    written, build, write = {}, search.build_index, search.materialise
+
+    def keep(df, to, *rest, **more):
+        batch = spark.conf.get(name, None)
+        written[to] = write(df, to, *rest, **more), batch
+        return written[to][0]
+
+    monkeypatch.setattr(search, "build_index", lambda df, doc_id, text: build(df, doc_id, text, shard_bytes=3000))
+    monkeypatch.setattr(search, "materialise", keep)
+    docs = [(i, f"common w{i} " * 20) for i in range(200)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").coalesce(2)
+    got = search.search_documents(df, df.where("doc_id = 7"), query_id="doc_id").collect()
+    assert sorted((r.rank, r.doc_id) for r in got)[0] == (1, 7) and len(got) == search.K
+    index, batch = written["index"]
+    assert index.count() > 4 and len(index.inputFiles()) == index.count()
+    assert int(batch) == int(written["hits"][1]) == shared.BATCH_BYTES and spark.conf.get(name, None) is None
+
+    def rows(batches):
+        for b in batches:
+            yield pa.record_batch({"n": pa.array([b.num_rows], pa.int64())})
+
+    large = spark.range(3, numPartitions=1).select(F.repeat(F.lit("x"), shared.BATCH_BYTES + 1).alias("t"))
+    with shared.small_batches(spark):
+        assert [r.n for r in large.mapInArrow(rows, "n long").collect()] == [1, 1, 1]
+    assert [r.n for r in large.mapInArrow(rows, "n long").collect()] == [3]
+    spark.conf.set(name, 1 << 24)  # a limit of the session's own
+    try:
+        with shared.small_batches(spark):
+            assert spark.conf.get(name) == str(1 << 24)
+        assert spark.conf.get(name) == str(1 << 24)
+    finally:
+        spark.conf.unset(name)
+
+
 def test_blocks_are_skipped():
     """A rare term's documents reach a floor that a common term's blocks can't: its postings aren't read."""
     shard, hasher = _local([(i, "common " * (1 + i % 3) + ("rare " * 5 if i % 500 == 7 else "")) for i in range(4000)])
